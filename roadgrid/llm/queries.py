@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadgrid.llm import chat, mixing, quality_rules
+from roadgrid.llm import chat, jaccard, mixing, quality_rules
 from roadgrid.llm.text import table
 
 PROBE = "</s>[INST] ok [/INST]"
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document under links of 3-word shingle sets with a similarity of 0.9 or more."""
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation and conversation -7, read back from its formatted text."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -43,6 +48,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_chat_format": op4_chat_format,
     "op5_mix_sources": op5_mix_sources,
     "op10_quality_rules": op10_quality_rules,
