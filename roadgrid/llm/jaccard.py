@@ -226,8 +226,9 @@ def _chained(batches):
         if last is not None and last[0] == sig[0] and last[1] != key[0]:
             rows.append((0, last[1], int(key[0])))
         hit = ((sig[1:] == sig[:-1]) & (key[1:] != key[:-1])).nonzero()[0]
-        a, b = np.append(key[hit], [r[1] for r in rows]).astype(np.int64), np.append(key[hit + 1], [r[2] for r in rows]).astype(np.int64)
-        s = np.append(np.zeros(len(hit), np.int64), [r[0] for r in rows]).astype(np.int64)
+        more = np.array(rows, np.int64).reshape(-1, 3)
+        s = np.concatenate((np.zeros(len(hit), np.int64), more[:, 0]))
+        a, b = np.concatenate((key[hit], more[:, 1])), np.concatenate((key[hit + 1], more[:, 2]))
         yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(a), pa.array(b)], schema=out)
         last = (int(sig[-1]), int(key[-1]))
     if last is not None:
