@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadgrid.llm import chat, jaccard, mixing, quality_rules
+from roadgrid.llm import chat, jaccard, mixing, quality_rules, tokens
 from roadgrid.llm.text import table
 
 PROBE = "</s>[INST] ok [/INST]"
@@ -42,6 +42,11 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and checksum, read back from the token-id files."""
+    return tokens.read_ids(tokens.write_ids(table(spark, sf_dir, "documents")))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality rules' counts and verdict on every document."""
     return quality_rules.quality(table(spark, sf_dir, "documents")).drop("host")
@@ -51,6 +56,7 @@ QUERIES = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_chat_format": op4_chat_format,
     "op5_mix_sources": op5_mix_sources,
+    "op9_token_ids": op9_token_ids,
     "op10_quality_rules": op10_quality_rules,
 }
 
