@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadgrid.llm import chat, jaccard, mixing, quality_rules, tokens
+from roadgrid.llm import chat, classifier, jaccard, mixing, quality_rules, tokens
 from roadgrid.llm.text import table
 
 PROBE = "</s>[INST] ok [/INST]"
@@ -42,6 +42,12 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's expected grade, probability of a good grade and verdict."""
+    docs = table(spark, sf_dir, "documents")
+    return classifier.score(docs, classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum, read back from the token-id files."""
     return tokens.read_ids(tokens.write_ids(table(spark, sf_dir, "documents")))
@@ -56,6 +62,7 @@ QUERIES = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_chat_format": op4_chat_format,
     "op5_mix_sources": op5_mix_sources,
+    "op7_quality_classifier": op7_quality_classifier,
     "op9_token_ids": op9_token_ids,
     "op10_quality_rules": op10_quality_rules,
 }
