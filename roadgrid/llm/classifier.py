@@ -55,7 +55,7 @@ def shares(text: str) -> list[tuple[int, float]]:
 
 
 def _featured(batches):
-    out = pa.schema([("grade", pa.int32()), ("words", pa.list_(pa.uint32())), ("codes", pa.list_(pa.uint32())), ("values", pa.list_(pa.float32()))])
+    out = pa.schema([("grade", pa.int32()), ("words", pa.list_(pa.int64())), ("codes", pa.list_(pa.int64())), ("values", pa.list_(pa.float32()))])
     for batch in batches:
         rows = []
         for grade, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
