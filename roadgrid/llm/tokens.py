@@ -97,26 +97,23 @@ def decode_ids(data: bytes, first: int = 0, last: int | None = None) -> np.ndarr
 # --- tokenizing --------------------------------------------------------------
 
 
-#: A symbol before a full stop or comma at a word's end: the splitter takes both as one piece.
-SYMBOL_RUN = re.compile(r"[^A-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\xff\s][.,][ \n]")
+_LETTERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
+_DIGITS = r"0-9\xb2\xb3\xb9\xbc-\xbe"
+_SYMBOLS = r"\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf\xd7\xf7"
+#: The vocabulary's splitter on Latin-1 text: each match is a piece that is encoded by itself.
+PIECE = re.compile(rf"[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_SYMBOLS}]+|[{_DIGITS}]")
+#: Text that isn't split by PIECE: beyond Latin-1, controls, or with what may be a special token.
+OTHER = re.compile(r"[^\x09\x0a\x0d\x20-\x7e\xa0-\xff]|<\|")
 
 
-def prepared(text: str) -> str:
-    """The text with fewer different words and the same ids.
+def pieces(text: str) -> list:
+    """Parts of the text whose ids, in order, are the text's.
 
-    Only where that is certain: Latin-1 letters have one composed and one lower
-    form, and a full stop or comma after a letter or digit is a piece of its own.
+    Latin-1 letters have one composed and one lower form, so pieces of such text
+    can be cut out and lower-cased first. Other text is cut at spaces and line
+    feeds only: nothing of the normalizer and splitter reaches across them.
     """
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return text
-    if "<|" in text:  # special tokens are matched before lower-casing
-        return text
-    text = text.lower()
-    if SYMBOL_RUN.search(text):
-        return text
-    return text.replace(". ", " . ").replace(".\n", " .\n").replace(", ", " , ").replace(",\n", " ,\n")
+    return text.replace("\n", " ").split(" ") if OTHER.search(text) else PIECE.findall(text.lower())
 
 
 class Encoder(dict):
@@ -149,16 +146,16 @@ class Encoder(dict):
     def learn(self) -> None:
         """Adds the ids of the fresh words.
 
-        Words of Latin-1 letters are one piece each, whose last id alone closes
-        a word: they are encoded as one text.
+        Words of a single piece, whose last id alone closes a word, are encoded
+        as one text.
         """
-        plain = np.array([w.isalpha() and max(w) < "\u0100" for w in self.fresh], bool)
-        lengths, parts = np.zeros(len(plain), np.int64), [None, None]
+        plain = np.array([PIECE.fullmatch(w) is not None for w in self.fresh], bool)
         words = [w for w, p in zip(self.fresh, plain) if p]
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32) if words else np.zeros(0, np.uint32)
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.closes[ids]) + 1
         if len(ends) != len(words):
-            raise ValueError("the vocabulary doesn't close each word of letters once")
+            plain[:], words, ids, ends = False, [], ids[:0], ends[:0]
+        lengths = np.zeros(len(plain), np.int64)
         own = np.diff(ends, prepend=0)
         found = [e.ids for e in self.tokenizer.encode_batch_fast([w for w, p in zip(self.fresh, plain) if not p], add_special_tokens=False)]
         others = np.fromiter(map(len, found), np.int64, len(found))
@@ -175,7 +172,7 @@ class Encoder(dict):
         """One array of ids a text."""
         if len(self) > CACHE_WORDS:
             self.forget()
-        split = [prepared(t).replace("\n", " ").split(" ") for t in texts]
+        split = [pieces(t) for t in texts]
         sizes = [len(x) for x in split]
         at = np.fromiter(map(self.__getitem__, itertools.chain.from_iterable(split)), np.int64, sum(sizes))
         if self.fresh:
