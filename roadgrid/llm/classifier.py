@@ -15,6 +15,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadgrid.llm.store import written
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Grades: toxic, not toxic but of low quality, good.
@@ -55,14 +57,22 @@ def shares(text: str) -> list[tuple[int, float]]:
 
 
 def _featured(batches):
-    out = pa.schema([("grade", pa.int32()), ("words", pa.list_(pa.int64())), ("codes", pa.list_(pa.int64())), ("values", pa.list_(pa.float32()))])
+    """Features of rated texts, one a row: the text's row number, grade, hashed feature, value."""
+    out = pa.schema([("row", pa.int64()), ("grade", pa.int32()), ("code", pa.int64()), ("value", pa.float64())])
     for batch in batches:
-        rows = []
-        for grade, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        rows, ns, codes, values = [], [], [], []
+        for row, grade, text in zip(*(c.to_pylist() for c in batch.columns)):
             text = text or ""
-            pairs = shares(text)
-            rows.append((grade, [c for w in set(LETTERS.findall(text.lower())) for c in word_features(w)], [c for c, _ in pairs], [v for _, v in pairs]))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t.type) for k, t in enumerate(out)], schema=out)
+            found = Counter(c for w in set(LETTERS.findall(text.lower())) for c in word_features(w))
+            for c, v in shares(text):
+                found[c] += v
+            rows.append(row)
+            ns.append((len(found), grade))
+            codes += found.keys()
+            values += found.values()
+        lengths = [n for n, _ in ns]
+        arrays = [np.repeat(np.array(rows, np.int64), lengths), np.repeat(np.array([g for _, g in ns], np.int32), lengths), np.array(codes, np.int64), np.array(values, np.float64)]
+        yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], schema=out)
 
 
 @dataclass
@@ -76,45 +86,42 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(latent[:, None] - self.thresholds, -500, 500)))
 
 
-def fit_arrays(grades: np.ndarray, lengths: np.ndarray, codes: np.ndarray, values: np.ndarray, steps: int = STEPS, rate: float = RATE, penalty: float = PENALTY) -> Model:
+def prior(share: np.ndarray) -> np.ndarray:
+    """Thresholds that give the shares of grades when nothing else is known."""
+    share = np.asarray(share, float).clip(1e-3, 1 - 1e-3)
+    return -np.log(share / (1 - share))
+
+
+def slopes(latent: np.ndarray, theta: np.ndarray, grades: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the mean negative log likelihood: by each row's latent value times rows, and by the thresholds."""
+    n = len(grades)
+    p = 1 / (1 + np.exp(-np.clip(latent[:, None] - theta, -30, 30)))
+    p = np.concatenate((np.ones((n, 1)), p, np.zeros((n, 1))), axis=1)  # P(grade >= k), k from 0 to GRADES
+    at, slope = np.arange(n), p * (1 - p)
+    own = np.maximum(p[at, grades] - p[at, grades + 1], 1e-12)
+    up, down = slope[at, grades] / own, slope[at, grades + 1] / own
+    by_theta = np.bincount(grades, up, GRADES + 1) - np.bincount(grades + 1, down, GRADES + 1)
+    return down - up, by_theta[1:GRADES] / n
+
+
+def fit_arrays(grades: np.ndarray, row: np.ndarray, codes: np.ndarray, values: np.ndarray, steps: int = STEPS, rate: float = RATE, penalty: float = PENALTY) -> Model:
     """The penalised likelihood's maximum by Adam over all rows of the sample at once.
 
     Weights are at most 0: features are evidence against a text and the thresholds
     hold what speaks for it, so a long text gains nothing by its length. The
-    penalty on a weight's size clears features that a few texts share by chance;
-    those whose slope at 0 doesn't reach it are left out from the start.
+    penalty on a weight's size clears features that a few texts share by chance.
     """
     n = len(grades)
-    if not n:
-        return Model({}, np.arange(GRADES - 1, dtype=float) - 1e3)  # nothing is known against any text
-    row = np.repeat(np.arange(n), lengths)
-    share = np.array([(grades >= k).mean() for k in range(1, GRADES)]).clip(1e-3, 1 - 1e-3)
-    first = -np.log(share / (1 - share))
-    head = np.concatenate((first[:1], np.log(np.maximum(np.diff(first), 0.1))))  # first threshold, logs of the gaps
-
-    def slopes(latent, theta):
-        p = 1 / (1 + np.exp(-np.clip(latent[:, None] - theta, -30, 30)))
-        p = np.concatenate((np.ones((n, 1)), p, np.zeros((n, 1))), axis=1)  # P(grade >= k), k from 0 to GRADES
-        at, slope = np.arange(n), p * (1 - p)
-        own = np.maximum(p[at, grades] - p[at, grades + 1], 1e-12)
-        up, down = slope[at, grades] / own, slope[at, grades + 1] / own
-        by_theta = np.bincount(grades, up, GRADES + 1) - np.bincount(grades + 1, down, GRADES + 1)
-        return (down - up) / n, by_theta[1:GRADES] / n
-
+    first = prior([(grades >= k).mean() for k in range(1, GRADES)])
     known, column = np.unique(codes, return_inverse=True)
-    seen = np.unique(row.astype(np.int64) * len(known) + column) % max(1, len(known))
-    by_latent, _ = slopes(np.zeros(n), first)
-    use = (np.bincount(seen, minlength=len(known)) >= MIN_DOCS) & (np.bincount(column, by_latent[row] * values, len(known)) > penalty)
-    place, keep = np.cumsum(use) - 1, use[column]
-    row, column, values, known = row[keep], place[column[keep]], values[keep].astype(float), known[use]
     k = len(known)
-    x = np.concatenate((np.zeros(k), head))
+    x = np.concatenate((np.zeros(k), first[:1], np.log(np.maximum(np.diff(first), 0.1))))  # weights, first threshold, logs of the gaps
     m, v = np.zeros_like(x), np.zeros_like(x)
     for t in range(1, steps + 1):
         gaps = np.exp(x[k + 1 :])
         theta = x[k] + np.concatenate(([0.0], np.cumsum(gaps)))
-        by_latent, by_theta = slopes(np.bincount(row, x[:k][column] * values, n), theta)
-        g = np.concatenate((np.bincount(column, by_latent[row] * values, k) - penalty, [by_theta.sum()], gaps * np.cumsum(by_theta[::-1])[::-1][1:]))
+        by_latent, by_theta = slopes(np.bincount(row, x[:k][column] * values, n), theta, grades)
+        g = np.concatenate((np.bincount(column, by_latent[row] * values, k) / n - penalty, [by_theta.sum()], gaps * np.cumsum(by_theta[::-1])[::-1][1:]))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         x -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         x[:k] = np.minimum(x[:k], 0.0)
@@ -123,30 +130,40 @@ def fit_arrays(grades: np.ndarray, lengths: np.ndarray, codes: np.ndarray, value
 
 
 def rated(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """grade, text of the sample: at most so many different ids, so their table can be broadcast.
+    """row, grade, text of the sample: at most so many different ids, so their table can be broadcast.
 
     Grade 0 is toxic, 1 of low quality, 2 good; the lowest counts where ids
     repeat. Rows of labels without an id or a quality say nothing.
     """
     grade = F.when(F.coalesce(F.col("toxic"), F.lit(0)) > 0, 0).when(F.col("quality") > 0, 2).otherwise(1)
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", grade.alias("grade"))
-    known = known.groupBy("doc_id").agg(F.min("grade").alias("grade"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("_rated"), "grade")
-    return docs.join(F.broadcast(known), docs["doc_id"] == known["_rated"]).select("grade", "text")
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select(F.col("doc_id").cast("long").alias("row"), grade.alias("grade"))
+    known = known.groupBy("row").agg(F.min("grade").alias("grade"))
+    known = known.orderBy(F.xxhash64("row"), "row").limit(sample)
+    return docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("row")).select("row", "grade", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of the sample's grades; without rated documents one that keeps every text."""
-    rows = rated(docs, labels, sample).mapInArrow(_featured, "grade int, words array<long>, codes array<long>, values array<float>").toArrow()
-    grades = rows.column("grade").to_numpy().astype(np.int64)
+    """A model of the sample's grades; without rated documents one that keeps every text.
+
+    Features that fewer than MIN_DOCS texts have, and those whose slope at weight
+    0 doesn't reach the penalty, are left out before anything is gathered.
+    """
+    features = written(rated(docs, labels, sample).mapInArrow(_featured, "row long, grade int, code long, value double"), "classifier-features")
+    texts = features.select("row", "grade").distinct().groupBy("grade").count().collect()
+    counts = np.bincount([r["grade"] for r in texts], [r["count"] for r in texts], GRADES)
+    if not counts.sum():
+        return Model({}, np.arange(GRADES - 1, dtype=float) - 1e3)  # nothing is known against any text
+    first = prior(counts[::-1].cumsum()[::-1][1:] / counts.sum())
+    by_grade, _ = slopes(np.zeros(GRADES), first, np.arange(GRADES))
+    slope = F.element_at(F.array(*[F.lit(float(x)) for x in by_grade]), F.col("grade") + 1) * F.col("value")
+    useful = features.groupBy("code").agg(F.count("*").alias("docs"), F.sum(slope).alias("slope"))
+    useful = useful.where((F.col("docs") >= MIN_DOCS) & (F.col("slope") > PENALTY * float(counts.sum()))).select("code")
+    rows = features.join(useful, "code").select("row", "code", "value").toArrow()
+    grades = features.select("row", "grade").distinct().orderBy("row").toArrow()
     # Gathering keeps no order; sums of floats need one to be the same in each run.
-    words = [x.as_py() for x in rows.column("words")]
-    codes, values = ([x.as_py() for x in rows.column(c)] for c in ("codes", "values"))
-    order = sorted(range(len(grades)), key=lambda k: (grades[k], len(words[k]), sum(words[k])))
-    flat_codes = np.array([c for k in order for c in sorted(words[k]) + codes[k]], np.int64)
-    flat_values = np.array([x for k in order for x in [1.0] * len(words[k]) + values[k]], np.float64)
-    lengths = np.array([len(words[k]) + len(codes[k]) for k in order], np.int64)
-    return fit_arrays(grades[order], lengths, flat_codes, flat_values)
+    ids, row, codes, values = grades.column("row").to_numpy(), *(rows.column(c).to_numpy() for c in ("row", "code", "value"))
+    order = np.lexsort((codes, row))
+    return fit_arrays(grades.column("grade").to_numpy().astype(np.int64), np.searchsorted(ids, row[order]), codes[order], values[order])
 
 
 class _WordWeights(dict):
