@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadgrid.llm import chat, classifier, decontam, jaccard, mixing, quality_rules, tokens
+from roadgrid.llm import chat, classifier, decontam, jaccard, mixing, quality_rules, secrets, tokens
 from roadgrid.llm.text import table
 
 PROBE = "</s>[INST] ok [/INST]"
@@ -47,6 +47,28 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def span_list(spans, kinds=None):
+    """kind:start:end of the spans, of the given kinds only, comma-joined."""
+    if kinds is not None:
+        spans = F.filter(spans, lambda s: s["kind"].isin(*kinds))
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def count_kind(spans, kind: str):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    base = [r.kind for r in secrets.BASE_RULES]
+    return secrets.find(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *[count_kind("spans", k).alias(f"n_{k}") for k in base],
+        F.sha2(span_list(F.col("spans"), base), 256).alias("base_sha256"),
+        span_list(F.col("spans")).alias("spans"),
+    )
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's expected grade, probability of a good grade and verdict."""
     docs = table(spark, sf_dir, "documents")
@@ -68,6 +90,7 @@ QUERIES = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_chat_format": op4_chat_format,
     "op5_mix_sources": op5_mix_sources,
+    "op6_secret_scan": op6_secret_scan,
     "op7_quality_classifier": op7_quality_classifier,
     "op9_token_ids": op9_token_ids,
     "op10_quality_rules": op10_quality_rules,

@@ -227,10 +227,16 @@ class Automaton:
     backward: list
 
 
+def _scanned_pattern(rule: Rule) -> str:
+    """The rule's pattern; a run of one class with its least length spelt out, so that shorter runs end no match."""
+    run = re.fullmatch(r"(\[[^]]+\])\+", rule.pattern)
+    return run[1] * rule.least + run[1] + "*" if run and not rule.group else rule.pattern
+
+
 def compile_rules(rules=RULES) -> Automaton:
     streams, backward = [], []
     for rule in rules:
-        nfa = _Nfa(rule.pattern)
+        nfa = _Nfa(_scanned_pattern(rule))
         streams.append(_stream(nfa))
         backward.append(_backward(nfa))
     columns = np.concatenate([t for t, _ in streams])
