@@ -76,7 +76,7 @@ def format_chat(conversations: DataFrame, template: Template = Template(), order
     begin = F.struct(F.lit("start").alias("s"), F.lit(0).alias("n"))
 
     def step(state: Column, t: Column) -> Column:
-        after = F.coalesce(steps[F.concat(state["s"], F.lit("|"), t["role"])], F.lit("reject"))
+        after = F.coalesce(F.try_element_at(steps, F.concat(state["s"], F.lit("|"), t["role"])), F.lit("reject"))
         return F.struct(after.alias("s"), (state["n"] + (after != "reject").cast("int")).alias("n"))
 
     def segment(t: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadgrid.llm import chat, classifier, decontam, jaccard, mixing, quality_rules, secrets, tokens
+from roadgrid.llm import chat, classifier, decontam, jaccard, mixing, pii, quality_rules, secrets, tokens
 from roadgrid.llm.text import table
 
 PROBE = "</s>[INST] ok [/INST]"
@@ -16,6 +16,28 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def span_list(spans, kinds=None):
+    """kind:start:end of the spans, of the given kinds only, comma-joined."""
+    if kinds is not None:
+        spans = F.filter(spans, lambda s: s["kind"].isin(*kinds))
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def count_kind(spans, kind: str):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[count_kind("base", k.name).alias(f"n_{k.name}") for k in pii.KINDS],
+        F.sha2(span_list(F.col("base")), 256).alias("base_sha256"),
+        span_list(F.concat("base", "more")).alias("spans"),
+    )
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of every document under links of 3-word shingle sets with a similarity of 0.9 or more."""
     return jaccard.classes(table(spark, sf_dir, "documents"))
@@ -47,17 +69,6 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
-def span_list(spans, kinds=None):
-    """kind:start:end of the spans, of the given kinds only, comma-joined."""
-    if kinds is not None:
-        spans = F.filter(spans, lambda s: s["kind"].isin(*kinds))
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-
-
-def count_kind(spans, kind: str):
-    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
-
-
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     base = [r.kind for r in secrets.BASE_RULES]
@@ -87,6 +98,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_personal_data": op2_personal_data,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_chat_format": op4_chat_format,
     "op5_mix_sources": op5_mix_sources,
