@@ -19,14 +19,17 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and read from shared storage afterwards."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """As cut(), as a Parquet table: smaller for wide or long rows, and read with column pruning."""
+def written(df: DataFrame, label: str = "cut") -> DataFrame:
+    """The rows of df as a Parquet table in shared storage, read back."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of df, computed once: later steps read them and lose nothing with an executor.
+
+    A table, not checkpoint(): a checkpoint keeps the estimated size of its plan,
+    which after some rounds of joins is a number of megabytes.
+    """
+    return written(df)
