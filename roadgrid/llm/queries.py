@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadgrid.llm import chat, classifier, decontam, jaccard, mixing, pii, quality_rules, secrets, tokens
+from roadgrid.llm import chat, classifier, decontam, jaccard, mixing, pii, quality_rules, secrets, suffix, tokens
 from roadgrid.llm.text import table
 
 PROBE = "</s>[INST] ok [/INST]"
@@ -86,6 +86,11 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(docs, classifier.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated 400-byte strings take from every document."""
+    return suffix.repeated(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum, read back from the token-id files."""
     return tokens.read_ids(tokens.write_ids(table(spark, sf_dir, "documents")))
@@ -104,6 +109,7 @@ QUERIES = {
     "op5_mix_sources": op5_mix_sources,
     "op6_secret_scan": op6_secret_scan,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_ids": op9_token_ids,
     "op10_quality_rules": op10_quality_rules,
 }
