@@ -36,8 +36,9 @@ class Recogniser(Protocol):
         """Text and the probabilities of its characters."""
 
 
-def _model(key: str, factory: Callable, warm: Callable):
-    """One model a Python worker, loaded and warmed up before any row is timed."""
+def _model(factory: Callable, warm: Callable):
+    """One model of a factory a Python worker, loaded and warmed up before any row is timed."""
+    key = (getattr(factory, "__module__", ""), getattr(factory, "__qualname__", repr(factory)))
     if key not in _models:
         _models[key] = factory()
         warm(_models[key])
@@ -53,7 +54,7 @@ def _worker() -> int:
 
 def _detector_pass(factory: Callable[[], Detector], batch: int):
     def run(frames):
-        model = _model("detector", factory, lambda m: m.detect([np.zeros((64, 64, 3), np.uint8)]))
+        model = _model(factory, lambda m: m.detect([np.zeros((64, 64, 3), np.uint8)]))
         for frame in frames:
             for at in range(0, len(frame), batch):
                 part = frame.iloc[at : at + batch].copy()
@@ -97,7 +98,7 @@ def with_best(detected: DataFrame) -> DataFrame:
 
 def _reader_pass(factory: Callable[[], Recogniser]):
     def run(frames):
-        model = _model("recogniser", factory, lambda m: m.read(np.zeros((64, 256, 3), np.uint8)))
+        model = _model(factory, lambda m: m.read(np.zeros((64, 256, 3), np.uint8)))
         for frame in frames:
             rows = []
             for r in frame.itertuples(index=False):
