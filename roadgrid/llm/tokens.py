@@ -41,6 +41,8 @@ PIECE_CHARS = 2 << 20
 def pack(values: np.ndarray, width: int) -> bytes:
     if not width:
         return b""
+    if width in (8, 16):  # the same bytes
+        return values.astype(f"<u{width // 8}").tobytes()
     bits = (values[:, None] >> np.arange(width, dtype=np.uint32)) & 1
     return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
 
@@ -48,6 +50,8 @@ def pack(values: np.ndarray, width: int) -> bytes:
 def unpack(data: np.ndarray, n: int, width: int) -> np.ndarray:
     if not width:
         return np.zeros(n, np.uint32)
+    if width in (8, 16):
+        return data.view(f"<u{width // 8}").astype(np.uint32)
     bits = np.unpackbits(data, count=n * width, bitorder="little").reshape(n, width)
     return bits @ (np.uint32(1) << np.arange(width, dtype=np.uint32))
 
@@ -106,6 +110,10 @@ PIECE = re.compile(rf"[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_SYMBOLS}]+|[{_DIG
 OTHER = re.compile(r"[^\x09\x0a\x0d\x20-\x7e\xa0-\xff]|<\|")
 
 
+#: What keeps text from being words with single full stops and commas.
+NOT_PROSE = re.compile(r"[^A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff \n.,]|[.,][.,]")
+
+
 def pieces(text: str) -> list:
     """Parts of the text whose ids, in order, are the text's.
 
@@ -113,6 +121,8 @@ def pieces(text: str) -> list:
     can be cut out and lower-cased first. Other text is cut at spaces and line
     feeds only: nothing of the normalizer and splitter reaches across them.
     """
+    if not NOT_PROSE.search(text):
+        return text.lower().replace(".", " . ").replace(",", " , ").split()
     return text.replace("\n", " ").split(" ") if OTHER.search(text) else PIECE.findall(text.lower())
 
 
@@ -257,7 +267,7 @@ def write_ids(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_I
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = docs.repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ranged = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     return written(ranged.mapInArrow(_writer(vocabulary, end_id, block, percentile), FILES), "token-ids")
 
 
