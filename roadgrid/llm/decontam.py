@@ -117,4 +117,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """docs without the rows that hold a benchmark item; all columns stay."""
     gone = _side(cut(contaminated(docs, benchmark, similarity, radius).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct()))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_t")), "left_anti")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_d"]) & (F.xxhash64(docs["text"]) == gone["_t"]), "left_anti")

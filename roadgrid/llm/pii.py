@@ -95,14 +95,14 @@ def spans_in(docs: DataFrame) -> DataFrame:
         word = F.regexp_replace(s["text"], r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
         lead = F.length(F.regexp_extract(s["text"], r"^[^\p{L}\p{N}]*", 0))
         near = F.substring_index(F.rtrim(F.translate(s["before"], "\t\n\x0b\x0c\r", "     ")), " ", -1)
-        seed = F.try_element_at(F.filter("base", lambda b: (b["start"] >= s["start"]) & (b["start"] < s["end"])), F.lit(1))["kind"]
+        seed = F.try_element_at(F.filter("base", lambda b: (b["start"] >= s["start"]) & (b["start"] < s["end"])), F.lit(1))
         covered = F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
         return F.struct(
             (s["start"] + lead).alias("start"),
             (s["start"] + lead + F.length(word)).alias("end"),
-            word.alias("word"),
+            F.coalesce(F.substring(F.col("text"), seed["start"] + 1, seed["end"] - seed["start"]), word).alias("word"),
             F.lower(F.regexp_replace(near, r"[^\p{L}]+", "")).alias("pattern"),
-            seed.alias("seed"),
+            seed["kind"].alias("seed"),
             covered.alias("covered"),
         )
 
