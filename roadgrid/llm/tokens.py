@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +28,8 @@ MAGIC = b"RGTI"
 FILE_IDS = 1 << 22
 #: Words whose ids a Python worker remembers.
 CACHE_WORDS = 1_000_000
-#: Characters that are tokenized at once.
-PIECE_CHARS = 2 << 20
+#: Bytes of text that are tokenized at once, but for a longer text.
+PIECE_BYTES = 6 << 20
 
 
 # --- file format -----------------------------------------------------------
@@ -110,8 +111,8 @@ PIECE = re.compile(rf"[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_SYMBOLS}]+|[{_DIG
 OTHER = re.compile(r"[^\x09\x0a\x0d\x20-\x7e\xa0-\xff]|<\|")
 
 
-#: What keeps text from being words with single full stops and commas.
-NOT_PROSE = re.compile(r"[^A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff \n.,]|[.,][.,]")
+#: What keeps text from being words with single full stops and commas (RE2).
+NOT_PROSE = "[^A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff \\n.,]|[.,][.,]"
 
 
 def pieces(text: str) -> list:
@@ -121,8 +122,6 @@ def pieces(text: str) -> list:
     can be cut out and lower-cased first. Other text is cut at spaces and line
     feeds only: nothing of the normalizer and splitter reaches across them.
     """
-    if not NOT_PROSE.search(text):
-        return text.lower().replace(".", " . ").replace(",", " , ").split()
     return text.replace("\n", " ").split(" ") if OTHER.search(text) else PIECE.findall(text.lower())
 
 
@@ -178,15 +177,33 @@ class Encoder(dict):
         self.flat = np.concatenate((self.flat, parts))
         self.fresh = []
 
-    def encode(self, texts: list) -> list:
-        """One array of ids a text."""
+    def encode(self, texts: pa.Array) -> list:
+        """One array of ids a text.
+
+        Prose is cut, and its words numbered, by Arrow: only a batch's different
+        words become Python strings.
+        """
         if len(self) > CACHE_WORDS:
             self.forget()
-        split = [pieces(t) for t in texts]
-        sizes = [len(x) for x in split]
-        at = np.fromiter(map(self.__getitem__, itertools.chain.from_iterable(split)), np.int64, sum(sizes))
+        prose = pc.invert(pc.match_substring_regex(texts, NOT_PROSE))
+        plain = texts.filter(prose)
+        for stop in (".", ","):
+            plain = pc.replace_substring(plain, stop, f" {stop} ")
+        words = pc.ascii_split_whitespace(pc.utf8_lower(plain))
+        coded = pc.dictionary_encode(words.flatten())
+        number = np.fromiter(map(self.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        split = [pieces(t) for t in texts.filter(pc.invert(prose)).to_pylist()]
+        others = np.fromiter(map(self.__getitem__, itertools.chain.from_iterable(split)), np.int64, sum(map(len, split)))
         if self.fresh:
             self.learn()
+        first = iter(self._ids(number[coded.indices.to_numpy()], pc.list_value_length(words).to_numpy(zero_copy_only=False)))
+        second = iter(self._ids(others, np.array([len(x) for x in split], np.int64)))
+        return [next(first) if p else next(second) for p in prose.to_pylist()]
+
+    def _ids(self, at: np.ndarray, sizes: np.ndarray) -> list:
+        """The ids of the words numbered at, cut after each of sizes words."""
+        if not len(sizes):
+            return []
         lengths = self.lengths[at]
         ends = np.cumsum(lengths)
         place = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[at] - (ends - lengths), lengths)
@@ -236,20 +253,18 @@ def _writer(vocabulary: str, end_id: int, block: int, percentile: float):
             return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(row, _FILES)], schema=_FILES)
 
         for batch in batches:
-            names, column, row = batch.column(0).to_pylist(), batch.column(1), 0
+            names, column, row = batch.column(0).to_pylist(), batch.column(1).fill_null(""), 0
+            sizes = np.cumsum(np.append(0, pc.binary_length(column).to_numpy(zero_copy_only=False)))
             while row < len(names):
-                texts, chars = [], 0
-                while row + len(texts) < len(names) and (not texts or chars < PIECE_CHARS):
-                    texts.append(column[row + len(texts)].as_py() or "")
-                    chars += len(texts[-1])
-                for name, own in zip(names[row : row + len(texts)], enc.encode(texts)):
+                n = max(1, int(np.searchsorted(sizes, sizes[row] + PIECE_BYTES, "right")) - 1 - row)
+                for name, own in zip(names[row : row + n], enc.encode(column.slice(row, n))):
                     if docs and held + len(own) + 1 > FILE_IDS:
                         yield file()
                         seq, ids, docs, held = seq + 1, [], [], 0
                     ids.append(np.concatenate((own, end)))
                     docs.append(name)
                     held += len(own) + 1
-                row += len(texts)
+                row += n
         if docs:
             yield file()
 
