@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from roadgrid.llm.store import cut
 from roadgrid.llm.text import pinned, whole
+from roadgrid.llm.text import words as words_of
 
 
 def _digits(x: Column) -> Column:
@@ -101,7 +102,7 @@ def spans_in(docs: DataFrame) -> DataFrame:
             (s["start"] + lead).alias("start"),
             (s["start"] + lead + F.length(word)).alias("end"),
             F.coalesce(F.substring(F.col("text"), seed["start"] + 1, seed["end"] - seed["start"]), word).alias("word"),
-            F.lower(F.regexp_replace(near, r"[^\p{L}]+", "")).alias("pattern"),
+            _bare(near).alias("pattern"),
             seed["kind"].alias("seed"),
             covered.alias("covered"),
         )
@@ -110,19 +111,34 @@ def spans_in(docs: DataFrame) -> DataFrame:
     return docs.withColumn("candidates", found).drop("_digit", "_found", *[f"_{k.name}" for k in KINDS])
 
 
-def trusted_patterns(edges: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
-    """pattern, confidence of the trusted patterns of edges(pattern, word, seed).
+def _bare(word: Column) -> Column:
+    """What a pattern keeps of a word: its letters, in lower case."""
+    return F.lower(F.regexp_replace(word, r"[^\p{L}]+", ""))
+
+
+def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """pattern, total: how often each of patterns(pattern) occurs in docs(text)."""
+    words = docs.select(F.explode(words_of(F.col("text"))).alias("w")).select(_bare(F.col("w")).alias("pattern"))
+    if patterns.count() <= BROADCAST_PATTERNS:
+        words = words.join(F.broadcast(patterns), "pattern", "left_semi")
+    return words.groupBy("pattern").agg(F.count("*").alias("total")).join(patterns, "pattern", "left_semi")
+
+
+def trusted_patterns(edges: DataFrame, totals: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
+    """pattern, confidence of the trusted patterns of edges(pattern, word, seed), one row an occurrence.
 
     Words and the patterns they stand in form a graph. Seeds have confidence 1.
-    A pattern's confidence is the sum of its words' over one more than their
-    number; a word's is that one of its trusted patterns is right. Each round
-    starts from the words' last confidences.
+    A pattern's confidence is the sum of the confidences of what follows it over
+    one more than the times it occurs at all, whatever follows; a word's is that
+    one of its trusted patterns is right. Each round starts from the words' last
+    confidences.
     """
-    edges = cut(edges.groupBy("pattern", "word").agg(F.max("seed").alias("seed")))
+    edges = cut(edges.groupBy("pattern", "word").agg(F.max("seed").alias("seed"), F.count("*").alias("n")).join(totals, "pattern"))
     sure = edges.groupBy("word").agg(F.max("seed").cast("double").alias("trust"))
     patterns = None
     for _ in range(rounds):
-        scored = edges.join(sure, "word").groupBy("pattern").agg((F.sum("trust") / (F.count("*") + 1)).alias("confidence"), F.count_if(F.col("trust") >= confidence).alias("support"))
+        follows = F.sum(F.col("trust") * F.col("n")) / (F.max("total") + 1)
+        scored = edges.join(sure, "word").groupBy("pattern").agg(follows.alias("confidence"), F.count_if(F.col("trust") >= confidence).alias("support"))
         patterns = cut(scored.where((F.col("confidence") >= confidence) & (F.col("support") >= support)).select("pattern", "confidence"))
         heard = edges.join(patterns, "pattern", "left")
         miss = F.exp(F.sum(F.log(1 - F.least(F.coalesce("confidence", F.lit(0.0)), F.lit(0.999)))))
@@ -143,7 +159,8 @@ def find(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE,
     rows = docs.select("doc_id", F.xxhash64("text").alias("_t"), whole(F.col("text")).alias("text"))
     rows = cut(spans_in(rows).drop("text"))
     each = rows.where(F.size("candidates") > 0).select("doc_id", "_t", F.explode("candidates").alias("c")).select("doc_id", "_t", "c.*")
-    patterns = trusted_patterns(each.where("pattern <> ''").select("pattern", "word", F.col("seed").isNotNull().alias("seed")), rounds, confidence, support)
+    edges = each.where("pattern <> ''").select("pattern", "word", F.col("seed").isNotNull().alias("seed"))
+    patterns = trusted_patterns(edges, occurrences(docs, cut(edges.select("pattern").distinct())), rounds, confidence, support)
     patterns = F.broadcast(patterns) if patterns.count() <= BROADCAST_PATTERNS else patterns
     span = F.struct(F.lit(CONTEXT).alias("kind"), "start", "end")
     more = each.where("NOT covered").join(patterns, "pattern").groupBy("doc_id", "_t").agg(F.sort_array(F.collect_set(span)).alias("more"))
