@@ -33,6 +33,8 @@ GRAM = 32
 PIECE = 1 << 20
 #: Contexts whose halves are sorted in one suffix array, but for a larger group.
 SHARD = 20_000
+#: An anchor's contexts that go to one task; beyond that their windows are counted one by one, in no group.
+GROUP_CONTEXTS = 50_000
 #: Groups up to this size compare their contexts pair by pair; larger ones by classes, offset by offset.
 PAIRS = 48
 #: Where a half's bytes are cut into symbols.
@@ -313,14 +315,14 @@ def settle(groups: list) -> list:
 
 def _contexts(batches):
     """Of each text, the contexts asked for, as bytes."""
-    out = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("once", pa.bool_()), ("before", pa.int32()), ("windows", pa.int32()), ("bytes", pa.binary())])
+    out = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("once", pa.bool_()), ("many", pa.bool_()), ("before", pa.int32()), ("windows", pa.int32()), ("bytes", pa.binary())])
     for batch in batches:
         rows = []
         for text, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
             data = (text.as_py() or "").encode("utf-8", "surrogatepass")
             for x in wanted:
                 p, lo, hi = x["place"], x["lo"], x["hi"]
-                rows.append((x["anchor"], x["context"], x["once"], p - lo, hi - lo, data[lo : hi + SPAN]))
+                rows.append((x["anchor"], x["context"], x["once"], x["many"], p - lo, hi - lo, data[lo : hi + SPAN]))
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t.type) for k, t in enumerate(out)], schema=out)
 
 
@@ -350,6 +352,33 @@ def _settled(batches):
     yield done(groups)
 
 
+def _windows(batches):
+    """A row for each window of contexts: its offset (anchor minus start) and hash."""
+    names = ["anchor", "context", "once", "a", "window"]
+    for batch in batches:
+        for anchor, context, once, before, windows, data in zip(*(c.to_pylist() for c in batch.columns)):
+            x = np.frombuffer(data, np.uint8)
+            up, down = powers(len(x) + 1)
+            codes = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(jaccard.BASE))
+            run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes[x] * up[: len(x)], dtype=np.uint64)))
+            n = windows + 1
+            h = mix((run[SPAN : SPAN + n] - run[:n]) * down[:n])
+            own = [pa.array([v] * n, t) for v, t in ((anchor, pa.int64()), (context, pa.int64()), (once, pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*own, pa.array((before - np.arange(n)).astype(np.int32)), pa.array(h.view(np.int64))], names=names)
+
+
+def counted(pieces: DataFrame) -> DataFrame:
+    """anchor, context, spans as of settled contexts, for anchors with too many contexts for a task.
+
+    A window's rows are counted before the shuffle; no group is gathered but the
+    windows of one context.
+    """
+    rows = written(pieces.mapInArrow(_windows, "anchor long, context long, once boolean, a int, window long"), "windows")
+    often = rows.groupBy("anchor", "a", "window").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    hits = rows.where("once").join(often, ["anchor", "a", "window"])
+    return hits.groupBy("anchor", "context").agg(F.collect_list(F.struct("a", F.col("a").alias("b"))).alias("spans"))
+
+
 def _cleaned(batches):
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
     for batch in batches:
@@ -379,15 +408,21 @@ def repeated(docs: DataFrame) -> DataFrame:
     found = written(docs.mapInArrow(_anchored, ANCHORS), "anchors")
     one = F.min(F.struct("doc_id", "text_hash", "place", "lo", "hi")).alias("one")
     kinds = written(found.groupBy("anchor", "context").agg(F.count("*").alias("n"), one), "contexts")
-    open_anchors = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("single")).where("kinds > 1 AND single > 0").select("anchor")
-    wanted = kinds.join(open_anchors, "anchor", "left_semi").select("one.*", "anchor", "context", (F.col("n") == 1).alias("once"))
-    by_doc = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("anchor", "context", "once", "place", "lo", "hi")).alias("wanted"))
+    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("single")).where("kinds > 1 AND single > 0").select("anchor", "kinds")
+    wanted = kinds.join(mixed, "anchor").select("one.*", "anchor", "context", (F.col("n") == 1).alias("once"), (F.col("kinds") > GROUP_CONTEXTS).alias("many"))
+    by_doc = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("anchor", "context", "once", "many", "place", "lo", "hi")).alias("wanted"))
     by_doc = written(by_doc.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), "wanted"), "wanted")
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t"))
-    pieces = docs.join(by_doc, same).select("text", "wanted").mapInArrow(_contexts, "anchor long, context long, once boolean, before int, windows int, bytes binary").dropDuplicates(["anchor", "context"])
+    pieces = docs.join(by_doc, same).select("text", "wanted").mapInArrow(_contexts, "anchor long, context long, once boolean, many boolean, before int, windows int, bytes binary")
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    settled = pieces.repartition(n, "anchor").sortWithinPartitions("anchor", "context").mapInArrow(_settled, "anchor long, context long, spans array<struct<a int, b int>>")
+    pieces = pieces.repartition(n, "anchor").dropDuplicates(["anchor", "context"])
+    some_many = not by_doc.where(F.exists("wanted", lambda x: x["many"])).isEmpty()
+    pieces = written(pieces, "pieces") if some_many else pieces
+    small = pieces.where("NOT many").drop("many")
+    small = (small.repartition(n, "anchor") if some_many else small).sortWithinPartitions("anchor", "context")
+    settled = small.mapInArrow(_settled, "anchor long, context long, spans array<struct<a int, b int>>")
     whole = F.array(F.struct(F.lit(None).cast("int").alias("a"), F.lit(None).cast("int").alias("b")))
+    settled = settled.unionByName(counted(pieces.where("many").drop("many"))) if some_many else settled
     verdicts = written(settled.unionByName(kinds.where("n > 1").select("anchor", "context", whole.alias("spans"))), "verdicts")
     hits = found.join(verdicts, ["anchor", "context"]).select("doc_id", "text_hash", "place", "lo", "hi", F.explode("spans").alias("s"))
     first, last = F.coalesce(F.col("place") - F.col("s.b"), "lo"), F.coalesce(F.col("place") - F.col("s.a"), "hi")

@@ -240,6 +240,12 @@ def test_suffix_dedup_of_a_frequent_passage(spark, monkeypatch):
     assert repeats_of(spark, rows) == dict(zip([d for d, _ in rows], brute_repeats([t for _, t in rows])))
 
 
+def test_suffix_dedup_counts_windows_of_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "GROUP_CONTEXTS", 3)
+    rows = passages(random.Random(9), 100)
+    assert repeats_of(spark, rows) == dict(zip([d for d, _ in rows], brute_repeats([t for _, t in rows])))
+
+
 def test_suffix_edges(spark):
     rows = suffix.repeated(edge(spark)).collect()
     assert len(rows) == len(EDGE) and all(r["n_removed"] == r["n_bytes"] for r in rows if r["doc_id"] == 4)
