@@ -28,8 +28,12 @@ def reject_reason(text: Column, confidence: Column, failed: Column | None = None
     )
 
 
-def read_plate(raw: Column, probabilities: Column, failed: Column | None = None) -> Column:
+def filtered(text: Column, confidence: Column, failed: Column | None = None) -> Column:
     """struct<text, confidence, reason>; a dropped reading has an empty text and confidence 0."""
-    text, confidence = X.normalise_reading(raw), mean_confidence(probabilities)
     reason = reject_reason(text, confidence, failed)
     return F.struct(F.when(reason.isNull(), text).otherwise("").alias("text"), F.when(reason.isNull(), confidence).otherwise(0.0).alias("confidence"), reason.alias("reason"))
+
+
+def read_plate(raw: Column, probabilities: Column, failed: Column | None = None) -> Column:
+    """filtered() of a raw text and its characters' probabilities."""
+    return filtered(X.normalise_reading(raw), mean_confidence(probabilities), failed)

@@ -65,13 +65,15 @@ def char_confidence(spark, d):
 
 @query
 def ocr_cascade(spark, d):
-    """Readings by why they were dropped; a document's words meet the probability list of its id."""
+    """Readings by why they were dropped; a document's words meet the confidence of its id, which is worked out once."""
     text = X_.table(spark, d, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("token"))
-    probs = X_.probabilities(spark, d)
-    n = X_.table(spark, d, "embeddings").agg(F.max("vec_id").alias("most"))
-    keyed = text.crossJoin(F.broadcast(n)).select("token", (F.col("doc_id") % (F.col("most") + 1)).alias("id"))
-    read = keyed.join(probs, "id", "left").select(recognise.read_plate(F.col("token"), F.col("char_probs")).alias("r"))
-    return read.groupBy(F.coalesce("r.reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"), F.count_distinct("r.text").alias("texts"))
+    sure = X_.probabilities(spark, d).select("id", recognise.mean_confidence(F.col("char_probs")).alias("sure"))
+    most = X_.table(spark, d, "embeddings").agg((F.max("vec_id") + 1).alias("ids"))
+    # Equal readings of one id fare alike: they are counted before anything is judged.
+    counted = text.groupBy("doc_id", X.normalise_reading(F.col("token")).alias("text")).agg(F.count("*").alias("k"))
+    keyed = counted.crossJoin(F.broadcast(most)).select("text", "k", (F.col("doc_id") % F.col("ids")).alias("id"))
+    read = keyed.join(sure, "id", "left").select("k", recognise.filtered(F.col("text"), F.coalesce("sure", F.lit(1.0))).alias("r"))
+    return read.groupBy(F.coalesce("r.reason", F.lit("kept")).alias("reason")).agg(F.sum("k").alias("n"), F.count_distinct("r.text").alias("texts"))
 
 
 @query
