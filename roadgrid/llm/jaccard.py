@@ -30,7 +30,7 @@ BLOCK_SHINGLES = 1_500_000
 #: Candidate documents whose ids are broadcast to the texts; more of them are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Bytes of text that are hashed at once.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 M64 = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
