@@ -117,6 +117,53 @@ QUERIES = {
 _ESC = "replace(replace(replace(replace({}, '\\', '\\b'), '<', '\\l'), '[', '\\s'), ']', '\\e')"
 
 ORACLE_SQL = {
+    "op1_decontaminate": r"""
+WITH items AS (
+  SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS words FROM benchmark
+), igrams AS (
+  SELECT item_id, len(words) AS n, len(words) - 4 AS ng, unnest(range(0, len(words) - 4)) AS p, words FROM items WHERE len(words) >= 5
+), i AS (
+  SELECT item_id, n, ng, p, array_to_string(words[p + 1:p + 5], ' ') AS g FROM igrams
+), d AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS words FROM documents
+), dgrams AS (
+  SELECT doc_id, unnest(range(0, len(words) - 4)) AS q, words FROM d WHERE len(words) >= 5
+), hits AS (
+  SELECT doc_id, item_id, n, ng, p, q FROM (SELECT doc_id, q, array_to_string(words[q + 1:q + 5], ' ') AS g FROM dgrams) JOIN i USING (g)
+), found AS (
+  SELECT doc_id, item_id, n, ng FROM hits GROUP BY ALL HAVING count(DISTINCT p) >= 0.8 * ng
+), starts AS (
+  SELECT DISTINCT f.doc_id, f.item_id, f.n, f.ng, greatest(0, least(q - p, len(words) - f.n)) AS start, words
+  FROM found f JOIN hits h USING (doc_id, item_id) JOIN d USING (doc_id)
+), windows AS (
+  SELECT doc_id, item_id, n, ng, start, len(words[start + 1:start + n]) - 4 AS m, unnest(range(start, start + len(words[start + 1:start + n]) - 4)) AS k, words FROM starts
+), wcount AS (
+  SELECT doc_id, item_id, n, ng, start, m, array_to_string(words[k + 1:k + 5], ' ') AS g, count(*) AS c FROM windows GROUP BY ALL
+), icount AS (
+  SELECT item_id, g, count(*) AS c FROM i GROUP BY ALL
+), scored AS (
+  SELECT w.doc_id, w.item_id, w.n, w.start, sum(least(w.c, coalesce(x.c, 0))) / (w.m + w.ng - sum(least(w.c, coalesce(x.c, 0)))) AS similarity
+  FROM wcount w LEFT JOIN icount x ON x.item_id = w.item_id AND x.g = w.g GROUP BY w.doc_id, w.item_id, w.n, w.ng, w.start, w.m
+)
+SELECT doc_id, item_id, similarity, start::INT AS start, n::INT AS n FROM scored WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1""",
+    "op3_ngram_jaccard": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k:k + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS k FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM common JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)
+), both_ways AS (
+  SELECT x, y FROM links UNION SELECT y, x FROM links
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, b.y FROM reach r JOIN both_ways b ON b.x = r.other
+)
+SELECT doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(other) AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
     "op4_chat_format": f"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -24,7 +24,7 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
-@pytest.mark.parametrize("name", ["op4_chat_format", "op5_mix_sources", "op10_quality_rules"])
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, small, duck, same_rows, name):
     same_rows(queries.QUERIES[name](spark, small).toPandas(), duck.execute(queries.ORACLE_SQL[name]).df())
 
