@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from roadgrid.operators import match, metrics
 from roadgrid.plans import pipeline, report
-from roadgrid.sources import files, images, results, watchlist
+from roadgrid.sources import files, images, models, results, watchlist
 
 
 def _factory(name: str):
@@ -105,8 +105,8 @@ def keep_list(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
-    # Models use one thread each; tasks are what runs in parallel.
-    spark = SparkSession.builder.appName("roadgrid").config("spark.executorEnv.OMP_NUM_THREADS", "1").getOrCreate()
+    threads = {f"spark.executorEnv.{name}": value for name, value in models.THREAD_ENV.items()}
+    spark = SparkSession.builder.appName("roadgrid").config(map=threads).getOrCreate()
     try:
         return run(spark, a) if a.command == "run" else keep_list(spark, a)
     except KeyboardInterrupt:
