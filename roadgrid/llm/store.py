@@ -19,10 +19,14 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+_tables: list = []
+
+
 def written(df: DataFrame, label: str = "cut") -> DataFrame:
     """The rows of df as a Parquet table in shared storage, read back."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -33,3 +37,10 @@ def cut(df: DataFrame) -> DataFrame:
     which after some rounds of joins is a number of megabytes.
     """
     return written(df)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that this process has written; frames that read them are then of no use."""
+    while _tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -358,3 +358,15 @@ def test_pipeline_stages(spark, small):
         assert (r["doc_id"], r["start"]) == (d, at)
         at += len(e.tokenizer.encode(t or "", add_special_tokens=False).ids) + 1
     assert len(rows) == len(got)
+
+
+def test_written_tables_can_be_released(spark):
+    import os
+
+    from roadgrid.llm import store
+
+    df = store.cut(spark.range(3).toDF("x"))
+    path = store._tables[-1].removeprefix("file:")
+    assert df.count() == 3 and os.path.isdir(path)
+    store.release(spark)
+    assert not os.path.isdir(path)
