@@ -1,0 +1,19 @@
+"""What a Python worker keeps from task to task."""
+
+from __future__ import annotations
+
+import sys
+import types
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def kept(name: str) -> dict:
+    """A dict that lives as long as the worker.
+
+    Modules that travel with their functions are new in each task, so their
+    globals don't last.
+    """
+    return sys.modules.setdefault("_roadgrid_worker", types.ModuleType("_roadgrid_worker")).__dict__.setdefault(name, {})

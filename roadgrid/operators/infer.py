@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from roadgrid import config as C
 from roadgrid.functions import geometry as G
+from roadgrid.functions.worker import kept
 from roadgrid.operators import imaging
 from roadgrid.sources import images as I
 
@@ -23,7 +24,6 @@ for _module in (sys.modules[__name__], I, imaging, C):
 
 DETECTED = f"path string, image string, height int, width int, channels int, data binary, boxes {C.BOXES}, yolo_time_s double, worker_id long, error string"
 READ = "path string, image string, plate string, char_probs array<double>, failed boolean, crop binary, preprocessed binary, ocr_time_s double, worker_id long"
-_models: dict = {}
 
 
 class Detector(Protocol):
@@ -38,11 +38,12 @@ class Recogniser(Protocol):
 
 def _model(factory: Callable, warm: Callable):
     """One model of a factory a Python worker, loaded and warmed up before any row is timed."""
+    models = kept("models")
     key = (getattr(factory, "__module__", ""), getattr(factory, "__qualname__", repr(factory)))
-    if key not in _models:
-        _models[key] = factory()
-        warm(_models[key])
-    return _models[key]
+    if key not in models:
+        models[key] = factory()
+        warm(models[key])
+    return models[key]
 
 
 def _worker() -> int:
