@@ -14,6 +14,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadgrid.functions.worker import kept
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Bytes of text that are scanned at once, but for a longer text.
@@ -325,7 +327,10 @@ def scanned(texts: list, scanner: Scanner) -> list:
 
 def _finder(machine: Automaton, rules):
     def find(batches):
-        scanner = Scanner(machine, rules)
+        scanners = kept("scanners")
+        if (key := repr(rules)) not in scanners:
+            scanners[key] = Scanner(machine, rules)
+        scanner = scanners[key]
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         out = pa.schema([("doc_id", pa.int64()), ("spans", kind)])
         for batch in batches:

@@ -14,6 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadgrid.functions.worker import kept
 from roadgrid.llm.store import written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -25,11 +26,11 @@ BLOCK = 4096
 PERCENTILE = 95.0
 MAGIC = b"RGTI"
 #: Ids a file holds at most, but for its last document.
-FILE_IDS = 1 << 22
+FILE_IDS = 1 << 20
 #: Words whose ids a Python worker remembers.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 #: Bytes of text that are tokenized at once, but for a longer text.
-PIECE_BYTES = 6 << 20
+PIECE_BYTES = 4 << 20
 
 
 # --- file format -----------------------------------------------------------
@@ -210,16 +211,15 @@ class Encoder(dict):
         return np.split(self.flat[place], np.concatenate(([0], ends))[np.cumsum(sizes)[:-1]])
 
 
-_encoders: dict = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
+    """The worker's encoder, with the words it knows."""
+    encoders = kept("encoders")
+    if path not in encoders:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+        encoders[path] = Encoder(path)
+    return encoders[path]
 
 
 def vocabulary_path(vocabulary: str) -> str:
