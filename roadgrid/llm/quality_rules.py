@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roadgrid.llm.store import cut
 from roadgrid.llm.text import SPACES, pinned, whole, words
 
 WINDOW = 5
@@ -104,7 +105,7 @@ def quality(docs: DataFrame, docs_limit: int = LINE_DOCS, percent: int = LINE_PE
     their host and go.
     """
     rules = document_rules(docs)
-    lines = document_lines(docs)
+    lines = cut(document_lines(docs))  # counted, then joined
     hosts = docs.groupBy(F.col("source").alias("host")).agg(F.count_distinct(F.coalesce(F.col("doc_id"), F.lit(-1))).alias("host_docs"))
     often = frequent_lines(lines, hosts, docs_limit, percent).select(F.col("host").alias("_h"), F.col("line").alias("_line"))
     removed = (
