@@ -266,6 +266,51 @@ def signature_edges(signed: DataFrame) -> DataFrame:
     return chained.where("a <> b").select("a", "b").union(ends.join(heads, "sig").where("a <> key").select("a", F.col("key").alias("b")))
 
 
+def _blocks(members: DataFrame, name: str) -> DataFrame:
+    """root, number of blocks that its members make."""
+    return members.groupBy("root").agg(F.ceil(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES)).cast("int").alias(name))
+
+
+def _met(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """a, b: links between members of places(root, kind, i, j, key, _id) that share root, kind, i and j."""
+    places = cut(places)
+    small = F.broadcast(places) if places.count() <= BROADCAST_IDS else places
+    rows = docs.join(small, docs["doc_id"].eqNullSafe(small["_id"])).select("root", "kind", "i", "j", "key", "text")
+    return rows.groupBy("root", "kind", "i", "j").applyInArrow(_compared, "a long, b long").where("a <> b")
+
+
+def group_links(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """a, b: links that join the members of candidates(root, key, _id, n_shingles, blocks) as all links of a group do.
+
+    A group is compared in blocks, each with the group's first member besides.
+    Of a group of several blocks, most members are then one component, and those
+    of it need no more comparison with each other: only the rest meets every
+    block, and itself.
+    """
+    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    large = candidates.where("blocks > 1")
+    hubs = large.groupBy("root").agg(F.min(F.struct("key", "_id", "blocks")).alias("hub")).select("root", "hub.*")
+    zero, own = F.lit(0).alias("j"), ["key", "_id"]
+    places = candidates.select("root", F.lit("own").alias("kind"), block.alias("i"), zero, *own)
+    links = cut(_met(docs, places.union(hubs.select("root", F.lit("own"), each("blocks"), zero, *own))))
+    if large.isEmpty():
+        return links
+    labels = components(links).select(F.col("node").alias("key"), F.col("root").alias("label"))
+    members = cut(large.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")))
+    main = members.groupBy("root", "label").agg(F.count("*").alias("n")).groupBy("root").agg(F.max(F.struct("n", "label"))["label"].alias("main"))
+    members = members.join(main, "root")
+    rest = members.where("label <> main")
+    rest = cut(rest.join(_blocks(rest, "rests"), "root"))
+    if rest.isEmpty():
+        return links
+    x = F.pmod(F.xxhash64("key"), F.col("rests")).cast("int")
+    among = rest.select("root", F.lit("rest").alias("kind"), x.alias("x"), each("rests").alias("y"), *own).select("root", "kind", F.least("x", "y"), F.greatest("x", "y"), *own)
+    against = rest.select("root", F.lit("main"), x, each("blocks"), *own)
+    mains = members.where("label = main").join(rest.select("root", "rests").distinct(), "root").select("root", F.lit("main"), each("rests"), block, *own)
+    return links.union(cut(_met(docs, among.toDF("root", "kind", "i", "j", *own).union(against).union(mains))))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs(doc_id, text).
 
@@ -280,17 +325,8 @@ def classes(docs: DataFrame) -> DataFrame:
     sets = signed.where("n_shingles > 0")
     by_key = cut(sets.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles")))
     candidates = components(signature_edges(sets)).withColumnRenamed("node", "key")
-    candidates = candidates.join(by_key, "key")
-    sizes = candidates.groupBy("root").agg(F.ceil(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    candidates = cut(candidates.join(sizes, "root").select("root", "key", F.col("rep").alias("_id"), "blocks"))
-    small = F.broadcast(candidates) if candidates.count() <= BROADCAST_IDS else candidates
-    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    met = (
-        docs.join(small, docs["doc_id"].eqNullSafe(small["_id"]))
-        .select("root", "key", "text", block.alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"))
-        .select("root", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "key", "text")
-    )
-    links = cut(met.groupBy("root", "i", "j").applyInArrow(_compared, "a long, b long").where("a <> b"))
+    candidates = candidates.join(by_key, "key").select("root", "key", F.col("rep").alias("_id"), "n_shingles")
+    links = group_links(docs, cut(candidates.join(_blocks(candidates, "blocks"), "root")))
     parts = components(links)
     joined = parts.join(by_key.select(F.col("key").alias("node"), "rep"), "node")
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))

@@ -114,6 +114,13 @@ def test_jaccard_blocks_of_a_large_group(spark, monkeypatch):
     assert got == brute_classes(rows)
 
 
+def test_jaccard_blocks_of_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 60)
+    rows = near_copies(random.Random(21), 300)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(1, 400), st.integers(0, 60), st.integers(0, 60), st.integers(0, 2**32))
 def test_signatures_meet(n, gone, new, seed):
