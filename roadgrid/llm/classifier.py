@@ -15,6 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadgrid.functions.worker import tidied
 from roadgrid.llm.store import written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -28,7 +29,7 @@ MIN_DOCS = 6
 STEPS, RATE, PENALTY = 150, 0.1, 3e-4
 KEEP_GRADE, KEEP_TAIL = 2, 0.5
 #: Words whose weights a Python worker remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 SHARE_SCALE = 4.0
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -209,7 +210,7 @@ def score(docs: DataFrame, model: Model, keep_tail: float = KEEP_TAIL) -> DataFr
 def _keeper(model: Model, keep_tail: float, place: int):
     def keep(batches):
         scored = _scorer(model)
-        for batch in batches:
+        for batch in tidied(batches):
             only = pa.RecordBatch.from_arrays([batch.column(place)], names=["text"])
             tail = next(scored([only])).column("tail").to_numpy()
             yield batch.filter(pa.array(tail >= keep_tail))

@@ -18,6 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadgrid.functions.worker import tidied
 from roadgrid.llm.graph import components
 from roadgrid.llm.store import cut, written
 
@@ -203,7 +204,7 @@ def linked(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
 
 def _signed(batches):
     out = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.int64()), ("sigs", pa.list_(pa.int64()))])
-    for batch in batches:
+    for batch in tidied(batches):
         ids, n, keys, sigs, ends = batch.column(0), [], [], [], [0]
         for s in sets_of(batch.column(1)):
             n.append(len(s))

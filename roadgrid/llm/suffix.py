@@ -20,6 +20,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadgrid.functions.worker import tidied
 from roadgrid.llm import jaccard
 from roadgrid.llm.jaccard import mix, powers
 from roadgrid.llm.store import written
@@ -159,7 +160,7 @@ def anchors(data: np.ndarray):
 
 def _anchored(batches):
     names = ["doc_id", "text_hash", "anchor", "context", "place", "lo", "hi"]
-    for batch in batches:
+    for batch in tidied(batches):
         parts = [[] for _ in names]
         for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             data = np.frombuffer((text.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)

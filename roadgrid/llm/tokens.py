@@ -14,7 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadgrid.functions.worker import kept
+from roadgrid.functions.worker import kept, tidied
 from roadgrid.llm.store import written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -28,9 +28,9 @@ MAGIC = b"RGTI"
 #: Ids a file holds at most, but for its last document.
 FILE_IDS = 1 << 20
 #: Words whose ids a Python worker remembers.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: Bytes of text that are tokenized at once, but for a longer text.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 
 # --- file format -----------------------------------------------------------
@@ -252,7 +252,7 @@ def _writer(vocabulary: str, end_id: int, block: int, percentile: float):
             row = [part, seq, docs[0], len(docs), held, docs, [len(x) for x in ids], data]
             return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(row, _FILES)], schema=_FILES)
 
-        for batch in batches:
+        for batch in tidied(batches):
             names, column, row = batch.column(0).to_pylist(), batch.column(1).fill_null(""), 0
             sizes = np.cumsum(np.append(0, pc.binary_length(column).to_numpy(zero_copy_only=False)))
             while row < len(names):
