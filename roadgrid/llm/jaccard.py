@@ -202,14 +202,14 @@ def linked(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     return root
 
 
-def _signed(batches):
+def _signed(batches, size: int = SHINGLE, percent: int = PERCENT):
     out = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.int64()), ("sigs", pa.list_(pa.int64()))])
     for batch in tidied(batches):
         ids, n, keys, sigs, ends = batch.column(0), [], [], [], [0]
-        for s in sets_of(batch.column(1)):
+        for s in sets_of(batch.column(1), size):
             n.append(len(s))
             keys.append(set_key(s))
-            sigs.append(signatures(s).view(np.int64))
+            sigs.append(signatures(s, percent).view(np.int64))
             ends.append(ends[-1] + len(sigs[-1]))
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sigs) if sigs else np.empty(0, np.int64)))
         yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), lists], schema=out)
@@ -236,18 +236,18 @@ def _chained(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (last[0], last[1], last[1])], schema=out)
 
 
-def _compared(group: pa.Table) -> pa.Table:
+def _compared(group: pa.Table, size: int = SHINGLE, percent: int = PERCENT) -> pa.Table:
     """key, root of the sets of a group: the links between its documents' texts."""
     seen: dict = {}
     wanted = group.column("key").to_numpy()
     at = 0
     for chunk in group.column("text").chunks:
-        for s in sets_of(chunk):
+        for s in sets_of(chunk, size):
             if set_key(s) == wanted[at]:
                 seen.setdefault(int(wanted[at]), s)
             at += 1
     keys = np.array(sorted(seen), np.int64)
-    root = linked([seen[int(k)] for k in keys]) if len(keys) else np.empty(0, np.int64)
+    root = linked([seen[int(k)] for k in keys], percent) if len(keys) else np.empty(0, np.int64)
     return pa.table({"a": pa.array(keys, pa.int64()), "b": pa.array(keys[root] if len(keys) else keys, pa.int64())})
 
 
@@ -272,15 +272,15 @@ def _blocks(members: DataFrame, name: str) -> DataFrame:
     return members.groupBy("root").agg(F.ceil(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES)).cast("int").alias(name))
 
 
-def _met(docs: DataFrame, places: DataFrame) -> DataFrame:
+def _met(docs: DataFrame, places: DataFrame, size: int, percent: int) -> DataFrame:
     """a, b: links between members of places(root, kind, i, j, key, _id) that share root, kind, i and j."""
     places = cut(places)
     small = F.broadcast(places) if places.count() <= BROADCAST_IDS else places
     rows = docs.join(small, docs["doc_id"].eqNullSafe(small["_id"])).select("root", "kind", "i", "j", "key", "text")
-    return rows.groupBy("root", "kind", "i", "j").applyInArrow(_compared, "a long, b long").where("a <> b")
+    return rows.groupBy("root", "kind", "i", "j").applyInArrow(lambda group: _compared(group, size, percent), "a long, b long").where("a <> b")
 
 
-def group_links(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+def group_links(docs: DataFrame, candidates: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """a, b: links that join the members of candidates(root, key, _id, n_shingles, blocks) as all links of a group do.
 
     A group is compared in blocks, each with the group's first member besides.
@@ -294,7 +294,7 @@ def group_links(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     hubs = large.groupBy("root").agg(F.min(F.struct("key", "_id", "blocks")).alias("hub")).select("root", "hub.*")
     zero, own = F.lit(0).alias("j"), ["key", "_id"]
     places = candidates.select("root", F.lit("own").alias("kind"), block.alias("i"), zero, *own)
-    links = cut(_met(docs, places.union(hubs.select("root", F.lit("own"), each("blocks"), zero, *own))))
+    links = cut(_met(docs, places.union(hubs.select("root", F.lit("own"), each("blocks"), zero, *own)), size, percent))
     if large.isEmpty():
         return links
     labels = components(links).select(F.col("node").alias("key"), F.col("root").alias("label"))
@@ -309,11 +309,11 @@ def group_links(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     among = rest.select("root", F.lit("rest").alias("kind"), x.alias("x"), each("rests").alias("y"), *own).select("root", "kind", F.least("x", "y"), F.greatest("x", "y"), *own)
     against = rest.select("root", F.lit("main"), x, each("blocks"), *own)
     mains = members.where("label = main").join(rest.select("root", "rests").distinct(), "root").select("root", F.lit("main"), each("rests"), block, *own)
-    return links.union(cut(_met(docs, among.toDF("root", "kind", "i", "j", *own).union(against).union(mains))))
+    return links.union(cut(_met(docs, among.toDF("root", "kind", "i", "j", *own).union(against).union(mains), size, percent)))
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs(doc_id, text).
+def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs(doc_id, text), linked by shingles of size words from percent % on.
 
     Texts without words (null and empty ones too) have an empty set and stand
     alone. Documents with equal sets are one class before anything is compared,
@@ -322,12 +322,12 @@ def classes(docs: DataFrame) -> DataFrame:
     the same component. Other columns aren't read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(docs.mapInArrow(_signed, "doc_id long, n_shingles long, key long, sigs array<long>"), "jaccard-signed")
+    signed = written(docs.mapInArrow(lambda batches: _signed(batches, size, percent), "doc_id long, n_shingles long, key long, sigs array<long>"), "jaccard-signed")
     sets = signed.where("n_shingles > 0")
     by_key = cut(sets.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles")))
     candidates = components(signature_edges(sets)).withColumnRenamed("node", "key")
     candidates = candidates.join(by_key, "key").select("root", "key", F.col("rep").alias("_id"), "n_shingles")
-    links = group_links(docs, cut(candidates.join(_blocks(candidates, "blocks"), "root")))
+    links = group_links(docs, cut(candidates.join(_blocks(candidates, "blocks"), "root")), size, percent)
     parts = components(links)
     joined = parts.join(by_key.select(F.col("key").alias("node"), "rep"), "node")
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -337,11 +337,11 @@ def classes(docs: DataFrame) -> DataFrame:
     return sets.select("doc_id", "n_shingles", "key").join(named, "key").select("doc_id", "n_shingles", "component_id").union(alone)
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs without those whose component has a smaller doc_id; all columns stay.
 
     Rows that share a doc_id are one document; rows without one stay.
     """
-    gone = cut(classes(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    gone = cut(classes(docs, size, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
     small = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     return docs.join(small, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -131,6 +131,33 @@ def test_signatures_meet(n, gone, new, seed):
         assert len(np.intersect1d(jaccard.signatures(a), jaccard.signatures(b)))
 
 
+def five_word_classes(rows):
+    """doc_id to the least doc_id of its component: 5-word shingles, 80 %, all pairs."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for _, t in rows]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    near = {x: {y for y, t in enumerate(sets) if s and t and 100 * len(s & t) >= 80 * len(s | t)} | {x} for x, s in enumerate(sets)}
+    out = {}
+    for x, (d, _) in enumerate(rows):
+        reached, todo = {x}, [x]
+        while todo:
+            new = near[todo.pop()] - reached
+            reached |= new
+            todo += new
+        out[d] = min(rows[y][0] for y in reached)
+    return out
+
+
+def test_jaccard_of_five_words_at_80_percent(spark, monkeypatch):
+    rows = near_copies(random.Random(31), 400)
+    want = five_word_classes(rows)
+    assert want != {d: c for d, (_, c) in brute_classes(rows).items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.classes(docs, 5, 80).collect()} == want
+    assert {r["doc_id"] for r in jaccard.one_of_each(docs, 5, 80).collect()} == {d for d, c in want.items() if c == d}
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 60)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.classes(docs, 5, 80).collect()} == want
+
+
 def test_jaccard_edges(spark):
     rows = jaccard.classes(edge(spark)).collect()
     assert len(rows) == len(EDGE)
