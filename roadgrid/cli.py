@@ -63,15 +63,15 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
     now = time.strftime("%Y-%m-%d %H:%M:%S")
     results.append_run(metrics.run_log_row(numbers, now, "1", a.execution, a.workers or workers, workers, 0.0), f"{a.output}/runs")
     m = numbers.first()
-    stolen = match.stolen_only(out).select("plate_text", "image").limit(report.REPORT_ROWS).collect()
-    log.info(report.summary(m, a.execution, a.workers or workers, workers, 0.0, stolen))
+    log.info(report.summary(m, a.execution, a.workers or workers, workers, 0.0))
+    for row in match.stolen_only(out).orderBy("image", "crop_path").select("plate_text", "image").toLocalIterator():
+        log.info(report.stolen_line(row))
     position = F.row_number().over(report_order())
-    page = report.html_report(report.report_rows(out, position), m, a.execution, a.workers or workers, workers, now)
     if "://" not in a.output:
         images.export(rows.select("crop_path", "crop"), f"{a.output}/crops", "crop_path", "crop")
         images.export(rows.select("preprocessed_path", "preprocessed"), f"{a.output}/preprocessed", "preprocessed_path", "preprocessed")
         with open(os.path.join(a.output, "report.html"), "w", encoding="utf-8") as file:
-            file.write(page)
+            file.writelines(report.html_pieces(report.report_rows(out, position), m, a.execution, a.workers or workers, workers, now))
     return 0
 
 

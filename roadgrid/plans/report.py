@@ -1,11 +1,11 @@
-"""Reports for people: HTML and terminal texts from bounded rows."""
+"""Reports for people: HTML and terminal texts; rows come to the driver a partition at a time."""
 
 from __future__ import annotations
 
 import html
-import json
 import logging
 import sys
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from roadgrid import config as C
 from roadgrid.functions import text as X
 
-#: Rows of a report; more of them make no page that anyone reads.
-REPORT_ROWS = 20_000
 COLOURS = {"red": "\033[91m", "green": "\033[92m", "yellow": "\033[93m", "magenta": "\033[95m", "none": ""}
 
 
@@ -52,7 +50,11 @@ def paint(text: str, colour: str, tty: bool | None = None) -> str:
     return f"{COLOURS[colour]}{text}\033[0m" if tty and COLOURS.get(colour) else text
 
 
-def summary(metrics: Row, mode: str, requested: int, effective: int, warmup: float, stolen: list[Row] = (), tty: bool | None = None) -> str:
+def stolen_line(row: Row, tty: bool | None = None) -> str:
+    return paint(f"Placa {row['plate_text']}  arquivo {row['image']}", "red", tty)
+
+
+def summary(metrics: Row, mode: str, requested: int, effective: int, warmup: float, stolen: Iterable[Row] = (), tty: bool | None = None) -> str:
     """The run's summary as lines of text."""
     m = metrics.asDict()
     workers = str(effective) if requested == effective else f"{effective} (solicitado: {requested})"
@@ -80,7 +82,7 @@ def summary(metrics: Row, mode: str, requested: int, effective: int, warmup: flo
     lines = [f"{k:<18}: {v}" for k, v in out]
     if m["roubado_count"]:
         lines.append(paint(f"ALERTA: {m['roubado_count']} VEÍCULO(S) ROUBADO(S) IDENTIFICADO(S)", "red", tty))
-        lines += [paint(f"Placa {r['plate_text']}  arquivo {r['image']}", "red", tty) for r in stolen]
+        lines += [stolen_line(r, tty) for r in stolen]
     return "\n".join(lines)
 
 
@@ -111,28 +113,40 @@ show();
 """
 
 
-def html_report(rows: DataFrame, metrics: Row, mode: str, requested: int, effective: int, when: str) -> str:
-    """One page of the first REPORT_ROWS rows by idx; texts are escaped. rows come from report_rows()."""
+def html_pieces(rows: DataFrame, metrics: Row, mode: str, requested: int, effective: int, when: str) -> Iterator[str]:
+    """The page of all rows by idx, in pieces to write one after the other; texts are escaped. rows come from report_rows()."""
     columns = ["idx", "image", "plate_text", "status", "label", "label_class", "confidence_percent", "total_time_s", "worker_id", "crop_rel", "original_rel", "error"]
-    data = [r["j"] for r in rows.orderBy("idx").limit(REPORT_ROWS).select(X.json_row(*columns).alias("j")).collect()]
     m = metrics.asDict()
     cards = {
         "Tempo Total": f"{m['total_processing_time_s']:.2f}s", "Imagens / s": f"{m['throughput_img_per_s']:.2f}", "Imagens Processadas": m["total_images"],
         "Workers Efetivos": effective if requested == effective else f"{effective} (solicitado: {requested})", "Status OK": m["ok_count"], "Roubados Detectados": m["roubado_count"],
     }
-    stolen = [r for r in map(json.loads, data) if r["status"] == C.STOLEN]
-    alert = "".join(f"<li>{html.escape(r['plate_text'])} · {html.escape(r['image'])}</li>" for r in stolen)
     options = "".join(f'<option value="{s}">{html.escape(C.STATUS_LABELS[s])}</option>' for s in C.STATUSES)
-    return (
+    yield (
         f'<!DOCTYPE html><html lang="pt-BR"><meta charset="utf-8"><title>Relatório de placas</title><style>{_STYLE}</style>'
         f"<h1>Relatório de placas</h1><p>{html.escape(mode)} · {html.escape(when)}</p>"
         f'<div class="cards">{"".join(f"<div><b>{html.escape(str(v))}</b><br>{html.escape(k)}</div>" for k, v in cards.items())}</div>'
-        + (f'<section class="stolen"><h2>ALERTA: {len(stolen)} VEÍCULO(S) ROUBADO(S)</h2><ul>{alert}</ul></section>' if stolen else "")
-        + f'<p><select id="status"><option value="all">Todos</option>{options}</select> <input id="query" placeholder="placa ou arquivo"></p>'
+    )
+    stolen = rows.where(F.col("status") == C.STOLEN)
+    if n := stolen.count():
+        yield f'<section class="stolen"><h2>ALERTA: {n} VEÍCULO(S) ROUBADO(S)</h2><ul>'
+        for r in stolen.orderBy("idx").select("plate_text", "image").toLocalIterator():
+            yield f"<li>{html.escape(r['plate_text'] or '')} · {html.escape(r['image'] or '')}</li>"
+        yield "</ul></section>"
+    yield (
+        f'<p><select id="status"><option value="all">Todos</option>{options}</select> <input id="query" placeholder="placa ou arquivo"></p>'
         "<table><thead><tr><th>Arquivo<th>Placa<th>Status<th>Confiança<th>Tempo<th>Worker</tr></thead><tbody></tbody></table>"
         '<dialog><img alt=""><p></p><form method="dialog"><button>Fechar</button></form></dialog>'
-        f'<script type="application/json" id="rows">[{",".join(data)}]</script><script>{_SCRIPT}</script></html>'
+        '<script type="application/json" id="rows">['
     )
+    for k, r in enumerate(rows.orderBy("idx").select(X.json_row(*columns).alias("j")).toLocalIterator()):
+        yield f",{r['j']}" if k else r["j"]
+    yield f"]</script><script>{_SCRIPT}</script></html>"
+
+
+def html_report(rows: DataFrame, metrics: Row, mode: str, requested: int, effective: int, when: str) -> str:
+    """html_pieces() as one text."""
+    return "".join(html_pieces(rows, metrics, mode, requested, effective, when))
 
 
 def logger(name: str = "roadgrid", verbose: bool = False, quiet: bool = False) -> logging.Logger:

@@ -1,3 +1,4 @@
+import json
 import os
 import sys
 
@@ -93,6 +94,19 @@ def test_reports(spark, folder, tmp_path):
     assert results.load_runs(spark, log).count() == 2
 
 
+def test_report_has_all_rows(spark):
+    n = 20_500
+    status = F.when(F.col("id") % 5000 == 4999, C.STOLEN).when(F.col("id") == n - 1, C.STOLEN).otherwise(C.OK)
+    rows = spark.range(n).select(F.format_string("%06d.png", "id").alias("image"), F.format_string("P%06d", "id").alias("plate_text"), status.alias("status"), "id")
+    rows = pipeline.results(rows)
+    m = metrics.run_metrics(rows).first()
+    page = report.html_report(report.report_rows(rows.withColumn("id", F.substring("image", 1, 6).cast("long")), F.col("id") + 1), m, "parallel", 2, 2, "now")
+    alert = page[page.index("ALERTA: ") : page.index("</section>")]
+    assert alert.startswith("ALERTA: 5 ") and alert.count("<li>") == m["roubado_count"] == 5 and f"{n - 1:06d}.png" in alert
+    shown = json.loads(page[page.index('id="rows">') + 10 : page.index("</script>")])
+    assert [r["idx"] for r in shown] == list(range(n)) and shown[-1]["plate_text"] == f"P{n - 1:06d}"
+
+
 def test_empty_run(spark):
     m = metrics.run_metrics(spark.createDataFrame([], C.RESULT_SCHEMA)).first()
     assert m["total_images"] == 0 and m["avg_time_per_image_s"] == 0.0 and m["throughput_img_per_s"] == 0.0 and m["min_time_per_image_s"] == 0.0
