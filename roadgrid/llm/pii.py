@@ -46,9 +46,10 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", lambda x: F.length(_digits(x)).between(9, 15)),
 )
 CONTEXT = "context"
-#: Words with a digit or @: what may be an identifier.
-CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-ROUNDS = 3
+#: Words with a digit or @, and the groups of digits that follow one: what may be an identifier.
+CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+(?:(?<=[0-9)])\x20[0-9][0-9-]*+[^\x20\x09-\x0D\p{L}0-9@]*+(?![^\x20\x09-\x0D]))*+"
+#: Rounds end when the trusted patterns stay the same and none gains more confidence than this.
+SETTLED = 1e-6
 #: A pattern is trusted from this confidence on, when so many different trusted identifiers stand in it.
 CONFIDENCE, SUPPORT = 0.7, 3
 BROADCAST_PATTERNS = 500_000
@@ -82,8 +83,8 @@ def _valid_spans(kind: Kind) -> Column:
 def spans_in(docs: DataFrame) -> DataFrame:
     """docs(text, ...) plus base array<struct<kind, start, end>> and candidates, of every whole text.
 
-    base: by kind as listed, then by start. candidates: words with a digit or @
-    that no base span covers, or in which one begins, with the word before.
+    base: by kind as listed, then by start. candidates: words with a digit or @,
+    with the groups of digits after them, that no base span covers, or in which one begins, with the word before.
     """
     digit = F.rlike(F.col("text"), F.lit("[0-9]"))
     docs = pinned(docs, _digit=digit)
@@ -124,29 +125,35 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     return words.groupBy("pattern").agg(F.count("*").alias("total")).join(patterns, "pattern", "left_semi")
 
 
-def trusted_patterns(edges: DataFrame, totals: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
+def trusted_patterns(edges: DataFrame, totals: DataFrame, rounds: int | None = None, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """pattern, confidence of the trusted patterns of edges(pattern, word, seed), one row an occurrence.
 
     Words and the patterns they stand in form a graph. Seeds have confidence 1.
     A pattern's confidence is the sum of the confidences of what follows it over
     one more than the times it occurs at all, whatever follows; a word's is that
     one of its trusted patterns is right. Each round starts from the words' last
-    confidences.
+    confidences, which only rise; without a number of rounds they go on until
+    nothing changes.
     """
     edges = cut(edges.groupBy("pattern", "word").agg(F.max("seed").alias("seed"), F.count("*").alias("n")).join(totals, "pattern"))
     sure = edges.groupBy("word").agg(F.max("seed").cast("double").alias("trust"))
-    patterns = None
-    for _ in range(rounds):
+    patterns, done = None, 0
+    while rounds is None or done < rounds:
         follows = F.sum(F.col("trust") * F.col("n")) / (F.max("total") + 1)
         scored = edges.join(sure, "word").groupBy("pattern").agg(follows.alias("confidence"), F.count_if(F.col("trust") >= confidence).alias("support"))
-        patterns = cut(scored.where((F.col("confidence") >= confidence) & (F.col("support") >= support)).select("pattern", "confidence"))
+        before, patterns = patterns, cut(scored.where((F.col("confidence") >= confidence) & (F.col("support") >= support)).select("pattern", "confidence"))
+        done += 1
+        if rounds is None:
+            old = before.withColumnRenamed("confidence", "_old") if before is not None else patterns.select("pattern", F.lit(0.0).alias("_old"))
+            if patterns.join(old, "pattern", "left").where(F.col("_old").isNull() | (F.col("confidence") > F.col("_old") + SETTLED)).isEmpty():
+                break
         heard = edges.join(patterns, "pattern", "left")
         miss = F.exp(F.sum(F.log(1 - F.least(F.coalesce("confidence", F.lit(0.0)), F.lit(0.999)))))
         sure = cut(heard.groupBy("word").agg(F.when(F.max("seed"), 1.0).otherwise(1 - miss).alias("trust")))
     return patterns
 
 
-def find(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
+def find(docs: DataFrame, rounds: int | None = None, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """doc_id, base, more (arrays of struct<kind, start, end>) of every row of docs(doc_id, text).
 
     base has the base kinds' spans, in code points, the end exclusive, by kind

@@ -172,6 +172,23 @@ def test_pii_patterns_find_more(spark):
     assert pii.find(edge(spark)).count() == len(EDGE)
 
 
+def test_pii_rounds_go_on_until_nothing_changes(spark):
+    edges = [("p0", f"seed{k}", True) for k in range(100)]
+    for k in range(6):
+        edges += [(f"p{k}", f"w{k}-{x}", False) for x in range(3)] + [(f"p{k + 1}", f"w{k}-{x}", False) for x in range(3) for _ in range(34) if k < 5]
+    edges = spark.createDataFrame(edges, "pattern string, word string, seed boolean")
+    totals = edges.groupBy("pattern").agg(F.count("*").alias("total"))
+    got = lambda *a: sorted(r["pattern"] for r in pii.trusted_patterns(edges, totals, *a).collect())
+    assert got(3) == ["p0", "p1", "p2"] and got() == [f"p{k}" for k in range(6)]
+
+
+def test_pii_groups_of_digits(spark):
+    rows = [(k, f"please call +1 (632) 555-48{k:02d} today") for k in range(12)]
+    rows += [(20, "please call 555 123 4567, today"), (21, "please call (555) 123-4567 2 b"), (22, "please call 555 8.8.8.8 now"), (23, "please call 555 12x now")]
+    got = {r["doc_id"]: [tuple(s) for s in r["more"]] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: got[k] for k in (20, 21, 22, 23)} == {20: [("context", 12, 24)], 21: [("context", 13, 28)], 22: [("context", 12, 15)], 23: [("context", 12, 15)]}
+
+
 def test_pii_digest(spark, small, duck):
     texts = dict(duck.execute("SELECT doc_id, text FROM documents").fetchall())
     for r in queries.op2_personal_data(spark, small).collect():
