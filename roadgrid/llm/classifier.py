@@ -15,8 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadgrid.functions.worker import tidied
-from roadgrid.llm.store import written
+from roadgrid.llm.store import mapped, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -28,8 +27,8 @@ SAMPLE = 6000
 MIN_DOCS = 6
 STEPS, RATE, PENALTY = 150, 0.1, 3e-4
 KEEP_GRADE, KEEP_TAIL = 2, 0.5
-#: Words whose weights a Python worker remembers.
-CACHE_WORDS = 200_000
+#: Bytes of words whose weights a task remembers.
+CACHE_BYTES = 24 << 20
 SHARE_SCALE = 4.0
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -149,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     Features that fewer than MIN_DOCS texts have, and those whose slope at weight
     0 doesn't reach the penalty, are left out before anything is gathered.
     """
-    features = written(rated(docs, labels, sample).mapInArrow(_featured, "row long, grade int, code long, value double"), "classifier-features")
+    features = written(mapped(rated(docs, labels, sample), _featured, "row long, grade int, code long, value double"), "classifier-features")
     texts = features.select("row", "grade").distinct().groupBy("grade").count().collect()
     counts = np.bincount([r["grade"] for r in texts], [r["count"] for r in texts], GRADES)
     if not counts.sum():
@@ -170,10 +169,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 class _WordWeights(dict):
     def __init__(self, weights: dict):
         super().__init__()
-        self.weights = weights
+        self.weights, self.held = weights, 0
 
     def __missing__(self, word: str) -> float:
         get = self.weights.get
+        self.held += 160 + 2 * len(word)  # with the entry and the number
+        if self.held > CACHE_BYTES:
+            self.clear()
+            self.held = 0
         self[word] = total = sum(get(c, 0.0) for c in word_features(word))
         return total
 
@@ -185,8 +188,6 @@ def _scorer(model: Model):
             latent = []
             for text in batch.column(batch.num_columns - 1):
                 text = text.as_py() or ""
-                if len(by_word) > CACHE_WORDS:
-                    by_word.clear()
                 x = sum(map(by_word.__getitem__, set(LETTERS.findall(text.lower()))))
                 latent.append(x + sum(get(c, 0.0) * v for c, v in shares(text)))
             tails = model.tails(np.array(latent, float))
@@ -203,14 +204,15 @@ def score(docs: DataFrame, model: Model, keep_tail: float = KEEP_TAIL) -> DataFr
     row is scored by itself, so repeated rows get the same result.
     """
     # Weights of a bounded sample: their broadcast with the task is bounded too.
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scorer(model), "doc_id long, grade double, tail double")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = mapped(docs, _scorer(model), "doc_id long, grade double, tail double")
     return out.withColumn("kept", F.col("tail") >= keep_tail)
 
 
 def _keeper(model: Model, keep_tail: float, place: int):
     def keep(batches):
         scored = _scorer(model)
-        for batch in tidied(batches):
+        for batch in batches:
             only = pa.RecordBatch.from_arrays([batch.column(place)], names=["text"])
             tail = next(scored([only])).column("tail").to_numpy()
             yield batch.filter(pa.array(tail >= keep_tail))
@@ -220,4 +222,4 @@ def _keeper(model: Model, keep_tail: float, place: int):
 
 def select_good(docs: DataFrame, model: Model, keep_tail: float = KEEP_TAIL) -> DataFrame:
     """The rows of docs whose tail probability reaches keep_tail, with all their columns."""
-    return docs.mapInArrow(_keeper(model, keep_tail, docs.columns.index("text")), docs.schema)
+    return mapped(docs, _keeper(model, keep_tail, docs.columns.index("text")), docs.schema)

@@ -18,9 +18,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadgrid.functions.worker import tidied
 from roadgrid.llm.graph import components
-from roadgrid.llm.store import cut, written
+from roadgrid.llm.store import cut, mapped, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -204,7 +203,7 @@ def linked(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
 
 def _signed(batches, size: int = SHINGLE, percent: int = PERCENT):
     out = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.int64()), ("sigs", pa.list_(pa.int64()))])
-    for batch in tidied(batches):
+    for batch in batches:
         ids, n, keys, sigs, ends = batch.column(0), [], [], [], [0]
         for s in sets_of(batch.column(1), size):
             n.append(len(s))
@@ -322,7 +321,7 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Dat
     the same component. Other columns aren't read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(docs.mapInArrow(lambda batches: _signed(batches, size, percent), "doc_id long, n_shingles long, key long, sigs array<long>"), "jaccard-signed")
+    signed = written(mapped(docs, lambda batches: _signed(batches, size, percent), "doc_id long, n_shingles long, key long, sigs array<long>"), "jaccard-signed")
     sets = signed.where("n_shingles > 0")
     by_key = cut(sets.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles")))
     candidates = components(signature_edges(sets)).withColumnRenamed("node", "key")

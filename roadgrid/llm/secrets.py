@@ -14,7 +14,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadgrid.functions.worker import kept
+from roadgrid.llm.store import mapped
+from roadgrid.worker import kept
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -349,4 +350,4 @@ def find(docs: DataFrame, rules=RULES) -> DataFrame:
     have none. Repeated rows are scanned one by one; other columns aren't read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(_finder(compile_rules(rules), rules), "doc_id long, spans array<struct<kind string, start long, end long>>")
+    return mapped(docs, _finder(compile_rules(rules), rules), "doc_id long, spans array<struct<kind string, start long, end long>>")

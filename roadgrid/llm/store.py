@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from roadgrid.worker import tidy
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where that is unset (tests, one machine) a folder made once for the session."""
@@ -19,6 +21,21 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+#: Rows of an Arrow batch on the way to Python. Texts can be long, and a batch of them is held several times on either side.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def mapped(df: DataFrame, step, schema) -> DataFrame:
+    """df.mapInArrow(step, schema), in small batches, after which the workers give memory back.
+
+    A session that sets a number of rows a batch other than Spark's own keeps it.
+    """
+    if df.sparkSession.conf.get(_BATCH) == "10000":
+        df.sparkSession.conf.set(_BATCH, str(BATCH_ROWS))
+    return df.mapInArrow(tidy(step), schema)
+
+
 _tables: list = []
 
 

@@ -20,10 +20,9 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadgrid.functions.worker import tidied
 from roadgrid.llm import jaccard
 from roadgrid.llm.jaccard import mix, powers
-from roadgrid.llm.store import written
+from roadgrid.llm.store import mapped, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(jaccard)
@@ -160,7 +159,7 @@ def anchors(data: np.ndarray):
 
 def _anchored(batches):
     names = ["doc_id", "text_hash", "anchor", "context", "place", "lo", "hi"]
-    for batch in tidied(batches):
+    for batch in batches:
         parts = [[] for _ in names]
         for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             data = np.frombuffer((text.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
@@ -406,7 +405,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     bytes keep all. Other columns aren't read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    found = written(docs.mapInArrow(_anchored, ANCHORS), "anchors")
+    found = written(mapped(docs, _anchored, ANCHORS), "anchors")
     one = F.min(F.struct("doc_id", "text_hash", "place", "lo", "hi")).alias("one")
     kinds = written(found.groupBy("anchor", "context").agg(F.count("*").alias("n"), one), "contexts")
     mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("single")).where("kinds > 1 AND single > 0").select("anchor", "kinds")
@@ -414,14 +413,14 @@ def repeated(docs: DataFrame) -> DataFrame:
     by_doc = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("anchor", "context", "once", "many", "place", "lo", "hi")).alias("wanted"))
     by_doc = written(by_doc.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), "wanted"), "wanted")
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t"))
-    pieces = docs.join(by_doc, same).select("text", "wanted").mapInArrow(_contexts, "anchor long, context long, once boolean, many boolean, before int, windows int, bytes binary")
+    pieces = mapped(docs.join(by_doc, same).select("text", "wanted"), _contexts, "anchor long, context long, once boolean, many boolean, before int, windows int, bytes binary")
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     pieces = pieces.repartition(n, "anchor").dropDuplicates(["anchor", "context"])
     some_many = not by_doc.where(F.exists("wanted", lambda x: x["many"])).isEmpty()
     pieces = written(pieces, "pieces") if some_many else pieces
     small = pieces.where("NOT many").drop("many")
     small = (small.repartition(n, "anchor") if some_many else small).sortWithinPartitions("anchor", "context")
-    settled = small.mapInArrow(_settled, "anchor long, context long, spans array<struct<a int, b int>>")
+    settled = mapped(small, _settled, "anchor long, context long, spans array<struct<a int, b int>>")
     whole = F.array(F.struct(F.lit(None).cast("int").alias("a"), F.lit(None).cast("int").alias("b")))
     settled = settled.unionByName(counted(pieces.where("many").drop("many"))) if some_many else settled
     verdicts = written(settled.unionByName(kinds.where("n > 1").select("anchor", "context", whole.alias("spans"))), "verdicts")
@@ -429,8 +428,6 @@ def repeated(docs: DataFrame) -> DataFrame:
     first, last = F.coalesce(F.col("place") - F.col("s.b"), "lo"), F.coalesce(F.col("place") - F.col("s.a"), "hi")
     ranges = hits.select("doc_id", "text_hash", F.struct(first.alias("a"), (last + SPAN).alias("b")).alias("r"))
     ranges = ranges.groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).agg(F.collect_list("r").alias("ranges"))
-    return (
-        docs.join(ranges, same, "left")
-        .select("doc_id", "text", "ranges")
-        .mapInArrow(_cleaned, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start long, end long>>")
+    return mapped(
+        docs.join(ranges, same, "left").select("doc_id", "text", "ranges"), _cleaned, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start long, end long>>")
     )

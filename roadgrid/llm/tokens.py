@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadgrid.llm.store import written
+from roadgrid.llm.store import mapped, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -24,11 +24,11 @@ BLOCK = 4096
 PERCENTILE = 95.0
 MAGIC = b"RGTI"
 #: Ids a file holds at most, but for its last document.
-FILE_IDS = 1 << 22
-#: Words whose ids a Python worker remembers.
-CACHE_WORDS = 1_000_000
+FILE_IDS = 1 << 21
+#: Bytes of words whose ids a task remembers.
+CACHE_BYTES = 64 << 20
 #: Characters that are tokenized at once.
-PIECE_CHARS = 2 << 20
+PIECE_CHARS = 1 << 20
 
 
 # --- file format -----------------------------------------------------------
@@ -146,11 +146,13 @@ class Encoder(dict):
     def forget(self) -> None:
         self.clear()
         self.fresh: list = []
+        self.held = 0
         self.lengths, self.starts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
         self.fresh.append(word)
+        self.held += 200 + len(word)  # with the entry, its number and ids
         return n
 
     def learn(self) -> None:
@@ -180,7 +182,7 @@ class Encoder(dict):
 
     def encode(self, texts: list) -> list:
         """One array of ids a text."""
-        if len(self) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self.forget()
         split = [pieces(t) for t in texts]
         sizes = [len(x) for x in split]
@@ -268,7 +270,7 @@ def write_ids(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_I
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ranged.mapInArrow(_writer(vocabulary, end_id, block, percentile), FILES), "token-ids")
+    return written(mapped(ranged, _writer(vocabulary, end_id, block, percentile), FILES), "token-ids")
 
 
 def _reader(batches):
