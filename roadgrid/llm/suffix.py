@@ -428,6 +428,5 @@ def repeated(docs: DataFrame) -> DataFrame:
     first, last = F.coalesce(F.col("place") - F.col("s.b"), "lo"), F.coalesce(F.col("place") - F.col("s.a"), "hi")
     ranges = hits.select("doc_id", "text_hash", F.struct(first.alias("a"), (last + SPAN).alias("b")).alias("r"))
     ranges = ranges.groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).agg(F.collect_list("r").alias("ranges"))
-    return mapped(
-        docs.join(ranges, same, "left").select("doc_id", "text", "ranges"), _cleaned, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start long, end long>>")
-    )
+    done = docs.join(ranges, same, "left").select("doc_id", "text", "ranges")
+    return mapped(done, _cleaned, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start long, end long>>")
