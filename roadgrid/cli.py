@@ -11,9 +11,11 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from roadgrid.operators import match, metrics
+from roadgrid.functions import scaling
+from roadgrid.operators import detect, infer, match, metrics
 from roadgrid.plans import pipeline, report
 from roadgrid.sources import files, images, models, results, watchlist
+from roadgrid.store import cut
 
 
 def _factory(name: str):
@@ -32,7 +34,7 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--detector", required=True, help="module:class")
     run.add_argument("--recogniser", required=True, help="module:class")
     run.add_argument("--execution", choices=pipeline.MODES, default="parallel")
-    run.add_argument("--workers", type=int, default=0, help="partitions; 0: as many as cores")
+    run.add_argument("--workers", type=int, default=0, help="partitions; 0: as many as are advised")
     run.add_argument("--verbose", action="store_true")
     run.add_argument("--quiet", action="store_true")
     lists = sub.add_parser("watchlist")
@@ -41,9 +43,22 @@ def parser() -> argparse.ArgumentParser:
     lists.add_argument("--file", required=True)
     lists.add_argument("--results")
     lists.add_argument("--seed", default="")
+    lists.add_argument("--yes", action="store_true", help="clear without asking")
     return p
 
 
+def advice(spark: SparkSession, requested: int) -> tuple[int, list[str]]:
+    """The workers to use (requested, or the recommended number for 0), and lines on the machine and on what was asked for."""
+    m = models.hardware()
+    cores, ram = F.lit(m["physical_cores"]), F.lit(float(m["ram_avail_gb"]))
+    n = F.when(F.lit(requested) > 0, F.lit(requested)).otherwise(scaling.recommended_workers(cores, ram))
+    row = spark.range(1).select(n.alias("n"), scaling.worker_fit(n, cores, F.lit(m["logical_cores"])).alias("fit"), scaling.ram_warning(ram, n).alias("ram")).first()
+    lines = [f"Núcleos: {m['physical_cores']} físicos, {m['logical_cores']} lógicos", f"RAM: {m['ram_avail_gb']:.1f} de {m['ram_total_gb']:.1f} GB livres", f"Workers: {row['n']} ({row['fit']})"]
+    if row["ram"] != "none":
+        lines.append(f"AVISO: RAM {row['ram']}")
+    return row["n"], lines
+
+
 def run(spark: SparkSession, a: argparse.Namespace) -> int:
     log = report.logger(verbose=a.verbose, quiet=a.quiet)
     found = images.decoded(spark, a.input)
@@ -51,9 +66,14 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
         log.error(f"no images in {a.input}")
         return 1
     files.make_dirs(spark, a.output)
-    workers = 1 if a.execution == "serial" else a.workers or spark.sparkContext.defaultParallelism
+    workers, lines = advice(spark, a.workers)
+    workers = 1 if a.execution == "serial" else workers
+    for line in lines:
+        log.debug(line)
+    detector, recogniser = _factory(a.detector), _factory(a.recogniser)
+    warmup = infer.warm_up(spark, detector, recogniser, workers)
     begin = time.perf_counter()
-    rows = pipeline.run(found, watchlist.load(spark, a.watchlist), _factory(a.detector), _factory(a.recogniser), a.execution, workers)
+    rows = pipeline.run(found, watchlist.load(spark, a.watchlist), detector, recogniser, a.execution, workers)
     rows.write.mode("overwrite").parquet(f"{a.output}/rows")
     elapsed = time.perf_counter() - begin
     rows = spark.read.parquet(f"{a.output}/rows")
@@ -61,26 +81,20 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
     results.save(out, f"{a.output}/results.csv", "image")
     numbers = metrics.run_metrics(out, F.lit(elapsed))
     now = time.strftime("%Y-%m-%d %H:%M:%S")
-    results.append_run(metrics.run_log_row(numbers, now, "1", a.execution, a.workers or workers, workers, 0.0), f"{a.output}/runs")
+    results.append_run(metrics.run_log_row(numbers, now, "1", a.execution, a.workers or workers, workers, warmup), f"{a.output}/runs")
     m = numbers.first()
-    log.info(report.summary(m, a.execution, a.workers or workers, workers, 0.0))
+    log.info(report.summary(m, a.execution, a.workers or workers, workers, warmup))
     for row in match.stolen_only(out).orderBy("image", "crop_path").select("plate_text", "image").toLocalIterator():
         log.info(report.stolen_line(row))
-    position = F.row_number().over(report_order())
+    images.export(rows.select("crop_path", "crop"), f"{a.output}/crops", "crop_path", "crop")
+    images.export(rows.select("preprocessed_path", "preprocessed"), f"{a.output}/preprocessed", "preprocessed_path", "preprocessed")
     if "://" not in a.output:
-        images.export(rows.select("crop_path", "crop"), f"{a.output}/crops", "crop_path", "crop")
-        images.export(rows.select("preprocessed_path", "preprocessed"), f"{a.output}/preprocessed", "preprocessed_path", "preprocessed")
+        placed = detect.batches(out.withColumn("_at", F.struct("image", "crop_path")), key="_at")
         with open(os.path.join(a.output, "report.html"), "w", encoding="utf-8") as file:
-            file.writelines(report.html_pieces(report.report_rows(out, position), m, a.execution, a.workers or workers, workers, now))
+            file.writelines(report.html_pieces(report.report_rows(placed.drop("_at"), F.col("position")), m, a.execution, a.workers or workers, workers, now))
     return 0
 
 
-def report_order():
-    from pyspark.sql import Window
-
-    return Window.orderBy("image", "crop_path")
-
-
 def keep_list(spark: SparkSession, a: argparse.Namespace) -> int:
     old = watchlist.load(spark, a.file)
     typed = match.watchlist(spark.createDataFrame([(p,) for p in a.plates], "value string"))
@@ -96,10 +110,22 @@ def keep_list(spark: SparkSession, a: argparse.Namespace) -> int:
         n = int(a.plates[0]) if a.plates and a.plates[0].isdigit() else 5
         changed = match.sampled(results.plates_of(spark, a.results), n, a.seed)
         new = match.add_plates(old, changed)
-    shown = [r["plate"] for r in changed.orderBy("plate").collect()]
-    if a.action != "list":
+    if a.action == "clear":
+        n = old.count()
+        if not a.yes and sys.stdin.isatty() and input(f"Remove all {n} plates? [y/N] ").strip().lower() not in ("y", "yes", "s", "sim"):
+            return 1
         watchlist.save(new, a.file)
-    print("\n".join(shown))
+        print(f"{n} plates removed")
+        return 0
+    if a.action == "list":
+        for row in changed.toLocalIterator():
+            print(row["plate"])
+        return 0
+    # What is shown comes from the list that save() replaces.
+    shown = cut(changed.orderBy("plate"))
+    watchlist.save(new, a.file)
+    for row in shown.orderBy("plate").toLocalIterator():
+        print(row["plate"])
     return 0
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from roadgrid import config as C
 from roadgrid.functions import geometry as G
+from roadgrid.store import cut
 
 _EDGES = ("x1", "y1", "x2", "y2")
 
@@ -60,9 +61,10 @@ def batches(images: DataFrame, size: int = C.DETECTOR_BATCH, key: str = "image")
     """images with position (from 1, in order of key) and batch (from 0).
 
     Order over all images without one task for all: ranges are sorted apart and
-    the counts of the ranges before are added.
+    the counts of the ranges before are added. The ranges are written once, as
+    both the ranks and the counts need the same ones.
     """
-    spread = images.repartitionByRange(key).withColumn("_p", F.spark_partition_id())
+    spread = cut(images.repartitionByRange(key).withColumn("_p", F.spark_partition_id()))
     inner = spread.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(key)))
     counts = inner.groupBy("_p").agg(F.max("_k").alias("_n"))
     offsets = counts.withColumn("_o", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).select("_p", "_o")

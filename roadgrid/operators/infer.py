@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import time
 from collections.abc import Callable
@@ -15,15 +16,20 @@ from pyspark.sql import functions as F
 
 from roadgrid import config as C
 from roadgrid.functions import geometry as G
-from roadgrid.worker import kept
 from roadgrid.operators import imaging
 from roadgrid.sources import images as I
+from roadgrid.worker import batches_of, kept
 
 for _module in (sys.modules[__name__], I, imaging, C):
     cloudpickle.register_pickle_by_value(_module)
 
 DETECTED = f"path string, image string, height int, width int, channels int, data binary, boxes {C.BOXES}, yolo_time_s double, worker_id long, error string"
-READ = "path string, image string, plate string, char_probs array<double>, failed boolean, crop binary, preprocessed binary, ocr_time_s double, worker_id long"
+READ = (
+    "path string, image string, plate_detected boolean, yolo_time_s double, worker_id long, error string, "
+    "plate string, char_probs array<double>, failed boolean, crop binary, preprocessed binary, ocr_time_s double"
+)
+#: Rows with pixels that go to Python at once.
+IMAGE_ROWS = 32
 
 
 class Detector(Protocol):
@@ -36,14 +42,44 @@ class Recogniser(Protocol):
         """Text and the probabilities of its characters."""
 
 
-def _model(factory: Callable, warm: Callable):
+def model_id(factory: Callable) -> str:
+    """Tells factories apart by what travels to the workers, so closures of one function are different models."""
+    return hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
+
+
+def _model(name: str, factory: Callable, warm: Callable):
     """One model of a factory a Python worker, loaded and warmed up before any row is timed."""
     models = kept("models")
-    key = (getattr(factory, "__module__", ""), getattr(factory, "__qualname__", repr(factory)))
-    if key not in models:
-        models[key] = factory()
-        warm(models[key])
-    return models[key]
+    if name not in models:
+        models[name] = factory()
+        warm(models[name])
+    return models[name]
+
+
+def _warm_detector(model: Detector) -> None:
+    model.detect([np.zeros((64, 64, 3), np.uint8)])
+
+
+def _warm_recogniser(model: Recogniser) -> None:
+    model.read(np.zeros((64, 256, 3), np.uint8))
+
+
+def warm_up(spark, detector: Callable, recogniser: Callable, workers: int) -> float:
+    """Loads and warms up both models in as many tasks as there are workers; the seconds of the slowest.
+
+    Later tasks of the same Python workers find them loaded; a worker that is
+    started later warms up before its first row.
+    """
+    names = model_id(detector), model_id(recogniser)
+
+    def load(frames):
+        for frame in frames:
+            begin = time.perf_counter()
+            _model(names[0], detector, _warm_detector)
+            _model(names[1], recogniser, _warm_recogniser)
+            yield pd.DataFrame({"s": [time.perf_counter() - begin] * min(1, len(frame))})
+
+    return spark.range(0, max(1, workers), 1, max(1, workers)).mapInPandas(load, "s double").agg(F.max("s")).first()[0] or 0.0
 
 
 def _worker() -> int:
@@ -53,9 +89,9 @@ def _worker() -> int:
     return context.partitionId() if context else 0
 
 
-def _detector_pass(factory: Callable[[], Detector], batch: int):
+def _detector_pass(factory: Callable[[], Detector], batch: int, name: str):
     def run(frames):
-        model = _model(factory, lambda m: m.detect([np.zeros((64, 64, 3), np.uint8)]))
+        model = _model(name, factory, _warm_detector)
         for frame in frames:
             for at in range(0, len(frame), batch):
                 part = frame.iloc[at : at + batch].copy()
@@ -89,7 +125,8 @@ def _detector_pass(factory: Callable[[], Detector], batch: int):
 
 def detect(images: DataFrame, factory: Callable[[], Detector], batch: int = C.DETECTOR_BATCH) -> DataFrame:
     """Decoded images with boxes; unreadable ones and failures stay, with an error."""
-    return images.select("path", "image", "height", "width", "channels", "data").mapInPandas(_detector_pass(factory, batch), DETECTED)
+    batches_of(images.sparkSession, IMAGE_ROWS)
+    return images.select("path", "image", "height", "width", "channels", "data").mapInPandas(_detector_pass(factory, batch, model_id(factory)), DETECTED)
 
 
 def with_best(detected: DataFrame) -> DataFrame:
@@ -97,12 +134,16 @@ def with_best(detected: DataFrame) -> DataFrame:
     return detected.withColumn("best", best)
 
 
-def _reader_pass(factory: Callable[[], Recogniser]):
+def _reader_pass(factory: Callable[[], Recogniser], name: str):
     def run(frames):
-        model = _model(factory, lambda m: m.read(np.zeros((64, 256, 3), np.uint8)))
+        model = _model(name, factory, _warm_recogniser)
         for frame in frames:
             rows = []
             for r in frame.itertuples(index=False):
+                own = (r.path, r.image, bool(r.detected), r.yolo_time_s, r.worker_id, r.error)
+                if not r.detected:
+                    rows.append((*own, None, None, False, None, None, None))
+                    continue
                 crop = I.pixels(r.data, r.height, r.width, r.channels)[int(r.y1) : int(r.y2), int(r.x1) : int(r.x2)]
                 begin, failed, text, probs = time.perf_counter(), False, None, None
                 try:
@@ -110,13 +151,17 @@ def _reader_pass(factory: Callable[[], Recogniser]):
                 except Exception:
                     failed = True
                 spent = time.perf_counter() - begin
-                rows.append((r.path, r.image, text, probs, failed, I.png(crop), I.png(imaging.preprocess(crop)), spent, _worker()))
-            yield pd.DataFrame(rows, columns=["path", "image", "plate", "char_probs", "failed", "crop", "preprocessed", "ocr_time_s", "worker_id"])
+                rows.append((*own, text, probs, failed, I.png(crop), I.png(imaging.preprocess(crop)), spent))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in READ.split(", ")])
 
     return run
 
 
 def read(found: DataFrame, factory: Callable[[], Recogniser]) -> DataFrame:
-    """Readings of the best boxes of with_best(); images without one have no row."""
+    """with_best() rows without their pixels, with the readings of the best boxes; images without a box keep their row."""
     edges = [F.col(f"best.box.{e}").alias(e) for e in ("x1", "y1", "x2", "y2")]
-    return found.where("best IS NOT NULL").select("path", "image", "height", "width", "channels", "data", *edges).mapInPandas(_reader_pass(factory), READ)
+    # The pixels of images without a box have no further use.
+    data = F.when(F.col("best").isNotNull(), F.col("data")).alias("data")
+    rows = found.select("path", "image", F.col("best").isNotNull().alias("detected"), "yolo_time_s", "worker_id", "error", "height", "width", "channels", data, *edges)
+    batches_of(found.sparkSession, IMAGE_ROWS)
+    return rows.mapInPandas(_reader_pass(factory, model_id(factory)), READ)

@@ -15,11 +15,18 @@ def watchlist(raw: DataFrame, column: str = "value") -> DataFrame:
 
 
 def assign_status(readings: DataFrame, plates: DataFrame, column: str = "plate_text") -> DataFrame:
-    """readings with status; each row stays. An existence join, which Spark broadcasts where the list is small."""
+    """readings with status; each row stays. An existence join, which Spark broadcasts where the list is small.
+
+    Where it isn't, unread images, which may be most, don't meet in one task: a
+    key of their own, which no plate has, deals them out.
+    """
     listed = plates.select(F.col("plate").alias("_plate")).distinct()
-    hit = readings.join(listed.withColumn("_hit", F.lit(True)), readings[column] == F.col("_plate"), "left")
-    status = F.when(F.coalesce(F.col(column), F.lit("")) == "", C.UNIDENTIFIED).when(F.col("_hit"), C.STOLEN).otherwise(C.OK)
-    return hit.withColumn("status", status).drop("_plate", "_hit")
+    unread = F.coalesce(F.col(column), F.lit("")) == ""
+    dealt = F.concat(F.lit("\0"), (F.monotonically_increasing_id() % 4096).cast("string"))
+    keyed = readings.withColumn("_key", F.when(unread, dealt).otherwise(F.col(column)))
+    hit = keyed.join(listed.withColumn("_hit", F.lit(True)), F.col("_key") == F.col("_plate"), "left")
+    status = F.when(unread, C.UNIDENTIFIED).when(F.col("_hit"), C.STOLEN).otherwise(C.OK)
+    return hit.withColumn("status", status).drop("_plate", "_hit", "_key")
 
 
 def stolen_only(results: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ def count_status(status: str) -> Column:
     return F.count_if(F.col("status") == status)
 
 
-def status_counts(results: DataFrame, *by: str) -> DataFrame:
+def status_counts(results: DataFrame) -> DataFrame:
     """Rows by status, 0 for statuses of the domain that don't occur; other statuses are added."""
     spark = results.sparkSession
     domain = spark.createDataFrame([(s,) for s in C.STATUSES], "status string")

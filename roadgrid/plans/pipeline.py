@@ -23,12 +23,22 @@ def run(images: DataFrame, plates: DataFrame, detector: Callable, recogniser: Ca
     if mode not in MODES:
         raise ValueError(f"unknown mode: {mode}")
     images = images.coalesce(1) if mode == "serial" else images.repartition(workers, "path") if workers else images
-    # Detection is read by both sides of the join below and is the costly step.
-    found = infer.with_best(infer.detect(images, detector)).persist()
-    texts = infer.read(found, recogniser).withColumn("r", read_plate(F.col("plate"), F.col("char_probs"), F.col("failed")))
-    texts = texts.select("path", F.col("r.text").alias("plate_text"), F.col("r.confidence").alias("ocr_confidence"), F.col("r.reason").alias("reject_reason"), "crop", "preprocessed", "ocr_time_s")
-    rows = found.select("path", "image", F.col("best").isNotNull().alias("plate_detected"), "yolo_time_s", "worker_id", "error").join(texts, "path", "left")
-    rows = rows.withColumns({"plate_text": F.coalesce("plate_text", F.lit("")), "total_time_s": F.col("yolo_time_s") + F.coalesce("ocr_time_s", F.lit(0.0))})
+    # Each row goes through both models as it is: nothing is kept, read twice or joined again.
+    return finished(infer.read(infer.with_best(infer.detect(images, detector)), recogniser), plates)
+
+
+def finished(read: DataFrame, plates: DataFrame) -> DataFrame:
+    """infer.read() rows with the reading, the paths of their pictures and the status."""
+    seen = F.col("plate_detected")
+    rows = read.withColumn("r", F.when(seen, read_plate(F.col("plate"), F.col("char_probs"), F.col("failed")))).withColumns(
+        {
+            "plate_text": F.coalesce("r.text", F.lit("")),
+            "ocr_confidence": F.col("r.confidence"),
+            "reject_reason": F.col("r.reason"),
+            "total_time_s": F.col("yolo_time_s") + F.coalesce("ocr_time_s", F.lit(0.0)),
+        }
+    )
+    rows = rows.drop("r", "plate", "char_probs", "failed")
     name = X.stem(F.col("image"))
     rows = rows.withColumns(
         {

@@ -21,10 +21,28 @@ def make_dirs(spark: SparkSession, *paths: str) -> None:
         fs.mkdirs(where)
 
 
+def _aside(path: str) -> str:
+    return f"{path.rstrip('/')}.before"
+
+
 def replace(spark: SparkSession, new: str, old: str) -> None:
-    """Puts what is at new in the place of old."""
+    """Puts what is at new in the place of old, which is moved aside first and deleted last; restored() undoes half of it."""
     fs, where = _fs(spark, new)
     _, target = _fs(spark, old)
-    fs.delete(target, True)
+    _, aside = _fs(spark, _aside(old))
+    restored(spark, old)
+    fs.delete(aside, True)
+    if fs.exists(target) and not fs.rename(target, aside):
+        raise OSError(f"can't move {old} aside")
     if not fs.rename(where, target):
+        restored(spark, old)
         raise OSError(f"can't rename {new} to {old}")
+    fs.delete(aside, True)
+
+
+def restored(spark: SparkSession, path: str) -> None:
+    """Puts what a broken replace() has moved aside back in its place, where nothing has taken it."""
+    fs, target = _fs(spark, path)
+    _, aside = _fs(spark, _aside(path))
+    if fs.exists(aside) and not fs.exists(target):
+        fs.rename(aside, target)

@@ -40,8 +40,9 @@ def plates_of(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_run(row: DataFrame, path: str) -> None:
-    row.write.mode("append").parquet(path)
+    """Adds a run to the log, a folder of CSV files with headers: appending needs no rewriting."""
+    row.coalesce(1).write.mode("append").option("header", True).csv(path)
 
 
 def load_runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(C.RUN_SCHEMA).parquet(path) if exists(spark, path) else spark.createDataFrame([], C.RUN_SCHEMA)
+    return spark.read.option("header", True).schema(C.RUN_SCHEMA).csv(path) if exists(spark, path) else spark.createDataFrame([], C.RUN_SCHEMA)

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from roadgrid.functions import text as X
 from roadgrid.operators import match
-from roadgrid.sources.files import exists, replace
+from roadgrid.sources.files import exists, replace, restored
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
+    restored(spark, path)
     if not exists(spark, path):
         save(spark.createDataFrame([], "plate string"), path)
     return spark.read.text(path)

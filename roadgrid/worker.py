@@ -20,17 +20,28 @@ def kept(name: str) -> dict:
 
 
 def give_back() -> None:
-    """Returns the memory that Arrow and the C library hold free to the system."""
+    """Returns what earlier tasks have left, and the memory that Arrow and the C library hold free, to the system."""
     import ctypes
+    import gc
 
     import pyarrow as pa
 
+    gc.collect()  # functions of finished tasks and what they hold lie in cycles
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
     if trim is not None:
         trim(0)
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def batches_of(spark, rows: int) -> None:
+    """Arrow batches of this session have so many rows at most from now on: rows can be large, and both sides hold a batch several times."""
+    if not 0 < int(spark.conf.get(BATCH_ROWS)) <= rows:
+        spark.conf.set(BATCH_ROWS, str(rows))
+
+
 def tidy(step):
     """step, a function over a task's batches; after its last the worker gives memory back instead of idling with it."""
 
