@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadgrid.llm.store import cut
-from roadgrid.llm.text import SPACES, pinned, whole, words
+from roadgrid.llm.text import SPACES, pinned, spread, whole, words
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -16,6 +16,8 @@ LINE_DOCS = 20
 LINE_PERCENT = 1
 #: A document goes when over this share of its words was in such lines, or fewer than MIN_WORDS are left.
 DEPLETED_PERCENT = 50
+#: What tells documents apart.
+DOCUMENT = ("doc_id", "text_hash", "host")
 
 
 def repeated_words(docs: DataFrame) -> DataFrame:
@@ -62,14 +64,15 @@ def normalised_line(line: Column) -> Column:
 
 
 def document_rules(docs: DataFrame) -> DataFrame:
-    """doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed of every whole text."""
+    """doc_id, text_hash, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed of every whole text."""
     text = F.col("text")
-    docs = pinned(docs.select("doc_id", F.col("source").alias("host"), whole(F.col("text")).alias("text")), words=words(text))
+    docs = pinned(docs.select("doc_id", F.xxhash64(whole(F.col("text"))).alias("text_hash"), F.col("source").alias("host"), whole(F.col("text")).alias("text")), words=words(text))
     bare = F.translate(text, SPACES, "")
     full_lines = F.filter(lines_of(text), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     docs = pinned(docs, full_lines=full_lines)
     docs = docs.select(
         "doc_id",
+        "text_hash",
         "host",
         "words",
         F.size("words").cast("long").alias("n_words"),
@@ -82,38 +85,56 @@ def document_rules(docs: DataFrame) -> DataFrame:
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
-    """One row a document and different normalised line with words: doc_id, host, line (hash), words (over all its repeats)."""
+    """One row a document and different normalised line with words: doc_id, text_hash, host, line (hash), words (over all its repeats).
+
+    A row's equal lines lie together once sorted, so the first of each can be
+    told; a line has as many firsts as its document has repeated rows, which
+    count as one.
+    """
     lines = F.filter(F.transform(lines_of(whole(F.col("text"))), normalised_line), lambda x: x != "")
     hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("words")))
-    each = docs.select("doc_id", F.col("source").alias("host"), F.explode(hashed).alias("_l")).select("doc_id", "host", "_l.line", "_l.words")
-    return each.groupBy("doc_id", "host", "line").agg(F.sum("words").alias("words"))
+    rows = docs.select("doc_id", F.xxhash64(whole(F.col("text"))).alias("text_hash"), F.col("source").alias("host"), "text")
+    rows = pinned(rows, _sorted=F.sort_array(hashed)).drop("text")
+
+    def marked(x: Column, i: Column) -> Column:
+        first = F.when(i == 0, 1).otherwise((F.get("_sorted", i - 1)["line"] != x["line"]).cast("int"))
+        return F.struct(x["line"].alias("line"), x["words"].alias("words"), first.alias("first"))
+
+    each = rows.select(*DOCUMENT, F.explode(F.transform("_sorted", marked)).alias("_l"))
+    each = each.select(*DOCUMENT, "_l.*").groupBy(*DOCUMENT, "line").agg(F.sum("words").alias("_w"), F.sum("first").alias("_rows"))
+    return each.select(*DOCUMENT, "line", (F.col("_w") / F.col("_rows")).cast("long").alias("words"))
 
 
 def frequent_lines(lines: DataFrame, hosts: DataFrame, docs_limit: int = LINE_DOCS, percent: int = LINE_PERCENT) -> DataFrame:
     """host, line of the lines above the limits. lines has each document's line once; hosts(host, host_docs)."""
     counts = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > docs_limit)
-    return counts.join(F.broadcast(hosts) if hosts.count() <= 200_000 else hosts, counts["host"].eqNullSafe(hosts["host"])).where(100 * F.col("n") > percent * F.col("host_docs")).select(counts["host"], "line")
+    sizes = hosts.select(F.col("host").alias("_h"), "host_docs")
+    shared = spread(counts, sizes, [("host", "_h")])
+    return shared.where(100 * F.col("n") > percent * F.col("host_docs")).select("host", "line")
 
 
 def quality(docs: DataFrame, docs_limit: int = LINE_DOCS, percent: int = LINE_PERCENT) -> DataFrame:
     """document_rules() plus n_removed_words (in lines above the limits) and kept.
 
     Null texts have no words and fail the base rules. A null source is one host.
-    Documents are told apart by doc_id: rows with the same doc_id, host and line
-    count once, and each row is judged. An empty table gives no rows. Copies of
+    Documents are told apart by doc_id, text and host: repeated rows count as
+    one document and each gets its verdict; rows without a doc_id are told apart
+    by their texts. An empty table gives no rows. Copies of
     a document share all lines; where over the limits, they are boilerplate of
     their host and go.
     """
     rules = document_rules(docs)
     lines = cut(document_lines(docs))  # counted, then joined
-    hosts = docs.groupBy(F.col("source").alias("host")).agg(F.count_distinct(F.coalesce(F.col("doc_id"), F.lit(-1))).alias("host_docs"))
-    often = frequent_lines(lines, hosts, docs_limit, percent).select(F.col("host").alias("_h"), F.col("line").alias("_line"))
+    hosts = cut(docs.groupBy(F.col("source").alias("host")).agg(F.count_distinct(F.struct("doc_id", F.xxhash64(whole(F.col("text"))))).alias("host_docs")))
+    often = cut(frequent_lines(lines, hosts, docs_limit, percent).select(F.col("host").alias("_h"), F.col("line").alias("_line")))
+    # By definition the most frequent lines: where they are too many to broadcast, each is dealt out over many tasks.
     removed = (
-        lines.join(often, (lines["line"] == often["_line"]) & lines["host"].eqNullSafe(often["_h"]))
-        .groupBy(F.col("doc_id").alias("_d"), F.col("host").alias("_g"))
+        spread(lines, often, [("line", "_line"), ("host", "_h")])
+        .groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.col("host").alias("_g"))
         .agg(F.sum("words").alias("_removed"))
     )
-    out = rules.join(removed, rules["doc_id"].eqNullSafe(removed["_d"]) & rules["host"].eqNullSafe(removed["_g"]), "left")
+    same = rules["doc_id"].eqNullSafe(removed["_d"]) & (rules["text_hash"] == removed["_t"]) & rules["host"].eqNullSafe(removed["_g"])
+    out = rules.join(removed, same, "left")
     gone = F.coalesce(F.col("_removed"), F.lit(0)).cast("long")
     depleted = (100 * gone > DEPLETED_PERCENT * F.col("n_words")) | (F.col("n_words") - gone < MIN_WORDS)
-    return out.withColumn("n_removed_words", gone).withColumn("kept", ~F.col("base_failed") & ~depleted).drop("_d", "_g", "_removed")
+    return out.withColumn("n_removed_words", gone).withColumn("kept", ~F.col("base_failed") & ~depleted).drop("_d", "_t", "_g", "_removed", "text_hash")

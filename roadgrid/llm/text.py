@@ -34,5 +34,31 @@ def pinned(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(one)).alias("_pin")).select(*[F.col(f"`{k}`") for k in keep], *[F.col(f"_pin.{k}").alias(k) for k in columns])
 
 
+#: Bytes that a table may have to be broadcast, as counted rows times the row's size.
+BROADCAST_BYTES = 32 << 20
+#: Tasks over which the rows of one key are dealt, where the other side is too large to broadcast.
+SALTS = 32
+
+
+def fits(df: DataFrame, row_bytes: int = 64) -> bool:
+    """Whether df's rows, of about so many bytes, may be broadcast. df is counted: give it written."""
+    return df.count() * row_bytes <= BROADCAST_BYTES
+
+
+def spread(large: DataFrame, small: DataFrame, keys: list, row_bytes: int = 64) -> DataFrame:
+    """large joined with small on keys (a column of either side each), nulls being equal: no key's rows of large meet in one task.
+
+    A small that fits is broadcast. Any other is repeated for each of SALTS
+    salts, one of which every row of large gets.
+    """
+    on = [large[a].eqNullSafe(small[b]) for a, b in keys]
+    if fits(small, row_bytes):
+        return large.join(F.broadcast(small), on).drop(*[b for _, b in keys])
+    salted = small.withColumn("_salts", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = large.withColumn("_salt", F.pmod(F.xxhash64(*large.columns), F.lit(SALTS)).cast("int"))
+    on = [dealt[a].eqNullSafe(salted[b]) for a, b in keys] + [F.col("_salt") == F.col("_salts")]
+    return dealt.join(salted, on).drop("_salt", "_salts", *[b for _, b in keys])
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
