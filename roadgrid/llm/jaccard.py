@@ -14,6 +14,7 @@ import sys
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,10 @@ BLOCK_SHINGLES = 1_500_000
 #: Candidate documents whose ids are broadcast to the texts; more of them are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Bytes of text that are hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: Bytes up to which a word's hash is a polynomial modulo 2 ** 64. Such polynomials of long strings can be equal by
+#: construction (Thue-Morse words from 1024 bytes on, for any base), so longer words get a digest each.
+POLYNOMIAL_BYTES = 64
 
 M64 = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
@@ -79,6 +83,8 @@ def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     np.cumsum(run, out=run)
     run = np.concatenate((np.zeros(1, np.uint64), run))
     h = mix((run[end] - run[begin]) * down[begin] + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    for k in np.flatnonzero(end - begin > POLYNOMIAL_BYTES):
+        h[k] = xxhash.xxh3_64_intdigest(table[data[begin[k] : end[k]]].tobytes())
     return h, np.concatenate(([0], np.searchsorted(begin, ends, "left")))
 
 
@@ -160,9 +166,18 @@ def sets_of(column: pa.Array, n: int = SHINGLE):
 
 
 def set_key(s: np.ndarray) -> int:
-    with np.errstate(over="ignore"):
-        x = mix(s ^ np.uint64(0x589965CC75374CC3)).sum(dtype=np.uint64) + np.uint64(len(s))
-        return int(mix(np.array([x], np.uint64)).view(np.int64)[0])
+    """64 bits of a sorted set."""
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+
+
+def set_check(s: np.ndarray) -> int:
+    """64 other bits, which tell sets of one key apart."""
+    return xxhash.xxh3_64_intdigest(s.tobytes(), seed=1) - (1 << 63)
+
+
+def apart(key: int, check: int) -> int:
+    """The key of a set whose first key another set has too."""
+    return xxhash.xxh3_64_intdigest(f"{key}:{check}".encode()) - (1 << 63)
 
 
 def linked(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
@@ -202,16 +217,17 @@ def linked(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
 
 
 def _signed(batches, size: int = SHINGLE, percent: int = PERCENT):
-    out = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.int64()), ("sigs", pa.list_(pa.int64()))])
+    out = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.int64()), ("check", pa.int64()), ("sigs", pa.list_(pa.int64()))])
     for batch in batches:
-        ids, n, keys, sigs, ends = batch.column(0), [], [], [], [0]
+        ids, n, keys, checks, sigs, ends = batch.column(0), [], [], [], [], [0]
         for s in sets_of(batch.column(1), size):
             n.append(len(s))
             keys.append(set_key(s))
+            checks.append(set_check(s))
             sigs.append(signatures(s, percent).view(np.int64))
             ends.append(ends[-1] + len(sigs[-1]))
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sigs) if sigs else np.empty(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), lists], schema=out)
+        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), lists], schema=out)
 
 
 def _chained(batches):
@@ -242,7 +258,8 @@ def _compared(group: pa.Table, size: int = SHINGLE, percent: int = PERCENT) -> p
     at = 0
     for chunk in group.column("text").chunks:
         for s in sets_of(chunk, size):
-            if set_key(s) == wanted[at]:
+            key = set_key(s)
+            if key == wanted[at] or apart(key, set_check(s)) == wanted[at]:
                 seen.setdefault(int(wanted[at]), s)
             at += 1
     keys = np.array(sorted(seen), np.int64)
@@ -311,6 +328,30 @@ def group_links(docs: DataFrame, candidates: DataFrame, size: int = SHINGLE, per
     return links.union(cut(_met(docs, among.toDF("root", "kind", "i", "j", *own).union(against).union(mains), size, percent)))
 
 
+def _rekeyed(batches):
+    """(key, check) and the key that tells the set apart."""
+    for batch in batches:
+        new = [apart(k, c) for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(new, pa.int64())], names=["key", "check", "new"])
+
+
+def by_set(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """signed with a key for each different set, and key, rep (least doc_id), n_shingles of each.
+
+    Sets are the same if 128 bits of them are. Where only the first 64 are,
+    which takes some 10 ** 9 different sets to be likely, the keys are replaced.
+    """
+    each = lambda sets: cut(sets.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), (F.min("check") != F.max("check")).alias("mixed")))
+    by_key = each(signed.where("n_shingles > 0"))
+    mixed = by_key.where("mixed").select("key")
+    if not mixed.isEmpty():
+        pairs = signed.select("key", "check").distinct().join(mixed, "key")
+        new = cut(mapped(pairs, _rekeyed, "key long, check long, new long"))
+        signed = cut(signed.join(new, ["key", "check"], "left").withColumn("key", F.coalesce("new", "key")).drop("new"))
+        by_key = each(signed.where("n_shingles > 0"))
+    return signed, by_key.drop("mixed")
+
+
 def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs(doc_id, text), linked by shingles of size words from percent % on.
 
@@ -318,12 +359,13 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Dat
     alone. Documents with equal sets are one class before anything is compared,
     however many they are. component_id is the smallest doc_id of the component;
     rows without a doc_id take part and count for no minimum. Repeated rows get
-    the same component. Other columns aren't read.
+    the same component. Other columns aren't read. A text is held whole, however
+    long; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(mapped(docs, lambda batches: _signed(batches, size, percent), "doc_id long, n_shingles long, key long, sigs array<long>"), "jaccard-signed")
+    signed = written(mapped(docs, lambda batches: _signed(batches, size, percent), "doc_id long, n_shingles long, key long, check long, sigs array<long>"), "jaccard-signed")
+    signed, by_key = by_set(signed)
     sets = signed.where("n_shingles > 0")
-    by_key = cut(sets.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles")))
     candidates = components(signature_edges(sets)).withColumnRenamed("node", "key")
     candidates = candidates.join(by_key, "key").select("root", "key", F.col("rep").alias("_id"), "n_shingles")
     links = group_links(docs, cut(candidates.join(_blocks(candidates, "blocks"), "root")), size, percent)

@@ -1,63 +1,19 @@
-"""Shared storage: lineage is cut in the folder that the cluster names in spark.checkpoint.dir."""
+"""Shared storage and Arrow steps of this subpackage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from roadgrid.store import _tables, cut, release, shared_dir, written
+from roadgrid.worker import batches_of, tidy
 
-from roadgrid.worker import tidy
+__all__ = ["_tables", "cut", "mapped", "release", "shared_dir", "written"]
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, one machine) a folder made once for the session."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="roadgrid_"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-#: Rows of an Arrow batch on the way to Python. Texts can be long, and a batch of them is held several times on either side.
+#: Rows of an Arrow batch: texts can be long.
 BATCH_ROWS = 2000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def mapped(df: DataFrame, step, schema) -> DataFrame:
-    """df.mapInArrow(step, schema), in small batches, after which the workers give memory back.
-
-    A session that sets a number of rows a batch other than Spark's own keeps it.
-    """
-    if df.sparkSession.conf.get(_BATCH) == "10000":
-        df.sparkSession.conf.set(_BATCH, str(BATCH_ROWS))
+    """df.mapInArrow(step, schema), in small batches, after which the workers give memory back."""
+    batches_of(df.sparkSession, BATCH_ROWS)
     return df.mapInArrow(tidy(step), schema)
-
-
-_tables: list = []
-
-
-def written(df: DataFrame, label: str = "cut") -> DataFrame:
-    """The rows of df as a Parquet table in shared storage, read back."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _tables.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once: later steps read them and lose nothing with an executor.
-
-    A table, not checkpoint(): a checkpoint keeps the estimated size of its plan,
-    which after some rounds of joins is a number of megabytes.
-    """
-    return written(df)
-
-
-def release(spark: SparkSession) -> None:
-    """Deletes the tables that this process has written; frames that read them are then of no use."""
-    while _tables:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
