@@ -16,6 +16,7 @@ import sys
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -134,7 +135,12 @@ def common_prefixes(text: list, order: list) -> list:
 
 
 def anchors(data: np.ndarray):
-    """(anchor, first and last window start, anchor's hash, context's hash) of the contexts of a text's bytes."""
+    """(anchor, first and last window start, anchor's hash, context's hash) of the contexts of a text's bytes.
+
+    An anchor's hash is a polynomial of 32 bytes, and what has it is compared by
+    its bytes. A context's is a digest that takes the place of its bytes, beside
+    the anchor's.
+    """
     n = len(data)
     if n < SPAN:
         return None
@@ -153,8 +159,9 @@ def anchors(data: np.ndarray):
     turn = np.flatnonzero(np.diff(p)) + 1
     lo, hi = np.concatenate(([0], turn)), np.concatenate((turn, [count])) - 1
     p = p[lo]
-    whole = mix((run[hi + SPAN] - run[lo]) * down[lo] + mix(((p - lo) << 16 | (hi - lo)).astype(np.uint64)))
-    return p, lo, hi, h[p], whole
+    flat, digest = data.tobytes(), xxhash.xxh3_64_intdigest
+    whole = [digest(flat[a:b], s) for a, b, s in zip(lo.tolist(), (hi + SPAN).tolist(), ((p - lo) << 16 | (hi - lo)).tolist())]
+    return p, lo, hi, h[p], np.array(whole, np.uint64)
 
 
 def _anchored(batches):
@@ -357,12 +364,8 @@ def _windows(batches):
     names = ["anchor", "context", "once", "a", "window"]
     for batch in batches:
         for anchor, context, once, before, windows, data in zip(*(c.to_pylist() for c in batch.columns)):
-            x = np.frombuffer(data, np.uint8)
-            up, down = powers(len(x) + 1)
-            codes = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(jaccard.BASE))
-            run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes[x] * up[: len(x)], dtype=np.uint64)))
             n = windows + 1
-            h = mix((run[SPAN : SPAN + n] - run[:n]) * down[:n])
+            h = np.array([xxhash.xxh3_64_intdigest(data[k : k + SPAN]) for k in range(n)], np.uint64)
             own = [pa.array([v] * n, t) for v, t in ((anchor, pa.int64()), (context, pa.int64()), (once, pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*own, pa.array((before - np.arange(n)).astype(np.int32)), pa.array(h.view(np.int64))], names=names)
 
@@ -402,7 +405,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     over it also starts at another place of any text; all strings are judged on
     the texts as they are. Every row is a text of its own, so repeated rows
     repeat each other; they are told apart by doc_id and text. Texts below 400
-    bytes keep all. Other columns aren't read.
+    bytes keep all. Other columns aren't read. A text is hashed in pieces, however
+    long, and held whole only as its bytes. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     found = written(mapped(docs, _anchored, ANCHORS), "anchors")
