@@ -53,11 +53,11 @@ SETTLED = 1e-6
 #: A pattern is trusted from this confidence on, when so many different trusted identifiers stand in it.
 CONFIDENCE, SUPPORT = 0.7, 3
 BROADCAST_PATTERNS = 500_000
-_SPANS = "array<struct<start:int,end:int,text:string,before:string>>"
+_SPANS = "array<struct<start:int,end:int,text:string,before:string,after:string>>"
 
 
-def located(text: str, pattern: str, gate: Column) -> Column:
-    """array<struct<start, end, text, before>>: matches in code points, and the text between each and the match before.
+def located(text: str, pattern: str, gate: Column, follow: bool = False) -> Column:
+    """array<struct<start, end, text, before, after>>: matches in code points, and the text between each and the match before, and (if follow) after.
 
     Splitting and extracting by one pattern find the same matches; their lengths
     add up to places. Texts that fail the gate aren't searched.
@@ -68,10 +68,14 @@ def located(text: str, pattern: str, gate: Column) -> Column:
     def step(state: Column, pair: Column) -> Column:
         start = state["at"] + F.length(pair["before"])
         end = start + F.length(pair["text"])
-        span = F.struct(start.alias("start"), end.alias("end"), pair["text"].alias("text"), pair["before"].alias("before"))
+        span = F.struct(start.alias("start"), end.alias("end"), pair["text"].alias("text"), pair["before"].alias("before"), pair["after"].alias("after"))
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
 
-    pairs = F.zip_with(F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda g, m: F.struct(g.alias("before"), m.alias("text")))
+    between = F.split(t, pattern, -1)
+    pairs = F.zip_with(between, F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda g, m: F.struct(g.alias("before"), m.alias("text"), F.lit("").alias("after")))
+    if follow:
+        later = F.slice(between, F.lit(2), F.greatest(F.size(between) - 1, F.lit(0)))
+        pairs = F.zip_with(pairs, later, lambda p, g: F.struct(p["before"].alias("before"), p["text"].alias("text"), g.alias("after")))
     return F.when(gate, F.aggregate(F.filter(pairs, lambda p: p["text"].isNotNull()), begin, step)["out"]).otherwise(none)
 
 
@@ -84,26 +88,28 @@ def spans_in(docs: DataFrame) -> DataFrame:
     """docs(text, ...) plus base array<struct<kind, start, end>> and candidates, of every whole text.
 
     base: by kind as listed, then by start. candidates: words with a digit or @,
-    with the groups of digits after them, that no base span covers, or in which one begins, with the word before.
+    with the groups of digits after them, that no base span covers, or in which one begins, with the patterns they stand in.
     """
     digit = F.rlike(F.col("text"), F.lit("[0-9]"))
     docs = pinned(docs, _digit=digit)
     gates = {k.name: (F.contains(F.col("text"), F.lit(k.needs)) if k.needs else F.lit(True)) & (F.lit(True) if k.name == "email" else F.col("_digit")) for k in KINDS}
     docs = pinned(docs, **{f"_{k.name}": located("text", k.pattern, gates[k.name]) for k in KINDS})
     kept = [_valid_spans(kind) for kind in KINDS]
-    docs = pinned(docs, base=F.concat(*kept), _found=located("text", CANDIDATE, F.col("_digit") | F.contains(F.col("text"), F.lit("@"))))
+    docs = pinned(docs, base=F.concat(*kept), _found=located("text", CANDIDATE, F.col("_digit") | F.contains(F.col("text"), F.lit("@")), follow=True))
 
     def candidate(s: Column) -> Column:
         word = F.regexp_replace(s["text"], r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
         lead = F.length(F.regexp_extract(s["text"], r"^[^\p{L}\p{N}]*", 0))
-        near = F.substring_index(F.rtrim(F.translate(s["before"], "\t\n\x0b\x0c\r", "     ")), " ", -1)
+        left = F.rtrim(F.translate(s["before"], "\t\n\x0b\x0c\r", "     "))
+        near, far = F.substring_index(left, " ", -1), F.substring_index(F.substring_index(left, " ", -2), " ", 1)
+        after = F.substring_index(F.ltrim(F.translate(s["after"], "\t\n\x0b\x0c\r", "     ")), " ", 1)
         seed = F.try_element_at(F.filter("base", lambda b: (b["start"] >= s["start"]) & (b["start"] < s["end"])), F.lit(1))
         covered = F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
         return F.struct(
             (s["start"] + lead).alias("start"),
             (s["start"] + lead + F.length(word)).alias("end"),
             F.coalesce(F.substring(F.col("text"), seed["start"] + 1, seed["end"] - seed["start"]), word).alias("word"),
-            _bare(near).alias("pattern"),
+            patterns_at(_bare(F.when(far != near, far)), _bare(near), shape(F.regexp_extract(s["text"], r"^[^\x20\x09-\x0D]+", 0)), _bare(after)).alias("patterns"),
             seed["kind"].alias("seed"),
             covered.alias("covered"),
         )
@@ -117,12 +123,32 @@ def _bare(word: Column) -> Column:
     return F.lower(F.regexp_replace(word, r"[^\p{L}]+", ""))
 
 
+def shape(word: Column) -> Column:
+    """Runs of digits as 9, of letters as a, what else is inside as it is; null for a word without a digit or @."""
+    inner = F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    return F.when(F.rlike(word, F.lit("[0-9@]")), F.regexp_replace(F.regexp_replace(inner, r"\p{L}+", "a"), "[0-9]+", "9"))
+
+
+def patterns_at(far: Column, near: Column, form: Column, after: Column) -> Column:
+    """The patterns of a place as hashes: the word before, the two before, the word after, those on either side, the word before with a shape.
+
+    Words are bare; where one is missing, so are the patterns with it.
+    """
+    kinds = (("left", near), ("two", far, near), ("right", after), ("both", near, after), ("shape", near, form))
+    full = lambda words: F.expr("true") if not words else (words[0] != "") & full(words[1:])
+    return F.array_compact(F.array(*[F.when(full(words), F.xxhash64(F.lit(kind), *words)) for kind, *words in kinds]))
+
+
 def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """pattern, total: how often each of patterns(pattern) occurs in docs(text)."""
-    words = docs.select(F.explode(words_of(F.col("text"))).alias("w")).select(_bare(F.col("w")).alias("pattern"))
+    """pattern, total: how often each of patterns(pattern) occurs in docs(text), whatever stands there."""
+    texts = pinned(docs.select("text"), raw=words_of(F.col("text"))).drop("text")
+    texts = pinned(texts, bare=F.transform("raw", _bare))
+    at = lambda i: F.get("bare", i)
+    each = F.transform("raw", lambda w, i: patterns_at(at(i - 2), at(i - 1), shape(w), at(i + 1)))
+    found = texts.select(F.explode(F.flatten(each)).alias("pattern"))
     if patterns.count() <= BROADCAST_PATTERNS:
-        words = words.join(F.broadcast(patterns), "pattern", "left_semi")
-    return words.groupBy("pattern").agg(F.count("*").alias("total")).join(patterns, "pattern", "left_semi")
+        found = found.join(F.broadcast(patterns), "pattern", "left_semi")
+    return found.groupBy("pattern").agg(F.count("*").alias("total")).join(patterns, "pattern", "left_semi")
 
 
 def trusted_patterns(edges: DataFrame, totals: DataFrame, rounds: int | None = None, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
@@ -166,11 +192,12 @@ def find(docs: DataFrame, rounds: int | None = None, confidence: float = CONFIDE
     rows = docs.select("doc_id", F.xxhash64("text").alias("_t"), whole(F.col("text")).alias("text"))
     rows = cut(spans_in(rows).drop("text"))
     each = rows.where(F.size("candidates") > 0).select("doc_id", "_t", F.explode("candidates").alias("c")).select("doc_id", "_t", "c.*")
-    edges = each.where("pattern <> ''").select("pattern", "word", F.col("seed").isNotNull().alias("seed"))
+    placed = each.withColumn("pattern", F.explode("patterns")).drop("patterns")
+    edges = placed.select("pattern", "word", F.col("seed").isNotNull().alias("seed"))
     patterns = trusted_patterns(edges, occurrences(docs, cut(edges.select("pattern").distinct())), rounds, confidence, support)
     patterns = F.broadcast(patterns) if patterns.count() <= BROADCAST_PATTERNS else patterns
     span = F.struct(F.lit(CONTEXT).alias("kind"), "start", "end")
-    more = each.where("NOT covered").join(patterns, "pattern").groupBy("doc_id", "_t").agg(F.sort_array(F.collect_set(span)).alias("more"))
+    more = placed.where("NOT covered").join(patterns, "pattern").groupBy("doc_id", "_t").agg(F.sort_array(F.collect_set(span)).alias("more"))
     more = more.select(F.col("doc_id").alias("_d"), F.col("_t").alias("_u"), "more")
     out = rows.join(more, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_t").eqNullSafe(F.col("_u")), "left")
     return out.select("doc_id", "base", F.coalesce("more", F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias("more"))
