@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import re
 import sys
 import zlib
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadgrid.llm.store import mapped, written
+from roadgrid.worker import kept
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -24,11 +26,11 @@ BLOCK = 4096
 PERCENTILE = 95.0
 MAGIC = b"RGTI"
 #: Ids a file holds at most, but for its last document.
-FILE_IDS = 1 << 21
+FILE_IDS = 1 << 20
 #: Bytes of words whose ids a task remembers.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 40 << 20
 #: Characters that are tokenized at once.
-PIECE_CHARS = 1 << 20
+PIECE_CHARS = 1 << 19
 
 
 # --- file format -----------------------------------------------------------
@@ -114,6 +116,24 @@ OTHER = re.compile(r"[^\x09\x0a\x0d\x20-\x7e\xa0-\xff]|<\|")
 NOT_PROSE = re.compile(r"[^A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff \n.,]|[.,][.,]")
 
 
+# The normalizer and splitter, as vocabulary files state them, that pieces() follows.
+KNOWN_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+KNOWN_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+KNOWN_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": KNOWN_SPLIT}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def cuts_as_known(spec: dict) -> bool:
+    """Whether texts of a vocabulary file may be cut by pieces(): its own cutting is known and no added token crosses a cut."""
+    added = all(t["content"].startswith("<|") and not re.search(r"\s", t["content"]) for t in spec["added_tokens"])
+    return added and spec["normalizer"] == KNOWN_NORMALIZER and spec["pre_tokenizer"] == KNOWN_SPLITTER and spec["model"].get("end_of_word_suffix") == "</w>"
+
+
 def pieces(text: str) -> list:
     """Parts of the text whose ids, in order, are the text's.
 
@@ -126,6 +146,16 @@ def pieces(text: str) -> list:
     return text.replace("\n", " ").split(" ") if OTHER.search(text) else PIECE.findall(text.lower())
 
 
+class WholeTexts:
+    """Ids of whole texts by the library of the vocabulary file: tokenizers, tiktoken or sentencepiece."""
+
+    def __init__(self, encode):
+        self._encode = encode
+
+    def encode(self, texts: list) -> list:
+        return [np.array(ids, np.uint32) for ids in self._encode(texts)]
+
+
 class Encoder(dict):
     """Ids of whole texts by the tokenizers library, which sees each different word once.
 
@@ -134,13 +164,8 @@ class Encoder(dict):
     of its words, in order. The dict has a number for each word.
     """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.closes[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+    def __init__(self, tokenizer, closes: np.ndarray):
+        self.tokenizer, self.closes = tokenizer, closes
         self.forget()
 
     def forget(self) -> None:
@@ -195,16 +220,47 @@ class Encoder(dict):
         return np.split(self.flat[place], np.concatenate(([0], ends))[np.cumsum(sizes)[:-1]])
 
 
-_encoders: dict = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        import os
+def _loaded(path: str) -> tuple:
+    """(what encodes, None), or for a vocabulary that pieces() knows (its tokenizer, whether an id closes a word)."""
+    import os
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if path.endswith(".tiktoken"):
+        import base64
+
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, f)}
+        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: [own.encode_ordinary(t) for t in texts], None
+    if path.endswith(".model"):
+        import sentencepiece
+
+        own = sentencepiece.SentencePieceProcessor(model_file=path)
+        return lambda texts: own.encode(texts, num_threads=1), None
+    from tokenizers import Tokenizer
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    own = Tokenizer.from_file(path)
+    if not cuts_as_known(spec):
+        return lambda texts: [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)], None
+    vocabulary = own.get_vocab()
+    closes = np.zeros(max(vocabulary.values()) + 1, bool)
+    closes[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+    return own, closes
+
+
+def encoder(path: str):
+    """What encodes lists of texts by a vocabulary file, which a worker reads once; the words it learns last a task."""
+    loaded = kept("vocabularies")
+    if path not in loaded:
+        loaded.clear()
+        loaded[path] = _loaded(path)
+    own, closes = loaded[path]
+    return WholeTexts(own) if closes is None else Encoder(own, closes)
 
 
 def vocabulary_path(vocabulary: str) -> str:
@@ -265,7 +321,9 @@ def write_ids(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_I
     (null first; rows with one doc_id by text). Each text is encoded whole, null
     as empty, and ends with end_id. A file is the payload of a row of a Parquet
     table, so that it reaches any storage Spark reaches and is committed with
-    its task; part and seq order the files. An empty table gives no files.
+    its task; part and seq order the files (export_files() writes them out). An
+    empty table gives no files. A text is held whole with its ids, however long.
+    Texts of vocabularies whose cutting isn't known go to their library whole.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -273,6 +331,34 @@ def write_ids(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_I
     return written(mapped(ranged, _writer(vocabulary, end_id, block, percentile), FILES), "token-ids")
 
 
+def export_files(files: DataFrame, folder: str) -> DataFrame:
+    """Writes the files of write_ids() as files of their own; path, part, seq, first_doc, n_docs, n_ids of each.
+
+    folder is a path or URI that every executor reaches by Arrow's filesystems
+    (file, hdfs, s3, gs). A file is written aside and then moved to its name, so
+    a task that is run again leaves the same files.
+    """
+    from pyspark import TaskContext
+
+    def export(batches):
+        from pyarrow import fs
+
+        target, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        target.create_dir(base, recursive=True)
+        for batch in batches:
+            paths = []
+            for part, seq, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(5)):
+                paths.append(f"{base}/{part:06d}-{seq:06d}.rgti")
+                aside = f"{paths[-1]}.{TaskContext.get().taskAttemptId()}"
+                with target.open_output_stream(aside) as out:
+                    out.write(data.as_py())
+                target.move(aside, paths[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), *batch.columns[:5]], names=["path", "part", "seq", "first_doc", "n_docs", "n_ids"])
+
+    rows = files.select("part", "seq", "first_doc", "n_docs", "n_ids", "payload")
+    return written(rows.mapInArrow(export, "path string, part int, seq int, first_doc long, n_docs long, n_ids long"), "token-files")
+
+
 def _reader(batches):
     out = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("doc_id", pa.int64()), ("inside", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
     for batch in batches:
@@ -292,7 +378,10 @@ def read_ids(files: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, decoded from the files.
 
     Starts are sums over files, in order: first over the files of a part, then
-    over parts, whose number is the writer's.
+    over parts, whose number is the writer's. Rows that share a doc_id, or have
+    none, are read one by one, in the order in which they were written. Without
+    files there are no rows; a file is decoded whole, and holds FILE_IDS ids at
+    most or one document.
     """
     from pyspark.sql import Window
 
