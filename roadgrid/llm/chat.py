@@ -63,8 +63,10 @@ def format_chat(conversations: DataFrame, template: Template = Template(), order
     Turns go by turn, then role, then text; null roles and texts are empty;
     repeated rows are turns of their own. valid says whether the machine accepts
     the roles, bad_turn is the first turn (from 0) that it rejects. Invalid
-    conversations are formatted too, flagged. A conversation is one row: its
-    text, like that of a document, has to fit in a task.
+    conversations are formatted too, flagged. Rows without a conv_id are one
+    conversation. A conversation is one row: its text, like that of a document,
+    however long, has to fit in a task. An empty table gives no rows; other
+    columns aren't read.
     """
     role, text = F.coalesce(F.col("role"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
     turns = (

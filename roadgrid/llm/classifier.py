@@ -201,7 +201,9 @@ def score(docs: DataFrame, model: Model, keep_tail: float = KEEP_TAIL) -> DataFr
     """doc_id, grade (expected), tail (probability of a good grade) and kept of every row of docs(doc_id, text).
 
     Null texts are empty; a text without features gets the model's prior. Each
-    row is scored by itself, so repeated rows get the same result.
+    row is scored by itself, so repeated rows get the same result, and rows
+    without an id theirs. Texts are scored whole, however long. An empty table
+    gives no rows; other columns aren't read.
     """
     # Weights of a bounded sample: their broadcast with the task is bounded too.
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -221,5 +223,10 @@ def _keeper(model: Model, keep_tail: float, place: int):
 
 
 def select_good(docs: DataFrame, model: Model, keep_tail: float = KEEP_TAIL) -> DataFrame:
-    """The rows of docs whose tail probability reaches keep_tail, with all their columns."""
+    """The rows of docs whose tail probability reaches keep_tail, with all their columns.
+
+    A null text is empty and a text without features has the model's prior; rows
+    at keep_tail stay. Repeated rows stay or go together. Columns of any name
+    pass through. An empty table stays empty.
+    """
     return mapped(docs, _keeper(model, keep_tail, docs.columns.index("text")), docs.schema)

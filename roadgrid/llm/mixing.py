@@ -93,7 +93,9 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS, seed: str = SEED) -> DataFrame:
     """The mixed corpus: each document as often as its copies say, with all its columns.
 
-    Other columns pass through, also ones named as this module's own.
+    Other columns pass through, also ones named as this module's own. Nulls,
+    repeated rows, ties in the draw (none: an id's draw is one number) and empty
+    tables are as in mix_plan(). Texts pass through whole, however long.
     """
     by_source = targets(document_sizes(docs), weights, share, most)
     packed = docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))

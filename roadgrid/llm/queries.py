@@ -114,6 +114,34 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
+
+def _secrets_sql() -> str:
+    """Every rule's matches by regular expression: lengths of what is matched and what is between add up to places."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    each = " UNION ALL ".join(
+        f"SELECT r, text, {k} AS k, {quoted(x.kind)} AS kind, {x.least} AS least, regexp_extract_all(text, {quoted(x.pattern)}) AS m, "
+        f"regexp_extract_all(text, {quoted(x.pattern)}, {x.group}) AS g, string_split_regex(text, {quoted(x.pattern)}) AS s FROM d"
+        for k, x in enumerate(secrets.RULES)
+    )
+    base = ", ".join(quoted(x.kind) for x in secrets.BASE_RULES)
+    counts = ", ".join(f"count(*) FILTER (kind = {quoted(x.kind)}) AS n_{x.kind}" for x in secrets.BASE_RULES)
+    shown = "string_agg(concat_ws(':', kind, a, b), ',' ORDER BY a, k)"
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), found AS (
+  SELECT *, unnest(range(1, len(m) + 1)) AS i FROM ({each})
+), placed AS (
+  SELECT r, k, kind, length(m[i]) AS n, list_sum([length(x) for x in s[1:i]]) + coalesce(list_sum([length(x) for x in m[1:i - 1]]), 0) AS a FROM found WHERE length(g[i]) >= least
+), spans AS (
+  SELECT r, k, kind, a::BIGINT AS a, (a + n)::BIGINT AS b FROM placed
+), told AS (
+  SELECT r, {counts}, {shown} FILTER (kind IN ({base})) AS base, {shown} AS spans FROM spans GROUP BY r
+)
+SELECT doc_id, {', '.join(f'coalesce(n_{x.kind}, 0) AS n_{x.kind}' for x in secrets.BASE_RULES)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN told USING (r)"""
+
+
 _ESC = "replace(replace(replace(replace({}, '\\', '\\b'), '<', '\\l'), '[', '\\s'), ']', '\\e')"
 
 ORACLE_SQL = {
@@ -201,36 +229,60 @@ WITH sized AS (
   FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source
 )
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM drawn""",
+    "op6_secret_scan": _secrets_sql(),
+    "op8_suffix_dedup": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT r, p, md5_number(substr(h, 2 * p + 1, 800)) AS s FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 399)) AS p FROM d WHERE length(h) >= 800)
+), hit AS (
+  SELECT r, p FROM w SEMI JOIN (SELECT s FROM w GROUP BY s HAVING count(*) > 1) USING (s)
+), run AS (
+  SELECT r, min(p) AS a, max(p) + 400 AS b FROM (
+    SELECT r, p, sum(far) OVER (PARTITION BY r ORDER BY p) AS k FROM (
+      SELECT r, p, (coalesce(p - lag(p) OVER (PARTITION BY r ORDER BY p), 401) > 400)::INT AS far FROM hit)) GROUP BY r, k
+), part AS (
+  SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS since FROM run
+), kept AS (
+  SELECT r, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS k, sum(b - a) AS n, count(*) AS m
+  FROM part JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(m, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)""",
     "op10_quality_rules": r"""
 WITH d AS (
   SELECT doc_id, source AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
 ), g AS (
-  SELECT doc_id, unnest(range(1, len(words) - 3)) AS p, words FROM d WHERE len(words) >= 5
+  SELECT text, unnest(range(1, len(words) - 3)) AS p, words FROM (SELECT DISTINCT text, words FROM d) WHERE len(words) >= 5
 ), grams AS (
-  SELECT doc_id, p, array_to_string(words[p:p + 4], ' ') AS s FROM g
+  SELECT text, p, array_to_string(words[p:p + 4], ' ') AS s FROM g
 ), twice AS (
-  SELECT doc_id, p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS n FROM grams) WHERE n > 1
+  SELECT text, p FROM (SELECT *, count(*) OVER (PARTITION BY text, s) AS n FROM grams) WHERE n > 1
 ), rep AS (
-  SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + 5)) AS q FROM twice) GROUP BY doc_id
+  SELECT text, count(DISTINCT q) AS n FROM (SELECT text, unnest(range(p, p + 5)) AS q FROM twice) GROUP BY text
+), once AS (
+  SELECT DISTINCT doc_id, host, text FROM d
 ), line AS (
-  SELECT doc_id, host, l, trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS l FROM d)
+  SELECT doc_id, host, text, l, trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS l FROM once)
 ), full_line AS (
   SELECT * FROM line WHERE norm <> ''
 ), dup AS (
-  SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM full_line GROUP BY doc_id
+  SELECT doc_id, host, text, count(*) - count(DISTINCT l) AS n FROM full_line GROUP BY ALL
 ), hosts AS (
-  SELECT host, count(DISTINCT doc_id) AS host_docs FROM d GROUP BY host
+  SELECT host, count(*) AS host_docs FROM once GROUP BY host
 ), often AS (
-  SELECT f.host, f.norm FROM full_line f JOIN hosts h ON f.host IS NOT DISTINCT FROM h.host
-  GROUP BY f.host, f.norm, h.host_docs HAVING count(DISTINCT doc_id) > 20 AND 100 * count(DISTINCT doc_id) > h.host_docs
+  SELECT f.host, f.norm FROM (SELECT DISTINCT doc_id, host, text, norm FROM full_line) f JOIN hosts h ON f.host IS NOT DISTINCT FROM h.host
+  GROUP BY f.host, f.norm, h.host_docs HAVING count(*) > 20 AND 100 * count(*) > h.host_docs
 ), gone AS (
-  SELECT f.doc_id, sum(length(f.norm) - length(replace(f.norm, ' ', '')) + 1)::BIGINT AS n FROM full_line f
-  JOIN often o ON f.norm = o.norm AND f.host IS NOT DISTINCT FROM o.host GROUP BY f.doc_id
+  SELECT f.doc_id, f.host, f.text, sum(length(f.norm) - length(replace(f.norm, ' ', '')) + 1)::BIGINT AS n FROM full_line f
+  JOIN often o ON f.norm = o.norm AND f.host IS NOT DISTINCT FROM o.host GROUP BY ALL
 ), m AS (
   SELECT d.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
-    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (length(d.text) - length(regexp_replace(d.text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS n_removed_words
-  FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN gone USING (doc_id)
+  FROM d LEFT JOIN rep ON rep.text = d.text
+    LEFT JOIN dup ON dup.text = d.text AND dup.doc_id IS NOT DISTINCT FROM d.doc_id AND dup.host IS NOT DISTINCT FROM d.host
+    LEFT JOIN gone ON gone.text = d.text AND gone.doc_id IS NOT DISTINCT FROM d.doc_id AND gone.host IS NOT DISTINCT FROM d.host
 )
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (100 * n_removed_words > 50 * n_words OR n_words - n_removed_words < 10) AS kept

@@ -348,6 +348,7 @@ def find(docs: DataFrame, rules=RULES) -> DataFrame:
     Spans are leftmost, longest and of one kind apart, in code points, the end
     exclusive; ordered by start, then by the rules' order. Null and empty texts
     have none. Repeated rows are scanned one by one; other columns aren't read.
+    A text is scanned whole, however long, in one pass; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return mapped(docs, _finder(compile_rules(rules), rules), "doc_id long, spans array<struct<kind string, start long, end long>>")

@@ -158,6 +158,27 @@ def test_jaccard_of_five_words_at_80_percent(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in jaccard.classes(docs, 5, 80).collect()} == want
 
 
+def thue_morse(n, a, b):
+    word = [0]
+    while len(word) < n:
+        word += [1 - x for x in word]
+    return "".join((a, b)[x] for x in word[:n]), "".join((b, a)[x] for x in word[:n])
+
+
+def test_jaccard_words_with_equal_polynomials(spark):
+    x, y = thue_morse(4096, "a", "b")
+    rows = [(1, x), (2, y), (3, f"one {x} two three"), (4, f"one {y} two three"), (5, f"One {x.upper()} two three")]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 3}
+
+
+def test_jaccard_sets_that_share_a_key(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "set_key", lambda s: len(s) % 3)
+    rows = near_copies(random.Random(41), 200)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
+
+
 def test_jaccard_edges(spark):
     rows = jaccard.classes(edge(spark)).collect()
     assert len(rows) == len(EDGE)
@@ -263,6 +284,14 @@ def test_suffix_dedup_against_all_windows(spark):
     assert repeats_of(spark, rows) == dict(zip([d for d, _ in rows], brute_repeats([t for _, t in rows])))
 
 
+def test_suffix_dedup_of_strings_with_equal_polynomials(spark, monkeypatch):
+    x, y = thue_morse(2048, "a", "b")
+    rows = [(1, x), (2, y), (3, "start " + x + " end"), (4, y[:1500] + "z" + x[700:])]
+    for many in (50_000, 1):
+        monkeypatch.setattr(suffix, "GROUP_CONTEXTS", many)
+        assert repeats_of(spark, rows) == dict(zip([d for d, _ in rows], brute_repeats([t for _, t in rows])))
+
+
 def test_suffix_dedup_of_a_frequent_passage(spark, monkeypatch):
     monkeypatch.setattr(suffix, "SHARD", 50)
     monkeypatch.setattr(suffix, "PAIRS", 5)
@@ -323,6 +352,35 @@ def test_token_files(spark, monkeypatch):
     assert {r["doc_id"]: tuple(r)[1:] for r in tokens.read_ids(files).collect()} == want
 
 
+TEXTS = ["Hello world, it's 2024!", "", "Straße  ñandú\n\tÉTÉ", "文字 x1 <|endoftext|> don't", " leading", "a" * 500, None]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"])
+def test_every_installed_vocabulary(spark, name, tmp_path):
+    import base64
+
+    import public_tokenizers
+    import sentencepiece
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path(name))
+    if name.endswith("json"):
+        own = Tokenizer.from_file(path)
+        ids = lambda t: own.encode(t, add_special_tokens=False).ids
+    elif name.endswith("model"):
+        ids = sentencepiece.SentencePieceProcessor(model_file=path).encode
+    else:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+        ids = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    files = tokens.write_ids(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string"), name, end_id=7)
+    want = [x for t in TEXTS for x in (*ids(t or ""), 7)]
+    out = tokens.export_files(files, str(tmp_path / "files")).orderBy("part", "seq").collect()
+    assert np.concatenate([tokens.decode_ids(open(r["path"], "rb").read()) for r in out]).tolist() == want
+    assert sorted(x.name for x in (tmp_path / "files").iterdir()) == sorted(r["path"].rpartition("/")[2] for r in out)
+    assert sum(r["n_tokens"] for r in tokens.read_ids(files).collect()) == len(want)
+
+
 def test_token_edges(spark):
     assert tokens.read_ids(tokens.write_ids(edge(spark))).count() == len(EDGE)
     assert tokens.read_ids(tokens.write_ids(empty(spark))).count() == 0

@@ -131,6 +131,36 @@ def test_quality_frequent_lines(spark):
     assert got[200]["n_removed_words"] == 0 and got[200]["kept"]
 
 
+def test_quality_repeated_rows_and_null_ids(spark, duck):
+    """Repeated rows are one document, rows without an id one each by text; the SQL says the same."""
+    import duckdb
+
+    line = "this very line stands in all of them and is long"
+    own = lambda k: f"{line}\n{line}\n" + " ".join(f"w{k}x{j}" for j in range(100))
+    rows = [(k, own(k), "h") for k in range(40)] + [(5, own(5), "h")] * 2 + [(None, own(100 + k), "h") for k in range(3)] + [(7, own(7), None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = quality_rules.quality(docs)
+    by = [(r["doc_id"], r["n_removed_words"], r["kept"]) for r in got.collect()]
+    assert len(by) == len(rows) and all(n == (22 if k != 7 or n else 0) and kept for k, n, kept in by)
+    assert sorted(n for k, n, _ in by if k == 7) == [0, 22]
+    con = duckdb.connect()
+    frame = docs.toPandas()
+    con.register("documents", frame.assign(doc_id=frame.doc_id.astype("Int64")))
+    want = con.execute(queries.ORACLE_SQL["op10_quality_rules"])
+    columns = [c[0] for c in want.description]
+    assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r)) for r in got.select(*columns).collect())
+
+
+def test_frequent_lines_are_dealt_out(spark, monkeypatch):
+    from roadgrid.llm import text
+
+    rows = [(k, f"a line that stands in each of them, to be sure\n{' '.join(f'w{k}x{j}' for j in range(30))}", "h") for k in range(60)]
+    docs = spark.createDataFrame(rows, DOCS)
+    want = sorted(map(tuple, quality_rules.quality(docs).collect()))
+    monkeypatch.setattr(text, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, quality_rules.quality(docs).collect())) == want
+
+
 # --- personal data ------------------------------------------------------------------
 
 BASE = (
@@ -239,6 +269,53 @@ def test_decontamination_against_all_windows(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == brute_contaminated(docs, items)
 
 
+def simhash_of(grams):
+    return sum(1 << b for b in range(64) if 2 * sum(g >> b & 1 for g in grams) > len(grams))
+
+
+def test_simhash_votes(spark):
+    rng = random.Random(9)
+    rows = [[rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (1, 2, 3, 7, 30, 64, 500, decontam.LANE_VOTES, decontam.LANE_VOTES + 1)] + [[-1] * 4, [5, 5, -6, -6]]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "k int, grams array<long>")
+    got = {r["k"]: r["fp"] % (1 << 64) for r in df.select("k", decontam.simhash("grams").alias("fp")).collect()}
+    assert got == {k: simhash_of([x % (1 << 64) for x in own]) for k, own in enumerate(rows)}
+
+
+def test_blocks_find_every_fingerprint_in_the_radius(spark):
+    """The multi-index against all pairs, with items of one and of two sizes, whatever ids they have."""
+    rng = random.Random(10)
+    items = [(k, 20 + k % 2, rng.getrandbits(64) - (1 << 63)) for k in range(60)]
+    seen = []
+    for k in range(300):
+        fp = items[rng.randrange(60)][2]
+        for b in rng.sample(range(64), rng.randint(0, 30)):
+            fp ^= (1 << b) if b < 63 else -(1 << 63)
+        seen.append((k, 7, 20 + k % 2, fp))
+    i = spark.createDataFrame(items, "item_id long, n int, fp long")
+    w = spark.createDataFrame(seen, "doc_id long, text_hash long, n int, fp long")
+    for radius in (0, 3, 12, 20):
+        got = {(r["doc_id"], r["item_id"]) for r in decontam.candidates(w, i, radius).collect()}
+        assert got == {(d, k) for d, _, n, fp in seen for k, m, own in items if n == m and ((fp ^ own) % (1 << 64)).bit_count() <= radius}
+
+
+def test_radius_decides_what_is_found(spark):
+    """The fingerprints find the items: an edited copy is out of a small radius, an exact one is not."""
+    words = [f"u{k}" for k in range(60)]
+    edited = [*words[:3], "other", *words[4:]]
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x y " + " ".join(words) + " z"), (2, " ".join(edited))], "doc_id long, text string")
+    found = lambda radius: sorted(r["doc_id"] for r in decontam.contaminated(docs, items, 0.8, radius).collect())
+    assert found(0) == [1] and found(decontam.RADIUS) == [1, 2]
+
+
+def test_weighted_similarity(spark):
+    rng = random.Random(11)
+    rows = [([rng.randrange(6) for _ in range(rng.randint(1, 12))], [rng.randrange(6) for _ in range(rng.randint(1, 12))]) for _ in range(200)] + [([0, 0], [0]), ([1], [2])]
+    for r in spark.createDataFrame(rows, "a array<long>, b array<long>").select("a", "b", decontam.weighted_similarity("a", "b").alias("s")).collect():
+        a, b = Counter(r["a"]), Counter(r["b"])
+        assert r["s"] == pytest.approx(sum((a & b).values()) / sum((a | b).values()))
+
+
 def test_decontamination_edges(spark):
     items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta", 5)], "item_id long, text string, n int")
     docs = edge(spark)
