@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of documents. run() writes each stage's rows as Parquet in
 shared storage and reads them again for the next.
+
+In every stage null texts are empty (rated by the model's prior, near no other,
+uncontaminated, of size 0, one end id), rows without an id stay documents of
+their own, repeated rows are judged alike, other columns pass through whatever
+their names, and an empty table stays empty. Texts are taken whole.
 """
 
 from __future__ import annotations
