@@ -78,28 +78,25 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
     return cut(items.withColumn("fp", simhash("grams")))
 
 
-def windows(texts: DataFrame, sizes: list, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, text_hash, n, fp of the windows of texts(doc_id, text_hash, grams, places) that could match an item of n words.
-
-    places are those of shingles that some item has, in order. A window that is
-    as similar as asked to an item of n words has at least similarity * (n - 4)
-    of them; moved on to the first of them it has no fewer, so windows start
-    there, or where the text's last window does. A text shorter than the item is
-    one window.
-    """
-    # a few numbers: one for each length that items have
-    lengths = F.array(*[F.lit(int(n)) for n in sizes])
-    last = F.size("grams") + (SHINGLE - 1)
-    least = lambda n: F.ceil(F.lit(similarity) * (n - (SHINGLE - 1)) - 1e-9).cast("int")
+def least_shared(n: Column, similarity: float) -> Column:
+    """The fewest of its shingles that a window as similar as asked to an item of n words has from the item."""
+    return F.ceil(F.lit(similarity) * (n - (SHINGLE - 1)) - 1e-9).cast("int")
+
 
-    def starts(n: Column) -> Column:
-        enough = lambda p, i: F.get("places", i + least(n) - 1) < p + n - (SHINGLE - 1)
-        at = F.transform(F.filter("places", enough), lambda p: F.greatest(F.lit(0), F.least(p, last - n)))
-        return F.transform(F.array_distinct(at), lambda s: F.struct(n.alias("n"), s.alias("start")))
+def windows(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, text_hash, n, fp of the windows of texts(doc_id, text_hash, n, grams, places) that could match an item of n words.
 
-    some = texts.select("doc_id", "text_hash", "grams", F.explode(F.flatten(F.transform(lengths, starts))).alias("w"))
-    some = some.select("doc_id", "text_hash", "w.n", F.slice("grams", F.col("w.start") + 1, F.col("w.n") - (SHINGLE - 1)).alias("grams"))
-    return pinned(some, window=F.col("grams")).select("doc_id", "text_hash", "n", simhash("window").alias("fp")).distinct()
+    places are those of shingles that some item of n words has, in order. A
+    window as similar as asked has enough of them; moved on to the first of them
+    it has no fewer, so windows start there, or where the text's last window
+    does. A text shorter than the item is one window.
+    """
+    n, last = F.col("n"), F.size("grams") + (SHINGLE - 1)
+    enough = lambda p, i: F.get("places", i + least_shared(n, similarity) - 1) < p + n - (SHINGLE - 1)
+    at = F.transform(F.filter("places", enough), lambda p: F.greatest(F.lit(0), F.least(p, last - n)))
+    some = texts.select("doc_id", "text_hash", "n", "grams", F.explode(F.array_distinct(at)).alias("start"))
+    some = pinned(some, window=F.slice("grams", F.col("start") + 1, n - (SHINGLE - 1)))
+    return some.select("doc_id", "text_hash", "n", simhash("window").alias("fp")).distinct()
 
 
 def candidates(windows: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -116,8 +113,9 @@ def candidates(windows: DataFrame, items: DataFrame, radius: int = RADIUS) -> Da
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """doc_id, text_hash, item_id, similarity, start, n of each document and item that some window of it resembles.
 
-    Windows are as long as an item. Those with too few shingles of the benchmark
-    at all are left out; the others' fingerprints find the items, within radius.
+    Windows are as long as an item. Those with too few shingles that items of
+    that length have, whichever they are, are left out; the others' fingerprints
+    find the items, within radius.
     A document and an item that met are compared by their shingles' counts, in
     the windows that a shared shingle places; the most similar, then the first
     counts. Null and empty texts, and texts below 5 words, match nothing. Rows
@@ -127,24 +125,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     shingles' hashes.
     """
     items = benchmark_items(benchmark)
-    sizes = [r["n"] for r in items.select("n").distinct().orderBy("n").collect()]
     text_hash = F.xxhash64("text").alias("text_hash")
     rows = docs.select(F.col("doc_id").alias("doc_id"), "text")
     hashed = lambda df: pinned(pinned(df, w=normal_words(F.col("text"))).drop("text"), grams=shingles("w")).drop("w")
-    known = cut(items.select(F.explode("grams").alias("_g")).distinct())
+    known = cut(items.select("n", F.explode("grams").alias("_g")).distinct())
     grams = hashed(rows.select("doc_id", text_hash, "text")).select("doc_id", "text_hash", F.posexplode("grams").alias("place", "gram"))
     hits = spread(grams, known, [("gram", "_g")], 32)
-    fewest = max(1, -(-int(100 * similarity * (min(sizes, default=SHINGLE) - SHINGLE + 1)) // 100))
-    places = hits.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("place")).alias("places")).where(F.size("places") >= fewest)
-    places = cut(places.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), "places"))
-    some = F.broadcast(places.select("_d", "_t")) if fits(places) else places.select("_d", "_t")
+    places = hits.groupBy("doc_id", "text_hash", "n").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    places = places.where(F.size("places") >= least_shared(F.col("n"), similarity))
+    places = cut(places.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), "n", "places"))
+    some = places.select("_d", "_t").distinct()
+    some = F.broadcast(some) if fits(places) else some
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t"))
-    texts = hashed(rows.select("doc_id", text_hash, "text").join(some, same, "left_semi").dropDuplicates(["doc_id", "text_hash"]))
-    texts = cut(texts.join(places, same).drop("_d", "_t"))
-    pairs = candidates(windows(texts, sizes, similarity), items, radius)
+    texts = cut(hashed(rows.select("doc_id", text_hash, "text").join(some, same, "left_semi").dropDuplicates(["doc_id", "text_hash"])))
+    texts = texts.join(places, same).drop("_d", "_t")
+    pairs = candidates(windows(texts, similarity), items, radius)
     pairs = cut(pairs.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.col("item_id").alias("_i")))
     theirs = items.select("item_id", "n", F.col("grams").alias("item_grams"))
-    both = texts.join(pairs, same).drop("_d", "_t").join(theirs, F.col("_i") == F.col("item_id")).drop("_i")
+    found = pairs.join(theirs, F.col("_i") == F.col("item_id")).drop("_i").withColumnRenamed("n", "_n")
+    both = texts.join(found, same & (F.col("n") == F.col("_n"))).drop("_d", "_t", "_n")
     both = pinned(both, g=F.col("grams"), own=F.col("item_grams")).drop("grams", "item_grams")
     at = F.flatten(F.transform("places", lambda p: F.transform(F.filter(F.sequence(F.lit(0), F.size("own") - 1), lambda a: F.get("own", a) == F.get("g", p)), lambda a: p - a)))
     starts = F.array_distinct(F.transform(at, lambda s: F.greatest(F.lit(0), F.least(s, F.size("g") + (SHINGLE - 1) - F.col("n")))))
