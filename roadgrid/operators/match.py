@@ -22,7 +22,7 @@ def assign_status(readings: DataFrame, plates: DataFrame, column: str = "plate_t
     """
     listed = plates.select(F.col("plate").alias("_plate")).distinct()
     unread = F.coalesce(F.col(column), F.lit("")) == ""
-    dealt = F.concat(F.lit("\0"), (F.monotonically_increasing_id() % 4096).cast("string"))
+    dealt = F.concat(F.lit("\0"), (F.rand(1) * 4096).cast("int").cast("string"))
     keyed = readings.withColumn("_key", F.when(unread, dealt).otherwise(F.col(column)))
     hit = keyed.join(listed.withColumn("_hit", F.lit(True)), F.col("_key") == F.col("_plate"), "left")
     status = F.when(unread, C.UNIDENTIFIED).when(F.col("_hit"), C.STOLEN).otherwise(C.OK)

@@ -139,3 +139,59 @@ def test_stream(spark, folder, tmp_path):
     q = rows.writeStream.format("memory").queryName("files").option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("files").count() == 6
+
+
+def test_plan_reads_each_image_once(spark, folder):
+    """One detector node above one scan of each kind of file, one reader node, no self-join."""
+    plates = spark.createDataFrame([("ABC600",)], "plate string")
+    rows = pipeline.run(images.decoded(spark, folder), plates, Boxes, Widths, "parallel", 2)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    nodes = [line for line in plan.split("\n") if "MapInPandas" in line and "(" in line]
+    assert len(nodes) == 2 and plan.count("Join") == 1 and "InMemoryTableScan" not in plan
+
+
+def test_models_of_one_function_are_told_apart(spark, folder):
+    def reader(word):
+        def make():
+            class Fixed:
+                def read(self, crop):
+                    return word, [0.9]
+
+            return Fixed()
+
+        return make
+
+    found = infer.with_best(infer.detect(images.decoded(spark, folder).where("image = 'a.png'").coalesce(1), Boxes))
+    got = [infer.read(found, reader(w)).select("plate").collect() for w in ("one", "two")]
+    assert [[r[0] for r in x] for x in got] == [["one"], ["two"]]
+
+
+def test_warm_up(spark):
+    assert infer.warm_up(spark, Boxes, Widths, 2) >= 0
+
+
+def test_unread_images_do_not_share_a_key(spark):
+    from roadgrid.operators import match
+
+    readings = spark.createDataFrame([(k, t) for k, t in enumerate(["", None, "AB12", "ZZ99", ""])], "k int, plate_text string")
+    plates = spark.createDataFrame([("AB12",), ("",)], "plate string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r["k"]: r["status"] for r in match.assign_status(readings, plates).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {0: C.UNIDENTIFIED, 1: C.UNIDENTIFIED, 2: C.STOLEN, 3: C.OK, 4: C.UNIDENTIFIED}
+
+
+def test_webp_files_keep_their_row(spark, tmp_path):
+    (tmp_path / "x.webp").write_bytes(b"RIFF0000WEBPnot really")
+    (tmp_path / "y.png").write_bytes(images.png(np.full((5, 6, 3), 9, np.uint8)))
+    assert {r["image"]: r["height"] for r in images.decoded(spark, str(tmp_path)).collect()} == {"x.webp": -1, "y.png": 5}
+
+
+def test_a_broken_replacement_keeps_the_list(spark, tmp_path):
+    path = str(tmp_path / "list")
+    watchlist.save(spark.createDataFrame([("AA1",)], "plate string"), path)
+    os.rename(path, path + ".before")  # stopped between the two moves
+    assert [r[0] for r in watchlist.load(spark, path).collect()] == ["AA1"] and not os.path.exists(path + ".before")
