@@ -119,5 +119,11 @@ def read_back(formatted: Column, template: Template = Template()) -> Column:
     return F.zip_with(F.regexp_extract_all(formatted, pattern, F.lit(1)), F.regexp_extract_all(formatted, pattern, F.lit(2)), turn)
 
 
+def loss_read_back(turns: Column, template: Template = Template()) -> Column:
+    """The text under the loss mask, from read_back() turns: the template says whose text counts."""
+    counted = [name for name, parts in template.roles.items() if parts[2]]
+    return F.array_join(F.transform(F.filter(turns, lambda t: t["role"].isin(*counted)), lambda t: t["text"]), "")
+
+
 def loss_text(segments: Column) -> Column:
     return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescaped(s["text"])), "")

@@ -50,7 +50,8 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-7).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(PROBE)
     )
     out = chat.format_chat(rows.union(probe))
-    out = chat.pinned(out, turns=chat.read_back(F.col("formatted")), loss=chat.loss_text(F.col("segments")))
+    out = chat.pinned(out, turns=chat.read_back(F.col("formatted")))
+    out = chat.pinned(out, loss=chat.loss_read_back(F.col("turns")))
     shown = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id",

@@ -48,12 +48,13 @@ CHAT = [
 
 def test_chat_round_trip(spark):
     out = chat.format_chat(spark.createDataFrame(CHAT, "conv_id long, turn long, role string, text string"))
-    rows = {r["conv_id"]: r for r in out.select("*", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("segments")).alias("loss")).collect()}
+    rows = {r["conv_id"]: r for r in out.select("*", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("segments")).alias("loss"), chat.loss_read_back(chat.read_back(F.col("formatted"))).alias("again")).collect()}
     want = {}
     for c, _, role, text in CHAT:
         want.setdefault(c, []).append((role or "", text or ""))
     assert {c: [tuple(t) for t in r["turns"]] for c, r in rows.items()} == want
     assert {c: r["loss"] for c, r in rows.items()} == {c: "".join(x for role, x in t if role == "assistant") for c, t in want.items()}
+    assert all(r["again"] == r["loss"] for r in rows.values())
     assert {c: r["valid"] for c, r in rows.items()} == {1: True, 2: False, 3: False, 4: False, 5: False, None: False}
     assert [rows[c]["bad_turn"] for c in (1, 2, 3, 4, 5)] == [None, 0, 3, 0, 1]
     assert all("".join(s["text"] for s in r["segments"]) == r["formatted"] for r in rows.values())
