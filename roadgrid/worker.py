@@ -36,9 +36,16 @@ def give_back() -> None:
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+_set: set = {"10000"}  # Spark's own number of rows, and those set here
+
+
 def batches_of(spark, rows: int) -> None:
-    """Arrow batches of this session have so many rows at most from now on: rows can be large, and both sides hold a batch several times."""
-    if not 0 < int(spark.conf.get(BATCH_ROWS)) <= rows:
+    """Arrow batches of what this session runs from now on have so many rows at most: rows can be large, and both sides hold a batch several times.
+
+    A session for which someone else has set a number keeps it.
+    """
+    if spark.conf.get(BATCH_ROWS) in _set:
+        _set.add(str(rows))
         spark.conf.set(BATCH_ROWS, str(rows))
 
 
