@@ -24,34 +24,27 @@ def repeated_words(docs: DataFrame) -> DataFrame:
     """docs(words) plus n_repeat_words: words in 5-word windows found twice or more in the text.
 
     Equal windows have equal hashes, so a text whose window hashes are all
-    different has none; only the others compare the windows themselves.
+    different has none; only the others sort them and compare the words of
+    neighbours.
     """
-    grams = F.transform(
-        F.arrays_zip(*[F.slice("words", F.lit(k + 1), F.greatest(F.size("words") - (WINDOW - 1), F.lit(0))).alias(f"w{k}") for k in range(WINDOW)]),
-        lambda z: F.xxhash64(*[z[f"w{k}"] for k in range(WINDOW)]),
-    )
-    docs = pinned(docs, grams=grams)
-    suspect = F.size(F.array_distinct("grams")) < F.size("grams")
-    docs = pinned(docs.withColumn("suspect", suspect).drop("grams"), again=F.when(F.col("suspect"), F.col("words")))
-    n = F.size("again")
-    texts = F.array_sort(
-        F.transform(
-            F.arrays_zip(*[F.slice("again", F.lit(k + 1), F.greatest(n - (WINDOW - 1), F.lit(0))).alias(f"w{k}") for k in range(WINDOW)]),
-            lambda z, i: F.struct(F.concat_ws(" ", *[z[f"w{k}"] for k in range(WINDOW)]).alias("s"), i.alias("p")),
-        )
-    )
-    docs = pinned(docs, sorted_windows=texts)
-    size = F.greatest(F.size("sorted_windows") - 1, F.lit(0))
-    pairs = F.zip_with(
-        F.slice("sorted_windows", F.lit(1), size),
-        F.slice("sorted_windows", F.lit(2), size),
-        lambda a, b: F.when(a["s"] == b["s"], F.array(a["p"], b["p"])).otherwise(F.array().cast("array<int>")),
-    )
-    docs = pinned(docs.drop("again"), starts=F.sort_array(F.array_distinct(F.flatten(pairs))))
-    m = F.greatest(F.size("starts") - 1, F.lit(0))
-    gaps = F.zip_with(F.slice("starts", F.lit(1), m), F.slice("starts", F.lit(2), m), lambda a, b: F.least(F.lit(WINDOW), b - a))
-    covered = F.aggregate(gaps, F.lit(0), lambda x, y: x + y) + F.when(F.size("starts") > 0, F.lit(WINDOW)).otherwise(F.lit(0))
-    return docs.withColumn("n_repeat_words", F.when(F.col("suspect"), covered).otherwise(F.lit(0)).cast("long")).drop("suspect", "sorted_windows", "starts")
+    n = F.greatest(F.size("words") - (WINDOW - 1), F.lit(0))
+    docs = pinned(docs, _h=F.transform("words", lambda w: F.xxhash64(w)))
+    hashes = F.transform("_h", lambda x, i: F.xxhash64(x, *[F.get("_h", i + k) for k in range(1, WINDOW)]))
+    docs = pinned(docs, _g=F.slice(hashes, F.lit(1), n)).drop("_h")
+    placed = F.sort_array(F.transform("_g", lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+    docs = pinned(docs, _s=F.when(F.size(F.array_distinct("_g")) < F.size("_g"), placed)).drop("_g")
+
+    def equal(x: Column, y: Column) -> Column:
+        same = x["h"] == y["h"]
+        for k in range(WINDOW):
+            same = same & (F.get("words", x["p"] + k) == F.get("words", y["p"] + k))
+        return F.coalesce(same, F.lit(False))
+
+    again = F.transform("_s", lambda x, i: F.when(equal(x, F.get("_s", i - 1)) | equal(x, F.get("_s", i + 1)), x["p"]))
+    docs = pinned(docs, _p=F.coalesce(F.sort_array(F.array_compact(again)), F.array().cast("array<int>"))).drop("_s")
+    gap = lambda x, i: F.least(F.lit(WINDOW), x - F.get("_p", i - 1))
+    covered = F.aggregate(F.transform("_p", lambda x, i: F.coalesce(gap(x, i), F.lit(WINDOW))), F.lit(0), lambda x, y: x + y)
+    return docs.withColumn("n_repeat_words", covered.cast("long")).drop("_p")
 
 
 def lines_of(text: Column) -> Column:
@@ -67,8 +60,7 @@ def document_rules(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed of every whole text."""
     text = F.col("text")
     docs = pinned(docs.select("doc_id", F.xxhash64(whole(F.col("text"))).alias("text_hash"), F.col("source").alias("host"), whole(F.col("text")).alias("text")), words=words(text))
-    bare = F.translate(text, SPACES, "")
-    full_lines = F.filter(lines_of(text), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    full_lines = F.filter(lines_of(text), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
     docs = pinned(docs, full_lines=full_lines)
     docs = docs.select(
         "doc_id",
@@ -76,8 +68,8 @@ def document_rules(docs: DataFrame) -> DataFrame:
         "host",
         "words",
         F.size("words").cast("long").alias("n_words"),
-        F.length(bare).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("word_chars"),
+        F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         (F.size("full_lines") - F.size(F.array_distinct("full_lines"))).cast("long").alias("n_dup_lines"),
     )
     docs = repeated_words(docs).drop("words")
