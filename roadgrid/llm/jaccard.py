@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadgrid.llm.graph import components
-from roadgrid.llm.store import cut, mapped, written
+from roadgrid.llm.store import NUMBER_ROWS, cut, mapped, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -275,9 +275,8 @@ def signature_edges(signed: DataFrame) -> DataFrame:
     """
     rows = signed.select(F.explode("sigs").alias("sig"), "key").distinct()
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    chained = cut(
-        rows.repartitionByRange(n, "sig", "key").sortWithinPartitions("sig", "key").mapInArrow(_chained, "sig long, a long, b long").distinct()
-    )
+    ranged = rows.repartitionByRange(n, "sig", "key").sortWithinPartitions("sig", "key")
+    chained = cut(mapped(ranged, _chained, "sig long, a long, b long", NUMBER_ROWS).distinct())
     ends = chained.where("a = b").select("sig", F.col("a").alias("key"))
     heads = ends.groupBy("sig").agg(F.min("key").alias("a"))
     return chained.where("a <> b").select("a", "b").union(ends.join(heads, "sig").where("a <> key").select("a", F.col("key").alias("b")))
