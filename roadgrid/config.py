@@ -14,6 +14,7 @@ LOW_RAM_GB = 0.5
 NAME_WIDTH = 40
 BAR_CELLS = 20
 
+# Statuses, their labels and the texts of errors.
 OK, STOLEN, UNIDENTIFIED, ERROR = "OK", "ROUBADO", "NAO_IDENTIFICADA", "ERRO"
 STATUSES = (OK, STOLEN, UNIDENTIFIED, ERROR)
 STATUS_LABELS = {OK: "OK", STOLEN: "ROUBADO", UNIDENTIFIED: "NÃO IDENTIFICADA", ERROR: "ERRO"}
@@ -35,6 +36,7 @@ WORD_BLACKLIST = (
     "THE", "AND", "FOR",
 )
 
+# Names and order of the columns of the result table and of the run log.
 RESULT_SCHEMA = T.StructType(
     [
         T.StructField("image", T.StringType()),

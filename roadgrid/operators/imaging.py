@@ -78,10 +78,17 @@ def upscale(image: np.ndarray, least: int = MIN_HEIGHT) -> np.ndarray:
 
 
 def equalise_tiles(image: np.ndarray, clip: float = CLIP, tiles: int = TILES) -> np.ndarray:
-    """Contrast-limited histogram equalisation by tiles, blended bilinearly. Approximate: edges are mirrored to whole tiles."""
+    """Contrast-limited histogram equalisation by tiles, blended bilinearly.
+
+    Where a side isn't a multiple of the tiles, both are extended, by mirroring
+    without the edge itself: each by what it lacks, or by a pixel a tile if it
+    lacks nothing. What a tile's histogram has above its limit goes to all
+    values alike, and the rest to values at even distances.
+    """
     h, w = image.shape
-    th, tw = -(-h // tiles), -(-w // tiles)
-    full = np.pad(image, ((0, th * tiles - h), (0, tw * tiles - w)), mode="symmetric")
+    more = (0, 0) if h % tiles == w % tiles == 0 else (tiles - h % tiles, tiles - w % tiles)
+    full = np.pad(image, ((0, more[0]), (0, more[1])), mode="reflect")
+    th, tw = full.shape[0] // tiles, full.shape[1] // tiles
     limit = max(1, int(clip * th * tw / 256))
     maps = np.empty((tiles, tiles, 256))
     for i in range(tiles):

@@ -58,6 +58,7 @@ def summary(metrics: Row, mode: str, requested: int, effective: int, warmup: flo
     """The run's summary as lines of text."""
     m = metrics.asDict()
     workers = str(effective) if requested == effective else f"{effective} (solicitado: {requested})"
+    # The labels of the summary.
     out = [
         ("Modo", mode.upper()),
         ("Workers", workers),
@@ -86,12 +87,13 @@ def summary(metrics: Row, mode: str, requested: int, effective: int, warmup: flo
     return "\n".join(lines)
 
 
-_STYLE = "body{font:14px sans-serif;margin:2em}.cards{display:flex;gap:1em}.cards div{border:1px solid #ccc;padding:1em}.stolen{background:#fdd}.ok{color:#080}td,th{padding:.3em .8em;text-align:left}dialog img{max-width:80vw}"
+_STYLE = "body{font:14px sans-serif;margin:2em}.cards{display:flex;gap:1em}.cards div{border:1px solid #ccc;padding:1em}.stolen{background:#fdd}.ok{color:#080}td,th{padding:.3em .8em;text-align:left}dialog img{max-width:38vw;margin:.5em}button.on{font-weight:bold}dt{float:left;width:9em;color:#666}"
 _SCRIPT = """
 const rows = JSON.parse(document.getElementById('rows').textContent), body = document.querySelector('tbody');
 const cell = (tr, text) => { const td = tr.insertCell(); td.textContent = text; return td; };
+let status = 'all';
 function show() {
-  const status = document.getElementById('status').value, q = document.getElementById('query').value.toLowerCase();
+  const q = document.getElementById('query').value.toLowerCase();
   body.replaceChildren();
   for (const r of rows) {
     if (status !== 'all' && r.status !== status) continue;
@@ -103,25 +105,44 @@ function show() {
   }
 }
 function detail(r) {
-  const d = document.querySelector('dialog');
-  d.querySelector('img').src = r.original_rel || r.crop_rel;
-  d.querySelector('p').textContent = [r.image, r.plate_text || '—', r.label, r.error].filter(x => x).join(' · ');
+  const d = document.querySelector('dialog'), list = d.querySelector('dl');
+  for (const img of d.querySelectorAll('img')) {
+    img.hidden = !r[img.dataset.of];
+    if (r[img.dataset.of]) img.src = r[img.dataset.of];
+  }
+  list.replaceChildren();
+  const fields = [['Arquivo', r.image], ['Placa', r.plate_text || '—'], ['Status', r.label], ['Confiança', r.confidence_percent + '%'], ['Detecção', r.yolo_time_s.toFixed(3) + 's'],
+    ['Leitura', r.ocr_time_s.toFixed(3) + 's'], ['Tempo', r.total_time_s.toFixed(3) + 's'], ['Worker', r.worker_id || '—'], ['Erro', r.error || '—']];
+  for (const [name, value] of fields) {
+    list.appendChild(document.createElement('dt')).textContent = name;
+    list.appendChild(document.createElement('dd')).textContent = value;
+  }
   d.showModal();
 }
-document.getElementById('status').onchange = document.getElementById('query').oninput = show;
+for (const b of document.querySelectorAll('button[data-status]')) b.onclick = () => {
+  status = b.dataset.status;
+  for (const x of document.querySelectorAll('button[data-status]')) x.classList.toggle('on', x === b);
+  show();
+};
+document.getElementById('query').oninput = show;
 show();
 """
 
 
 def html_pieces(rows: DataFrame, metrics: Row, mode: str, requested: int, effective: int, when: str) -> Iterator[str]:
     """The page of all rows by idx, in pieces to write one after the other; texts are escaped. rows come from report_rows()."""
-    columns = ["idx", "image", "plate_text", "status", "label", "label_class", "confidence_percent", "total_time_s", "worker_id", "crop_rel", "original_rel", "error"]
+    prepared = F.when(F.col("preprocessed_path") != "", F.concat(F.lit("preprocessed/"), X.basename(F.col("preprocessed_path")))).otherwise("")
+    rows = rows.withColumn("preprocessed_rel", prepared)
+    times, pictures = ["yolo_time_s", "ocr_time_s", "total_time_s"], ["original_rel", "crop_rel", "preprocessed_rel"]
+    columns = ["idx", "image", "plate_text", "status", "label", "label_class", "confidence_percent", *times, "worker_id", *pictures, "error"]
     m = metrics.asDict()
+    # The labels of the cards.
     cards = {
         "Tempo Total": f"{m['total_processing_time_s']:.2f}s", "Imagens / s": f"{m['throughput_img_per_s']:.2f}", "Imagens Processadas": m["total_images"],
         "Workers Efetivos": effective if requested == effective else f"{effective} (solicitado: {requested})", "Status OK": m["ok_count"], "Roubados Detectados": m["roubado_count"],
     }
-    options = "".join(f'<option value="{s}">{html.escape(C.STATUS_LABELS[s])}</option>' for s in C.STATUSES)
+    buttons = "".join(f'<button data-status="{s}">{html.escape(label)}</button> ' for s, label in (("all", "Todos"), *C.STATUS_LABELS.items()))
+    images = "".join(f'<img alt="" data-of="{p}">' for p in pictures)
     yield (
         f'<!DOCTYPE html><html lang="pt-BR"><meta charset="utf-8"><title>Relatório de placas</title><style>{_STYLE}</style>'
         f"<h1>Relatório de placas</h1><p>{html.escape(mode)} · {html.escape(when)}</p>"
@@ -134,9 +155,9 @@ def html_pieces(rows: DataFrame, metrics: Row, mode: str, requested: int, effect
             yield f"<li>{html.escape(r['plate_text'] or '')} · {html.escape(r['image'] or '')}</li>"
         yield "</ul></section>"
     yield (
-        f'<p><select id="status"><option value="all">Todos</option>{options}</select> <input id="query" placeholder="placa ou arquivo"></p>'
+        f'<p>{buttons}<input id="query" placeholder="placa ou arquivo"></p>'
         "<table><thead><tr><th>Arquivo<th>Placa<th>Status<th>Confiança<th>Tempo<th>Worker</tr></thead><tbody></tbody></table>"
-        '<dialog><img alt=""><p></p><form method="dialog"><button>Fechar</button></form></dialog>'
+        f'<dialog>{images}<dl></dl><form method="dialog"><button>Fechar</button></form></dialog>'
         '<script type="application/json" id="rows">['
     )
     for k, r in enumerate(rows.orderBy("idx").select(X.json_row(*columns).alias("j")).toLocalIterator()):

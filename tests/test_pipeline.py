@@ -134,6 +134,48 @@ def test_kernels():
     assert imaging.otsu(np.array([[10] * 5 + [200] * 5], np.uint8)) == 10
 
 
+def brute_equalised(image, clip=2.0, tiles=4):
+    """Pixel by pixel."""
+    h, w = image.shape
+    if h % tiles or w % tiles:
+        back = lambda k, n: k if k < n else 2 * (n - 1) - k
+        image = np.array([[image[back(y, h), back(x, w)] for x in range(w + tiles - w % tiles)] for y in range(h + tiles - h % tiles)], np.uint8)
+    th, tw = image.shape[0] // tiles, image.shape[1] // tiles
+    tables = {}
+    for i in range(tiles):
+        for j in range(tiles):
+            bins = [0] * 256
+            for v in image[i * th : (i + 1) * th, j * tw : (j + 1) * tw].ravel():
+                bins[v] += 1
+            limit = max(int(clip * th * tw / 256), 1)
+            over = sum(max(0, b - limit) for b in bins)
+            bins = [min(b, limit) + over // 256 for b in bins]
+            left = over % 256
+            for k in range(0, 256, max(1, 256 // left)) if left else ():
+                if left:
+                    bins[k], left = bins[k] + 1, left - 1
+            total, table = 0, []
+            for b in bins:
+                total += b
+                table.append(min(255, round(total * (255 / (th * tw)))))
+            tables[i, j] = table
+    out = np.empty((h, w))
+    for y in range(h):
+        for x in range(w):
+            fy, fx = y / th - 0.5, x / tw - 0.5
+            y0, x0 = int(np.floor(fy)), int(np.floor(fx))
+            at = lambda i, j: tables[min(max(i, 0), tiles - 1), min(max(j, 0), tiles - 1)][image[y, x]]  # noqa: B023,E731
+            out[y, x] = (at(y0, x0) * (1 - fx + x0) + at(y0, x0 + 1) * (fx - x0)) * (1 - fy + y0) + (at(y0 + 1, x0) * (1 - fx + x0) + at(y0 + 1, x0 + 1) * (fx - x0)) * (fy - y0)
+    return out
+
+
+@pytest.mark.parametrize("size", [(20, 40), (21, 40), (23, 37)])
+def test_equalisation_by_its_definition(size):
+    rng = np.random.default_rng(3)
+    image = (rng.integers(0, 60, size) + np.arange(size[1]) * 3).clip(0, 255).astype(np.uint8)
+    assert np.abs(imaging.equalise_tiles(image) - brute_equalised(image)).max() <= 0.5 + 1e-6
+
+
 def test_stream(spark, folder, tmp_path):
     rows = streams.stream(spark, folder).select("image")
     q = rows.writeStream.format("memory").queryName("files").option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start()
