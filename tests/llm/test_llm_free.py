@@ -411,6 +411,70 @@ def test_classifier_gradient_fits():
     assert tails[0, 0] < 0.5 < tails[1, 0] and tails[1, 1] < 0.5 < tails[2, 1]
 
 
+def likelihood(weights, theta, grades, row, codes, values, penalty):
+    """The penalised mean negative log likelihood, text by text."""
+    latent = [0.0] * len(grades)
+    for r, c, v in zip(row, codes, values):
+        latent[r] += weights[c] * v
+    p = lambda x: 1 / (1 + np.exp(-x))
+    total = 0.0
+    for x, g in zip(latent, grades):
+        reach = [1.0, *(p(x - t) for t in theta), 0.0]
+        total -= np.log(reach[g] - reach[g + 1])
+    return total / len(grades) - penalty * sum(weights.values())
+
+
+def test_classifier_fit_is_the_optimum():
+    """No weight and no threshold can be moved to a better likelihood, weights staying at most 0."""
+    rng = np.random.default_rng(5)
+    n, penalty = 150, 3e-3
+    grades = rng.integers(0, 3, n)
+    row, codes, values = [], [], []
+    for k, g in enumerate(grades):
+        for c in range(6):
+            if rng.random() < (0.7 if c % 3 == g else 0.3):
+                row.append(k), codes.append(c), values.append(float(rng.choice([0.5, 1.0, 2.0])))
+    model = classifier.fit_arrays(grades, np.array(row), np.array(codes), np.array(values), steps=6000, rate=0.01, penalty=penalty)
+    weights = {c: model.weights.get(c, 0.0) for c in range(6)}
+    best = likelihood(weights, model.thresholds, grades, row, codes, values, penalty)
+    for c in weights:
+        for d in (-0.02, 0.02):
+            if weights[c] + d <= 0:
+                assert likelihood(weights | {c: weights[c] + d}, model.thresholds, grades, row, codes, values, penalty) >= best - 1e-6
+    for k in range(2):
+        for d in (-0.02, 0.02):
+            theta = model.thresholds + d * (np.arange(2) == k)
+            assert likelihood(weights, theta, grades, row, codes, values, penalty) >= best - 1e-6
+    assert any(w < 0 for w in weights.values()) and any(w == 0 for w in weights.values())
+
+
+def brute_tail(text, model):
+    """P(good) of a text, feature by feature."""
+    text = text or ""
+    words = text.split()
+    code = lambda x: zlib.crc32(x.encode("utf-8", "surrogatepass"))
+    latent = 0.0
+    for w in {x for x in re.findall(r"[^\W\d_]+", text.lower())}:
+        latent += sum(model.weights.get(code(f), 0.0) for f in (w, f"4{w[:4]}", f"5{w[:5]}"))
+    if words:
+        n = len(words) / classifier.SHARE_SCALE
+        for tail, k in Counter(re.findall(r"([^\w\s]{1,2})(?=\s|$)", text)).items():
+            latent += model.weights.get(code(f"t{tail}"), 0.0) * k / n
+        latent += model.weights.get(code("capitals"), 0.0) * sum(w.isupper() for w in words) / n
+        latent += model.weights.get(code("again"), 0.0) * sum(a == b for a, b in zip(words, words[1:])) / n
+    return 1 / (1 + np.exp(-(latent - model.thresholds[1])))
+
+
+def test_classifier_scores_text_by_text(spark, small):
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    model = classifier.fit(docs, labels)
+    texts = dict(map(tuple, docs.select("doc_id", "text").collect()))
+    for r in classifier.score(docs, model).collect():
+        want = brute_tail(texts[r["doc_id"]], model)
+        assert r["tail"] == pytest.approx(want, abs=1e-9) and (r["kept"] == (want >= 0.5) or abs(want - 0.5) < 1e-9)
+    assert model.weights
+
+
 def test_classifier_edges(spark):
     labels = spark.createDataFrame([(1, 1, 0), (4, 0, 0), (4, 1, 1), (None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
     model = classifier.fit(edge(spark), labels)
@@ -426,6 +490,32 @@ def test_classifier_edges(spark):
 # --- pipeline --------------------------------------------------------------------------------
 
 
+def holds(text, item):
+    """Whether some window as long as the item shares 80 % of their 5-word shingles, counted."""
+    grams = lambda t: [tuple(w[k : k + 5]) for w in [re.findall(r"\w+", (t or "").lower())] for k in range(len(w) - 4)]
+    g, c = grams(text), Counter(grams(item))
+    n = sum(c.values())
+    if not n or not set(g) & set(c):
+        return False
+    windows = (Counter(g[s : s + n]) for s in range(max(1, len(g) - n + 1)))
+    return any(sum((own & c).values()) >= 0.8 * sum((own | c).values()) for own in windows)
+
+
+def test_pipeline_on_edge_rows(spark, tmp_path):
+    """Nulls, repeats, clashing columns and empty tables go through all stages."""
+    for name, docs in (("edge", edge(spark)), ("empty", edge(spark).limit(0))):
+        folder = str(tmp_path / name)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, None), (2, "one two three four five six")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        kept = docs
+        for stage, step in corpus_pipeline.STAGES[:-1]:
+            kept = spark.createDataFrame(step(spark, kept, folder).collect(), docs.schema)
+            assert kept.columns == docs.columns, stage
+        assert corpus_pipeline.STAGES[-1][1](spark, kept, folder).count() == kept.count()
+        assert (kept.count() > 0) == (name == "edge")
+
+
 def test_pipeline_stages(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     columns = docs.columns
@@ -436,6 +526,12 @@ def test_pipeline_stages(spark, small):
         if name != "token_ids":
             assert out.columns == columns
             before, docs = docs, spark.createDataFrame(out.collect(), docs.schema)
+        if name == "quality_classifier":
+            model = classifier.fit(before, spark.read.parquet(f"{small}/labels.parquet"))
+            assert {r["doc_id"] for r in docs.select("doc_id").collect()} == {r["doc_id"] for r in before.collect() if brute_tail(r["text"], model) >= 0.5}
+        if name == "decontamination":
+            items = [r["text"] for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+            assert {r["doc_id"] for r in docs.select("doc_id").collect()} == {r["doc_id"] for r in before.collect() if not any(holds(r["text"], x) for x in items)}
         if name == "ngram_jaccard":
             classes = brute_classes([(r["doc_id"], r["text"]) for r in before.select("doc_id", "text").collect()])
             assert {r["doc_id"] for r in docs.select("doc_id").collect()} == {d for d, (_, c) in classes.items() if c == d}
