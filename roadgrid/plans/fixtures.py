@@ -66,6 +66,26 @@ def boxes(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def model_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows as both models return them: every fifth image without a box, every eleventh reading failed."""
+    number, seen = F.col("id"), F.col("id") % 5 != 0
+    image = F.concat(F.lit("img_"), number.cast("string"), F.lit(".jpg"))
+    return readings(spark, d).select(
+        F.concat(F.lit("in/"), image).alias("path"),
+        image.alias("image"),
+        seen.alias("plate_detected"),
+        (number / 8).alias("yolo_time_s"),
+        (number % 4).cast("long").alias("worker_id"),
+        F.lit("").alias("error"),
+        F.when(seen, F.col("raw")).alias("plate"),
+        F.when(seen, F.array(number % 10 / 8)).alias("char_probs"),
+        (seen & (number % 11 == 0)).alias("failed"),
+        F.when(seen, F.lit(b"\0")).alias("crop"),
+        F.lit(None).cast("binary").alias("preprocessed"),
+        F.when(seen, number / 16).alias("ocr_time_s"),
+    )
+
+
 def images(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("image"))
 

@@ -75,6 +75,10 @@ ORACLE_SQL = {
         _TOKENS + ", probs AS (SELECT vec_id AS id, list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE) * 2)) / len(embedding) AS m FROM embeddings), keyed AS (SELECT t, coalesce(m, 1) AS m FROM normal LEFT JOIN probs ON id = doc_id % (SELECT max(vec_id) + 1 FROM embeddings))",
         f"SELECT reason, count(*) AS n, count(DISTINCT CASE WHEN reason = 'kept' THEN t ELSE '' END) AS texts FROM (SELECT t, CASE WHEN t = '' THEN 'empty' WHEN length(t) < 4 THEN 'length' WHEN m < 0.2::DOUBLE THEN 'confidence' WHEN t IN ({_BLACK}) THEN 'blacklist' ELSE 'kept' END AS reason FROM keyed) GROUP BY reason",
     ),
+    "plate_pipeline": _with(
+        _LIST + f", seen AS (SELECT *, id % 5 <> 0 AS det, id % 10 / 8.0::DOUBLE AS sure FROM matched), judged AS (SELECT *, det AND id % 11 <> 0 AND length(plate_text) >= 4 AND sure >= 0.2::DOUBLE AND plate_text NOT IN ({_BLACK}) AS good FROM seen)",
+        "SELECT 'img_' || id || '.jpg' AS image, det AS plate_detected, CASE WHEN good THEN plate_text ELSE '' END AS plate_text, CASE WHEN good THEN status ELSE 'NAO_IDENTIFICADA' END AS status, id / 8.0::DOUBLE AS yolo_time_s, CASE WHEN det THEN id / 16.0::DOUBLE ELSE 0.0::DOUBLE END AS ocr_time_s, id / 8.0::DOUBLE + CASE WHEN det THEN id / 16.0::DOUBLE ELSE 0.0::DOUBLE END AS total_time_s, CASE WHEN good THEN sure ELSE 0.0::DOUBLE END AS ocr_confidence, (id % 4)::BIGINT AS worker_id, CASE WHEN det THEN 'crops/img_' || id || '_' || md5('in/img_' || id || '.jpg') || '_crop.png' ELSE '' END AS crop_path, '' AS preprocessed_path, '' AS error FROM judged",
+    ),
     "blacklist_hits": _with(_TOKENS, f"SELECT t AS word, count(*) AS n, CASE WHEN length(t) < 4 THEN 'length' ELSE 'blacklist' END AS reason FROM normal WHERE t IN ({_BLACK}) GROUP BY t"),
     "box_clamp": _with(_BOXES, f"SELECT {_BOX} FROM clamped"),
     "box_valid": _with(_BOXES, "SELECT image, pos FROM valid"),

@@ -11,6 +11,7 @@ from roadgrid.functions import scaling as S
 from roadgrid.functions import text as X
 from roadgrid.operators import detect, imaging, match, metrics, recognise
 from roadgrid.plans import fixtures as X_
+from roadgrid.plans import pipeline as pipe
 from roadgrid.plans import report
 from roadgrid.sources.results import with_defaults
 
@@ -76,6 +77,12 @@ def ocr_cascade(spark, d):
     return read.groupBy(F.coalesce("r.reason", F.lit("kept")).alias("reason")).agg(F.sum("k").alias("n"), F.count_distinct("r.text").alias("texts"))
 
 
+@query
+def plate_pipeline(spark, d):
+    """Everything after the models: reading, cascade, watchlist and result columns of every image, whole rows throughout."""
+    return pipe.results(pipe.finished(X_.model_rows(spark, d), X_.watchlist(spark, d)))
+
+
 @query
 def blacklist_hits(spark, d):
     text = X.normalise_reading(F.col("token"))
