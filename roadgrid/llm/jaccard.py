@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from roadgrid.llm.graph import components
 from roadgrid.llm.store import NUMBER_ROWS, cut, mapped, written
+from roadgrid.llm.text import fits
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -28,8 +29,8 @@ SHINGLE = 3
 PERCENT = 90
 #: Shingles of the sets that one task compares; larger candidate groups are compared in pairs of blocks.
 BLOCK_SHINGLES = 1_500_000
-#: Candidate documents whose ids are broadcast to the texts; more of them are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Candidate documents whose ids (rows of some 64 bytes) are broadcast to the texts; more of them are joined by shuffle.
+BROADCAST_IDS = 500_000
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 18
 #: Bytes up to which a word's hash is a polynomial modulo 2 ** 64. Such polynomials of long strings can be equal by
@@ -267,13 +268,18 @@ def _compared(group: pa.Table, size: int = SHINGLE, percent: int = PERCENT) -> p
     return pa.table({"a": pa.array(keys, pa.int64()), "b": pa.array(keys[root] if len(keys) else keys, pa.int64())})
 
 
-def signature_edges(signed: DataFrame) -> DataFrame:
+def signature_edges(signed: DataFrame, by_key: DataFrame) -> DataFrame:
     """a, b: keys that share a signature, chained in order.
 
-    Ranges of (sig, key) split a frequent signature over tasks; the ends of the
-    ranges, two rows each, are chained in a second step.
+    Only the signatures of a set's first document are dealt out, so copies
+    neither meet nor have to be made distinct. Ranges of (sig, key) split a
+    frequent signature over tasks; the ends of the ranges, two rows each, are
+    chained in a second step.
     """
-    rows = signed.select(F.explode("sigs").alias("sig"), "key").distinct()
+    first = by_key.select(F.col("key").alias("_key"), "rep")
+    first = F.broadcast(first) if fits(first, 32) else first
+    one = signed.join(first, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    rows = one.select(F.explode("sigs").alias("sig"), "key")
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = rows.repartitionByRange(n, "sig", "key").sortWithinPartitions("sig", "key")
     chained = cut(mapped(ranged, _chained, "sig long, a long, b long", NUMBER_ROWS).distinct())
@@ -365,7 +371,7 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Dat
     signed = written(mapped(docs, lambda batches: _signed(batches, size, percent), "doc_id long, n_shingles long, key long, check long, sigs array<long>"), "jaccard-signed")
     signed, by_key = by_set(signed)
     sets = signed.where("n_shingles > 0")
-    candidates = components(signature_edges(sets)).withColumnRenamed("node", "key")
+    candidates = components(signature_edges(sets, by_key)).withColumnRenamed("node", "key")
     candidates = candidates.join(by_key, "key").select("root", "key", F.col("rep").alias("_id"), "n_shingles")
     links = group_links(docs, cut(candidates.join(_blocks(candidates, "blocks"), "root")), size, percent)
     parts = components(links)
