@@ -19,7 +19,7 @@ _LIST = """raw AS (
 ), matched AS (
   SELECT *, CASE WHEN plate_text = '' THEN 'NAO_IDENTIFICADA' WHEN plate_text IN (SELECT plate FROM listed) THEN 'ROUBADO' ELSE 'OK' END AS status FROM readings
 ), new AS (
-  SELECT DISTINCT replace(replace(upper(raw), ' ', ''), '-', '') AS plate FROM readings WHERE id % 50 = 0
+  SELECT DISTINCT replace(replace(upper(raw), ' ', ''), '-', '') AS plate FROM readings
 )"""
 _BOXES = """boxes AS (
   SELECT l_orderkey AS image, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)::INT AS pos, l_discount AS conf,
