@@ -187,7 +187,7 @@ def run_log_append(spark, d):
 
 
 def _new(spark, d) -> DataFrame:
-    """Plates that the list gets or loses: every 50th reading, hand-typed."""
+    """Plates that the list gets or loses: every reading, hand-typed."""
     return match.watchlist(X_.readings(spark, d).select(F.lower("raw").alias("value")))
 
 
