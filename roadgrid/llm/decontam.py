@@ -106,7 +106,7 @@ def candidates(windows: DataFrame, items: DataFrame, radius: int = RADIUS) -> Da
     """
     index = cut(items.select(F.col("n").alias("_n"), F.col("fp").alias("item_fp"), "item_id", F.explode(blocks("fp", radius)).alias("_b")))
     looked = windows.select("doc_id", "text_hash", "n", "fp", F.explode(blocks("fp", radius)).alias("b"))
-    met = spread(looked, index, [("n", "_n"), ("b", "_b")], 64)
+    met = spread(looked, index, [("n", "_n"), ("b", "_b")])
     return met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("doc_id", "text_hash", "item_id").distinct()
 
 
@@ -130,7 +130,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     hashed = lambda df: pinned(pinned(df, w=normal_words(F.col("text"))).drop("text"), grams=shingles("w")).drop("w")
     known = cut(items.select("n", F.explode("grams").alias("_g")).distinct())
     grams = hashed(rows.select("doc_id", text_hash, "text")).select("doc_id", "text_hash", F.posexplode("grams").alias("place", "gram"))
-    hits = spread(grams, known, [("gram", "_g")], 32)
+    hits = spread(grams, known, [("gram", "_g")])
     places = hits.groupBy("doc_id", "text_hash", "n").agg(F.sort_array(F.collect_set("place")).alias("places"))
     places = places.where(F.size("places") >= least_shared(F.col("n"), similarity))
     places = cut(places.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), "n", "places"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from roadgrid.llm.graph import components
 from roadgrid.llm.store import NUMBER_ROWS, cut, mapped, written
-from roadgrid.llm.text import fits
+from roadgrid.llm.text import fits, spread
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -277,7 +277,7 @@ def signature_edges(signed: DataFrame, by_key: DataFrame) -> DataFrame:
     chained in a second step.
     """
     first = by_key.select(F.col("key").alias("_key"), "rep")
-    first = F.broadcast(first) if fits(first, 32) else first
+    first = F.broadcast(first) if fits(first) else first
     one = signed.join(first, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
     rows = one.select(F.explode("sigs").alias("sig"), "key")
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -378,9 +378,11 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Dat
     joined = parts.join(by_key.select(F.col("key").alias("node"), "rep"), "node")
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = joined.join(least, "root").select(F.col("node").alias("key"), "component_id")
-    named = by_key.select("key", "rep").join(named, "key", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
+    named = by_key.select("key", "rep").join(named, "key", "left").select(F.col("key").alias("_key"), F.coalesce("component_id", "rep").alias("component_id"))
     alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return sets.select("doc_id", "n_shingles", "key").join(named, "key").select("doc_id", "n_shingles", "component_id").union(alone)
+    # Copies share a key: their rows are dealt out, or meet the keys' table in place.
+    out = spread(sets.select("doc_id", "n_shingles", "key"), cut(named), [("key", "_key")])
+    return out.select("doc_id", "n_shingles", "component_id").union(alone)
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

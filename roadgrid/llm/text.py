@@ -34,18 +34,18 @@ def pinned(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(one)).alias("_pin")).select(*[F.col(f"`{k}`") for k in keep], *[F.col(f"_pin.{k}").alias(k) for k in columns])
 
 
-#: Bytes that a table may have to be broadcast, as counted rows times the row's size.
-BROADCAST_BYTES = 32 << 20
+#: Bytes that a table may have to be broadcast, as counted rows times a row's size; a row of two numbers has some 115 as broadcast.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 128
 #: Tasks over which the rows of one key are dealt, where the other side is too large to broadcast.
 SALTS = 32
 
 
-def fits(df: DataFrame, row_bytes: int = 64) -> bool:
+def fits(df: DataFrame, row_bytes: int = ROW_BYTES) -> bool:
     """Whether df's rows, of about so many bytes, may be broadcast. df is counted: give it written."""
     return df.count() * row_bytes <= BROADCAST_BYTES
 
 
-def spread(large: DataFrame, small: DataFrame, keys: list, row_bytes: int = 64) -> DataFrame:
+def spread(large: DataFrame, small: DataFrame, keys: list, row_bytes: int = ROW_BYTES) -> DataFrame:
     """large joined with small on keys (a column of either side each), nulls being equal: no key's rows of large meet in one task.
 
     A small that fits is broadcast. Any other is repeated for each of SALTS

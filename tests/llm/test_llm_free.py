@@ -179,6 +179,16 @@ def test_jaccard_sets_that_share_a_key(spark, monkeypatch):
     assert got == brute_classes(rows)
 
 
+def test_jaccard_copies_without_broadcast(spark, monkeypatch):
+    from roadgrid.llm import text
+
+    monkeypatch.setattr(text, "BROADCAST_BYTES", 0)
+    rows = near_copies(random.Random(51), 60)
+    rows += [(1000 + k, rows[5][1]) for k in range(80)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
+
+
 def test_jaccard_edges(spark):
     rows = jaccard.classes(edge(spark)).collect()
     assert len(rows) == len(EDGE)
