@@ -27,8 +27,8 @@ PERCENTILE = 95.0
 MAGIC = b"RGTI"
 #: Ids a file holds at most, but for its last document.
 FILE_IDS = 1 << 20
-#: Bytes of words whose ids a task remembers.
-CACHE_BYTES = 40 << 20
+#: Bytes of words whose ids a Python worker remembers, from task to task.
+CACHE_BYTES = 48 << 20
 #: Characters that are tokenized at once.
 PIECE_CHARS = 1 << 19
 
@@ -254,13 +254,13 @@ def _loaded(path: str) -> tuple:
 
 
 def encoder(path: str):
-    """What encodes lists of texts by a vocabulary file, which a worker reads once; the words it learns last a task."""
+    """What encodes lists of texts by a vocabulary file. A worker has one, with the words that it has learnt."""
     loaded = kept("vocabularies")
     if path not in loaded:
         loaded.clear()
-        loaded[path] = _loaded(path)
-    own, closes = loaded[path]
-    return WholeTexts(own) if closes is None else Encoder(own, closes)
+        own, closes = _loaded(path)
+        loaded[path] = WholeTexts(own) if closes is None else Encoder(own, closes)
+    return loaded[path]
 
 
 def vocabulary_path(vocabulary: str) -> str:
