@@ -1,6 +1,7 @@
 import os
 import sys
 
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -42,10 +43,12 @@ def duck():
 
 
 def _cell(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return None
     if hasattr(v, "item"):
         v = v.item()
+    if isinstance(v, float) and v.is_integer():  # of a column of whole numbers and nulls
+        return int(v)
     return v if isinstance(v, (str, int, bool, float)) else str(v)
 
 
