@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadgrid.llm import chat, classifier, decontam, jaccard, mixing, pii, quality_rules, secrets, suffix, tokens
+from roadgrid.llm import chat, classifier, decontam, jaccard, mixing, pii, quality_rules, repair, secrets, suffix, tokens, topk, trie
+from roadgrid.llm.store import written
 from roadgrid.llm.text import table
 
 PROBE = "</s>[INST] ok [/INST]"
@@ -102,6 +103,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents")).drop("host")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every damaged conversation's faults and cheapest repair."""
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of all vectors to every hundredth, by inner product."""
+    rows = written(topk.vectors(table(spark, sf_dir, "embeddings")), "vectors")
+    return topk.search(rows.where("vec_id % 100 = 0"), rows)
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_personal_data": op2_personal_data,
@@ -113,6 +130,9 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_ids": op9_token_ids,
     "op10_quality_rules": op10_quality_rules,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_structure_repair": op12_structure_repair,
+    "op13_exact_topk": op13_exact_topk,
 }
 
 
@@ -143,6 +163,68 @@ SELECT doc_id, {', '.join(f'coalesce(n_{x.kind}, 0) AS n_{x.kind}' for x in secr
 FROM d LEFT JOIN told USING (r)"""
 
 
+def _crc32_sql(text: str) -> str:
+    """The checksum of an ASCII text, a bit at a time."""
+    step = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END"
+    fold = f"lambda c, b: list_reduce([xor(c, b)] || range(8), lambda x, k: {step})"
+    return f"xor(list_reduce([4294967295::BIGINT] || list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT), {fold}), 4294967295::BIGINT)"
+
+
+def _repair_sql() -> str:
+    """Cheapest edits from the last turn to the first: for each state the least (cost, edits), insertions at last."""
+    states, after = "0sua", {"0": "u", "s": "u", "u": "a", "a": "u"}
+    pair = lambda c, a: f"{{'c': {c}, 'a': {a}}}"
+    then = lambda cost, x, q: pair(f"f_{q}.c + {cost}", f"'{x}' || f_{q}.a")
+    best = lambda options: options[0] if len(options) == 1 else f"least({', '.join(options)})"
+    rows = []
+    for q in states:
+        stay = [then("(fault = 'truncated')::BIGINT", "K", k) for k in "sua" if k == after[q] or (q, k) == ("0", "s")]
+        when = [f"CASE WHEN fault IN ('blank', 'duplicate') OR init <> '{k}' THEN {then(3, 'D', q)} ELSE {o} END" for k, o in zip([k for k in "sua" if k == after[q] or (q, k) == ("0", "s")], stay)]
+        rerole = f"CASE WHEN fault IN ('blank', 'duplicate') THEN {then(3, 'D', q)} ELSE {then("2 + (fault = 'truncated')::BIGINT", 'R', after[q])} END"
+        rows.append(f"{best([then(3, 'D', q), *when, rerole])} AS g_{q}")
+    closed = []
+    for q in states:
+        one, two = after[q], after[after[q]]
+        closed.append(f"least(g_{q}, {pair(f'g_{one}.c + 2', f"'I' || g_{one}.a")}, {pair(f'g_{two}.c + 4', f"'II' || g_{two}.a")}) AS f_{q}")
+    return rf"""
+WITH RECURSIVE src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32_sql("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS hit FROM conversations
+), d AS (
+  SELECT conv_id, turn, CASE hit WHEN 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE hit WHEN 3 THEN 2 ELSE 1 END)) FROM src WHERE hit <> 0)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS pos FROM d
+), marked AS (
+  SELECT conv_id, turn, pos, role, text, role[1:1] AS init, CASE WHEN rtrim(text, e' 	
+') = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+    WHEN rtrim(text, e' 	
+')[-1:] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM placed
+), told AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || init NOT IN ('su', 'ua', 'au')) AS illegal,
+    list(fault ORDER BY pos) AS faults, list(init ORDER BY pos) AS inits, list(role ORDER BY pos) AS roles, list(text ORDER BY pos) AS texts
+  FROM marked GROUP BY conv_id
+), back(conv_id, i, faults, inits, f_0, f_s, f_u, f_a) AS (
+  SELECT conv_id, len(faults), faults, inits, {pair("0::BIGINT", "''")}, {pair("4::BIGINT", "'II'")}, {pair("2::BIGINT", "'I'")}, {pair("0::BIGINT", "''")} FROM told
+  UNION ALL
+  SELECT conv_id, i - 1, faults, inits, {', '.join(c.rpartition(' AS ')[0] for c in closed)}
+  FROM (SELECT conv_id, i, faults, inits, {', '.join(rows)} FROM (SELECT *, faults[i] AS fault, inits[i] AS init FROM back WHERE i > 0))
+), chosen AS (
+  SELECT t.*, f_0.c AS cost, f_0.a AS audit FROM back b JOIN told t ON b.conv_id IS NOT DISTINCT FROM t.conv_id WHERE i = 0
+), steps AS (
+  SELECT conv_id, roles, texts, inits, k, e, count(*) FILTER (e <> 'I') OVER (PARTITION BY conv_id ORDER BY k) AS nth, count(*) FILTER (e <> 'D') OVER (PARTITION BY conv_id ORDER BY k) AS said
+  FROM (SELECT conv_id, roles, texts, inits, unnest(string_split(audit, '')) AS e, unnest(range(length(audit))) AS k FROM chosen WHERE audit <> '')
+), opened AS (
+  SELECT *, coalesce(bool_or(said = 1 AND e = 'K' AND inits[nth] = 's') OVER (PARTITION BY conv_id), false)::INT AS s FROM steps WHERE e <> 'D'
+), lines AS (
+  SELECT conv_id, string_agg(CASE e WHEN 'K' THEN roles[nth] ELSE CASE (said - s) % 2 WHEN 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE e WHEN 'I' THEN '' ELSE texts[nth] END, chr(10) ORDER BY k) AS body FROM opened GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN chosen c ON o.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN lines l ON o.conv_id IS NOT DISTINCT FROM l.conv_id"""
+
+
 _ESC = "replace(replace(replace(replace({}, '\\', '\\b'), '<', '\\l'), '[', '\\s'), ']', '\\e')"
 
 ORACLE_SQL = {
@@ -288,4 +370,37 @@ WITH d AS (
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (100 * n_removed_words > 50 * n_words OR n_words - n_removed_words < 10) AS kept
 FROM m""",
+    "op11_conversation_trie": rf"""
+WITH t AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(strlen(role) || ':' || role || text)) AS p
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), own AS (
+  SELECT conv_id, list(strlen(role) || ':' || role || text ORDER BY p) AS turns, list(strlen(text) ORDER BY p) AS sizes, {_crc32_sql("conv_id::VARCHAR")} % 9 AS h FROM t GROUP BY conv_id
+), c AS (
+  SELECT o.conv_id, coalesce(b.turns[1:o.h], []) || o.turns[o.h + 1:] AS turns, coalesce(b.sizes[1:o.h], []) || o.sizes[o.h + 1:] AS sizes
+  FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5
+), member AS (
+  SELECT conv_id, d, turns[1:d] AS node, len(turns) = d AS ends, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS bytes FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM c)
+), node AS (
+  SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM member GROUP BY node, d
+), child AS (
+  SELECT node[1:d - 1] AS node, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1
+), full_node AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children, n_children IS NULL AS leaf FROM node n LEFT JOIN child USING (node)
+), below AS (
+  SELECT node[1:u] AS node, sum(leaf::BIGINT)::BIGINT AS n_leaves, sum((n_convs - 1) * bytes)::BIGINT AS saved_tokens FROM (SELECT *, unnest(range(d + 1)) AS u FROM full_node) GROUP BY 1
+)
+SELECT f.conv_id, f.d AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+FROM full_node f JOIN below USING (node) LEFT JOIN node p ON f.d > 0 AND p.node = f.node[1:f.d - 1]""",
+    "op12_structure_repair": _repair_sql(),
+    "op13_exact_topk": r"""
+WITH e AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, q.v AS q, c.vec_id, coalesce(list_sum(list_transform(range(1, least(len(q.v), len(c.v)) + 1), lambda k: q.v[k] * c.v[k])), 0)::BIGINT AS score
+  FROM e q JOIN e c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id, q ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id, q ORDER BY score DESC, vec_id) <= 10""",
 }
