@@ -102,6 +102,14 @@ ORACLE_SQL = {
     "watchlist_list": _with(_LIST, "SELECT plate FROM listed ORDER BY plate"),
     "watchlist_raw_list": _with(_LIST, "SELECT DISTINCT upper(trim(value)) AS plate FROM raw WHERE trim(value) <> ''"),
     "detected_plates": _with(_LIST, "SELECT DISTINCT plate_text AS plate FROM matched WHERE status IN ('OK', 'ROUBADO')"),
+    "results_csv": _with(
+        _LIST,
+        "SELECT CASE WHEN id % 4 = 0 THEN 'YOLO: \"' || image || '\",' || chr(10) || '  line 2, ' || plate_text ELSE '' END AS error, status, image, plate_text, id / 8.0::DOUBLE AS ocr_confidence, id % 3 AS worker_id, id % 2 = 0 AS plate_detected FROM matched",
+    ),
+    "results_csv_plates": _with(
+        _LIST,
+        "SELECT DISTINCT plate_text AS plate, 0::BIGINT AS n FROM matched WHERE status IN ('OK', 'ROUBADO') AND id % 5 <> 0 UNION ALL SELECT 'ocr_confidence', count(*) FROM matched WHERE id % 5 = 0 HAVING count(*) > 0",
+    ),
     "demo_sample": _with(_LIST, "SELECT plate FROM listed UNION (SELECT plate_text FROM (SELECT DISTINCT plate_text FROM matched WHERE status IN ('OK', 'ROUBADO')) ORDER BY md5(plate_text || 'demo'), plate_text LIMIT 5)"),
     "no_plate_preview": _with(_BOXES + ", missing AS (SELECT 'img_' || lpad(o_orderkey::VARCHAR, 12, '0') AS name FROM orders WHERE o_orderkey NOT IN (SELECT image FROM best))", "SELECT name, greatest(0, (SELECT count(*) FROM missing) - 6)::BIGINT AS more FROM (SELECT name FROM missing ORDER BY name LIMIT 6)"),
     "report_search": _with(_LIST, "SELECT id, plate_text FROM matched WHERE status = 'OK' AND (contains(lower(plate_text), 'brand1') OR contains(lower(image), 'brand1'))"),
@@ -115,17 +123,19 @@ ORACLE_SQL = {
     ),
     "short_name": _with(_PATHS + ", named AS (SELECT page_id, 'img_' || repeat(image, page_id % 9) AS n FROM paths)", "SELECT page_id, CASE WHEN length(n) <= 40 THEN rpad(n, 40, ' ') ELSE n[1:37] || '...' END AS name FROM named"),
     "timestamp_formats": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS log, strftime(ts, '%d/%m/%Y às %H:%M:%S') AS report FROM events",
-    "amdahl_curve": "SELECT p, round(1 / (0.68::DOUBLE + 0.32::DOUBLE / p), 9) AS speedup, round(1 / 0.68::DOUBLE, 9) AS most FROM (SELECT unnest([1, 2, 4, 8, 12]) AS p)",
+    "amdahl_curve": "WITH f AS (SELECT event_type, sum(value) / (SELECT sum(value) FROM events) AS f FROM events GROUP BY event_type)\nSELECT event_type, p, round(1 / (f + (1 - f) / p), 6) AS speedup, round(1 / f, 6) AS most FROM f, (SELECT unnest([1, 2, 4, 8, 12]) AS p)",
     "speedup_table": "WITH e AS (SELECT event_id % 4 AS k, sum(value) AS s FROM events GROUP BY k), r AS (SELECT pow(2, k)::INT AS threads, s / pow(1.6::DOUBLE, k) AS seconds FROM e), g AS (SELECT *, first_value(seconds) OVER (ORDER BY threads) / seconds AS speedup FROM r)\nSELECT threads, round(seconds, 6) AS seconds, round(speedup, 6) AS speedup, round(speedup / threads, 6) AS efficiency, CASE WHEN speedup / threads >= 0.8 THEN 'green' WHEN speedup / threads >= 0.5 THEN 'yellow' ELSE 'red' END AS band FROM g",
-    "worker_advice": """WITH a AS (SELECT unnest([1, 4, 8, 12]) AS requested), b AS (SELECT unnest([2, 4, 8]) AS physical), c AS (SELECT unnest([0.0::DOUBLE, 0.3::DOUBLE, 0.7::DOUBLE, 8.0::DOUBLE]) AS ram),
-r AS (SELECT *, least(physical, greatest(1, trunc(ram / 0.15::DOUBLE)::INT)) AS recommended FROM a, b, c)
-SELECT requested, physical, ram, recommended, CASE WHEN requested <= physical THEN 'ideal' WHEN requested <= physical * 2 THEN 'hyperthreading' ELSE 'oversubscription' END AS fit,
+    "worker_advice": """WITH r AS (
+  SELECT *, least(physical, greatest(1, trunc(ram / 0.15::DOUBLE)::INT)) AS recommended
+  FROM (SELECT c_custkey AS machine, (c_custkey % 16 + 1)::INT AS requested, (c_nationkey % 8 + 1)::INT AS physical, greatest(c_acctbal, 0) / 1000 AS ram FROM customer)
+)
+SELECT machine, recommended, CASE WHEN requested <= physical THEN 'ideal' WHEN requested <= physical * 2 THEN 'hyperthreading' ELSE 'oversubscription' END AS fit,
   CASE WHEN ram < 0.5 THEN 'very_low' WHEN ram < requested * 0.15::DOUBLE THEN 'insufficient' ELSE 'none' END AS warning, CASE WHEN requested = recommended THEN recommended::VARCHAR ELSE recommended || ' (solicitado: ' || requested || ')' END AS label FROM r""",
     "progress_eta": _with(
         _RUNS,
         "SELECT event_id, done, CASE WHEN done < total THEN elapsed / done * (total - done) END AS eta, CASE WHEN done < total THEN 'remaining' ELSE 'finished' END AS state, repeat('█', floor(20 * (done / total))::INT) || repeat('░', 20 - floor(20 * (done / total))::INT) AS bar FROM (SELECT run, event_id, count(*) OVER r AS done, sum(round(total_time_s * 10000)::BIGINT) OVER r / 10000.0::DOUBLE AS elapsed, count(*) OVER (PARTITION BY run) AS total FROM results WINDOW r AS (PARTITION BY run ORDER BY event_id))",
     ),
-    "gray_convert": _with(_PIXELS, "SELECT image, i // 3 AS pixel, floor(max(CASE WHEN i % 3 = 0 THEN value END) * 0.114::DOUBLE + max(CASE WHEN i % 3 = 1 THEN value END) * 0.587::DOUBLE + max(CASE WHEN i % 3 = 2 THEN value END) * 0.299::DOUBLE + 0.5::DOUBLE)::INT AS grey FROM pixels WHERE i < 63 GROUP BY image, i // 3"),
+    "gray_convert": _with(_PIXELS, "SELECT image, i // 3 AS pixel, floor(coalesce(max(CASE WHEN i % 3 = 0 THEN value END), 0) * 0.114::DOUBLE + coalesce(max(CASE WHEN i % 3 = 1 THEN value END), 0) * 0.587::DOUBLE + coalesce(max(CASE WHEN i % 3 = 2 THEN value END), 0) * 0.299::DOUBLE + 0.5::DOUBLE)::INT AS grey FROM pixels GROUP BY image, i // 3"),
     "otsu_threshold": _with(_PIXELS, "SELECT image, threshold FROM otsu"),
     "binarised_pixels": _with(_PIXELS, "SELECT image, count(*) FILTER (value > threshold) AS white, count(*) AS n FROM pixels JOIN otsu USING (image) GROUP BY image"),
 }

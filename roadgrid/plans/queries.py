@@ -13,7 +13,8 @@ from roadgrid.operators import detect, imaging, match, metrics, recognise
 from roadgrid.plans import fixtures as X_
 from roadgrid.plans import pipeline as pipe
 from roadgrid.plans import report
-from roadgrid.sources.results import with_defaults
+from roadgrid.sources.results import DIALECT, bad_records, load, plates_of, save, with_defaults
+from roadgrid.store import place
 
 QUERIES: dict = {}
 
@@ -222,6 +223,34 @@ def detected_plates(spark, d):
     return match.detected_plates(matched(spark, d))
 
 
+_CSV = ["error", "status", "image", "plate_text", "ocr_confidence", "worker_id", "plate_detected"]
+
+
+def _csv(spark, d) -> DataFrame:
+    """Result rows whose errors have quotes, commas and line breaks."""
+    error = F.when(F.col("id") % 4 == 0, F.concat(F.lit('YOLO: "'), F.col("image"), F.lit('",\n  line 2, '), F.col("plate_text"))).otherwise("")
+    return matched(spark, d).withColumns({"error": error, "ocr_confidence": F.col("id") / F.lit(8.0), "worker_id": F.col("id") % 3, "plate_detected": F.col("id") % 2 == 0})
+
+
+@query
+def results_csv(spark, d):
+    """Results read back from CSV files, of which those of odd ids have their columns in another order."""
+    path = place(spark, "results-csv")
+    rows = _csv(spark, d)
+    save(with_defaults(rows.where("id % 2 = 0")), path)
+    rows.where("id % 2 = 1").select(*_CSV).write.mode("append").options(**DIALECT).option("header", True).csv(path)
+    return load(spark, path).select(*_CSV)
+
+
+@query
+def results_csv_plates(spark, d):
+    """The list's candidates from a file with other columns first, and records that aren't whole."""
+    path = place(spark, "results-csv")
+    _csv(spark, d).select(F.lit("x, y").alias("note"), *_CSV[:4], F.when(F.col("id") % 5 == 0, F.lit("high")).otherwise("0.5").alias("ocr_confidence")).write.options(**DIALECT).option("header", True).csv(path)
+    broken = bad_records(spark, path).groupBy(F.col("reason").alias("plate")).agg(F.count("*").alias("n"))
+    return plates_of(spark, path).select("plate", F.lit(0).cast("long").alias("n")).union(broken)
+
+
 @query
 def demo_sample(spark, d):
     """The list with 5 detected plates more; the sample is the feature."""
@@ -270,8 +299,11 @@ def timestamp_formats(spark, d):
 
 @query
 def amdahl_curve(spark, d):
-    p = spark.sql("SELECT explode(array(1, 2, 4, 8, 12)) AS p, 0.68D AS f")
-    return p.select("p", F.round(S.amdahl(F.col("f"), F.col("p")), 9).alias("speedup"), F.round(1.0 / F.col("f"), 9).alias("most"))
+    """Speedups if the events of one type were what can't be done in parallel."""
+    e = X_.table(spark, d, "events").groupBy("event_type").agg(F.sum("value").alias("v"))
+    f = e.select("event_type", (F.col("v") / F.sum("v").over(Window.partitionBy())).alias("f"))
+    f = f.withColumn("p", F.explode(F.array(*map(F.lit, (1, 2, 4, 8, 12)))))
+    return _rounded(f.select("event_type", "p", S.amdahl(F.col("f"), F.col("p")).alias("speedup"), (1.0 / F.col("f")).alias("most")))
 
 
 @query
@@ -284,10 +316,16 @@ def speedup_table(spark, d):
 
 @query
 def worker_advice(spark, d):
-    rows = spark.sql("SELECT requested, physical, physical * 2 AS logical, ram FROM (SELECT explode(array(1, 4, 8, 12)) AS requested) CROSS JOIN (SELECT explode(array(2, 4, 8)) AS physical) CROSS JOIN (SELECT explode(array(0.0D, 0.3D, 0.7D, 8.0D)) AS ram)")
+    """Customers taken for machines."""
+    rows = X_.table(spark, d, "customer").select(
+        F.col("c_custkey").alias("machine"),
+        (F.col("c_custkey") % 16 + 1).cast("int").alias("requested"),
+        (F.col("c_nationkey") % 8 + 1).cast("int").alias("physical"),
+        (F.greatest("c_acctbal", F.lit(0)) / 1000).alias("ram"),
+    )
     r, p, g = F.col("requested"), F.col("physical"), F.col("ram")
     advised = S.recommended_workers(p, g)
-    return rows.select("requested", "physical", "ram", advised.alias("recommended"), S.worker_fit(r, p, F.col("logical")).alias("fit"), S.ram_warning(g, r).alias("warning"), X.workers_label(r, advised).alias("label"))
+    return rows.select("machine", advised.alias("recommended"), S.worker_fit(r, p, p * 2).alias("fit"), S.ram_warning(g, r).alias("warning"), X.workers_label(r, advised).alias("label"))
 
 
 @query
@@ -300,8 +338,9 @@ def progress_eta(spark, d):
 
 @query
 def gray_convert(spark, d):
-    px = X_.pixels(spark, d).where("i < 63").groupBy("image", F.floor(F.col("i") / 3).alias("pixel"))
-    part = lambda k: F.max(F.when(F.col("i") % 3 == k, F.col("value")))
+    """Every value is in a pixel of three; what the last one lacks is 0."""
+    px = X_.pixels(spark, d).groupBy("image", F.floor(F.col("i") / 3).alias("pixel"))
+    part = lambda k: F.coalesce(F.max(F.when(F.col("i") % 3 == k, F.col("value"))), F.lit(0))
     return px.agg(part(0).alias("b"), part(1).alias("g"), part(2).alias("r")).select("image", "pixel", imaging.grey(F.col("b"), F.col("g"), F.col("r")).alias("grey"))
 
 

@@ -15,6 +15,23 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The data files of a folder, by name, or the file itself; names that begin with _ or . are no data, as for Spark's readers."""
+    fs, where = _fs(spark, path)
+    files = [f.getPath() for f in fs.listStatus(where) if f.isFile()]
+    return sorted(f.toString() for f in files if f.getName()[0] not in "_.")
+
+
+def head(spark: SparkSession, path: str, most: int) -> bytes:
+    """The first bytes of a file."""
+    fs, where = _fs(spark, path)
+    stream = fs.open(where)
+    try:
+        return bytes(stream.readNBytes(most))
+    finally:
+        stream.close()
+
+
 def make_dirs(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         fs, where = _fs(spark, path)

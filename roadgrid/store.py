@@ -28,12 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
 _tables: list = []
 
 
+def place(spark: SparkSession, label: str) -> str:
+    """A new path in shared storage, which release() deletes."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _tables.append(path)
+    return path
+
+
 def written(df: DataFrame, label: str = "cut") -> DataFrame:
     """The rows of df as a Parquet table in shared storage, read back."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = place(df.sparkSession, label)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    _tables.append(path)
     out._roadgrid_table = path
     return out
 
