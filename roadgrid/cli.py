@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import importlib
 import os
 import sys
@@ -12,6 +13,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from roadgrid.functions import scaling
+from roadgrid.functions.progress import Progress
 from roadgrid.operators import detect, infer, match, metrics
 from roadgrid.plans import pipeline, report
 from roadgrid.sources import files, images, models, results, watchlist
@@ -24,6 +26,15 @@ def _factory(name: str):
     return getattr(importlib.import_module(module), attribute)
 
 
+def model(spark: SparkSession, name: str, path: str | None):
+    """The factory called name; with a model file one that opens it, exported once if the class knows how."""
+    kind = _factory(name)
+    if path is None:
+        return kind
+    path = models.resolve(spark, path, getattr(kind, "export", None), getattr(kind, "ENDING", ".onnx"))
+    return models.opened(models.publish(spark, path), kind)
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="roadgrid")
     sub = p.add_subparsers(dest="command", required=True)
@@ -33,6 +44,8 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--watchlist", required=True)
     run.add_argument("--detector", required=True, help="module:class")
     run.add_argument("--recogniser", required=True, help="module:class")
+    run.add_argument("--detector-model", help="file that the detector opens, sent to all workers")
+    run.add_argument("--recogniser-model", help="file that the recogniser opens, sent to all workers")
     run.add_argument("--execution", choices=pipeline.MODES, default="parallel")
     run.add_argument("--workers", type=int, default=0, help="partitions; 0: as many as are advised")
     run.add_argument("--verbose", action="store_true")
@@ -70,11 +83,12 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
     workers = 1 if a.execution == "serial" else workers
     for line in lines:
         log.debug(line)
-    detector, recogniser = _factory(a.detector), _factory(a.recogniser)
+    detector, recogniser = model(spark, a.detector, a.detector_model), model(spark, a.recogniser, a.recogniser_model)
     warmup = infer.warm_up(spark, detector, recogniser, workers)
     begin = time.perf_counter()
     rows = pipeline.run(found, watchlist.load(spark, a.watchlist), detector, recogniser, a.execution, workers)
-    rows.write.mode("overwrite").parquet(f"{a.output}/rows")
+    with Progress(spark) if not a.quiet and sys.stderr.isatty() else contextlib.nullcontext():
+        rows.write.mode("overwrite").parquet(f"{a.output}/rows")
     elapsed = time.perf_counter() - begin
     rows = spark.read.parquet(f"{a.output}/rows")
     out = pipeline.results(rows)
@@ -96,34 +110,37 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def keep_list(spark: SparkSession, a: argparse.Namespace) -> int:
-    old = watchlist.load(spark, a.file)
-    typed = match.watchlist(spark.createDataFrame([(p,) for p in a.plates], "value string"))
+    """Shows or changes the list; a change that another writer overtakes is made again from the list as it then is."""
     if a.action == "list":
-        changed = watchlist.load_raw(spark, a.file).orderBy("plate")
-    elif a.action == "add":
-        changed, new = match.new_plates(old, typed), match.add_plates(old, typed)
-    elif a.action == "remove":
-        changed, new = match.removed_plates(old, typed), match.remove_plates(old, typed)
-    elif a.action == "clear":
-        changed, new = old, match.clear(old)
-    else:
-        n = int(a.plates[0]) if a.plates and a.plates[0].isdigit() else 5
-        changed = match.sampled(results.plates_of(spark, a.results), n, a.seed)
-        new = match.add_plates(old, changed)
-    if a.action == "clear":
-        n = old.count()
-        if not a.yes and sys.stdin.isatty() and input(f"Remove all {n} plates? [y/N] ").strip().lower() not in ("y", "yes", "s", "sim"):
-            return 1
-        watchlist.save(new, a.file)
-        print(f"{n} plates removed")
-        return 0
-    if a.action == "list":
-        for row in changed.toLocalIterator():
+        for row in watchlist.load_raw(spark, a.file).orderBy("plate").toLocalIterator():
             print(row["plate"])
         return 0
-    # What is shown comes from the list that save() replaces.
-    shown = cut(changed.orderBy("plate"))
-    watchlist.save(new, a.file)
+    if a.action == "clear" and not a.yes and sys.stdin.isatty():
+        n = watchlist.load(spark, a.file).count()
+        if input(f"Remove all {n} plates? [y/N] ").strip().lower() not in ("y", "yes", "s", "sim"):
+            return 1
+    typed = match.watchlist(spark.createDataFrame([(p,) for p in a.plates], "value string"))
+    shown = None
+
+    def change(old):
+        nonlocal shown
+        if a.action == "add":
+            changed, new = match.new_plates(old, typed), match.add_plates(old, typed)
+        elif a.action == "remove":
+            changed, new = match.removed_plates(old, typed), match.remove_plates(old, typed)
+        elif a.action == "clear":
+            changed, new = old, match.clear(old)
+        else:
+            n = int(a.plates[0]) if a.plates and a.plates[0].isdigit() else 5
+            changed = match.sampled(results.plates_of(spark, a.results), n, a.seed)
+            new = match.add_plates(old, changed)
+        shown = cut(changed)  # it comes from the list that is replaced
+        return new
+
+    watchlist.update(spark, a.file, change)
+    if a.action == "clear":
+        print(f"{shown.count()} plates removed")
+        return 0
     for row in shown.orderBy("plate").toLocalIterator():
         print(row["plate"])
     return 0

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -15,6 +18,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    fs, where = _fs(spark, path)
+    return fs.exists(where) and fs.getFileStatus(where).isFile()
+
+
 def listed(spark: SparkSession, path: str) -> list[str]:
     """The data files of a folder, by name, or the file itself; names that begin with _ or . are no data, as for Spark's readers."""
     fs, where = _fs(spark, path)
@@ -38,28 +46,49 @@ def make_dirs(spark: SparkSession, *paths: str) -> None:
         fs.mkdirs(where)
 
 
-def _aside(path: str) -> str:
-    return f"{path.rstrip('/')}.before"
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What is in a folder, by name; nothing without it."""
+    fs, where = _fs(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(where)) if fs.exists(where) else []
+
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, where = _fs(spark, path)
+    fs.delete(where, True)
 
-def replace(spark: SparkSession, new: str, old: str) -> None:
-    """Puts what is at new in the place of old, which is moved aside first and deleted last; restored() undoes half of it."""
-    fs, where = _fs(spark, new)
-    _, target = _fs(spark, old)
-    _, aside = _fs(spark, _aside(old))
-    restored(spark, old)
-    fs.delete(aside, True)
-    if fs.exists(target) and not fs.rename(target, aside):
-        raise OSError(f"can't move {old} aside")
-    if not fs.rename(where, target):
-        restored(spark, old)
-        raise OSError(f"can't rename {new} to {old}")
-    fs.delete(aside, True)
+
+def claim(spark: SparkSession, path: str, text: str) -> bool:
+    """Makes a file of this text at path, whole and at once, unless there is one; whether it is this one that made it.
+
+    A file written aside is renamed where the storage's rename doesn't
+    overwrite; on a machine's own disk, where it does, it is linked.
+    """
+    jvm, (fs, where) = spark._jvm, _fs(spark, path)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(aside)
+    try:
+        out.write(bytearray(text, "utf-8"))
+    finally:
+        out.close()
+    try:
+        if fs.getUri().getScheme() == "file":
+            at = lambda p: jvm.java.nio.file.Paths.get(p.toUri().getPath(), spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0))
+            jvm.java.nio.file.Files.createLink(at(where), at(aside))
+        else:
+            rename = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(aside, where, rename)
+        return True
+    except Py4JJavaError:
+        if not fs.exists(where):
+            raise
+        return False
+    finally:
+        fs.delete(aside, False)
 
 
 def restored(spark: SparkSession, path: str) -> None:
-    """Puts what a broken replace() has moved aside back in its place, where nothing has taken it."""
+    """Puts what has been moved aside as path.before back in its place, where nothing has taken it."""
     fs, target = _fs(spark, path)
-    _, aside = _fs(spark, _aside(path))
+    aside = _fs(spark, f"{path.rstrip('/')}.before")[1]
     if fs.exists(aside) and not fs.exists(target):
         fs.rename(aside, target)

@@ -19,14 +19,14 @@ def test_status_and_windows(spark, tmp_path):
     assert got == [(0, "OK", 1), (0, "ROUBADO", 2), (5, "NAO_IDENTIFICADA", 1), (40, "OK", 1)]
 
 
-def test_model_files(tmp_path):
+def test_model_files(spark, tmp_path):
     model = tmp_path / "m.pt"
     with pytest.raises(FileNotFoundError):
-        models.resolve(str(model))
+        models.resolve(spark, str(model))
     model.write_text("x")
-    assert models.resolve("a.onnx") == "a.onnx"
-    assert models.resolve(str(model)) == str(model)
-    assert models.resolve(str(model), lambda a, b: 1 / 0) == str(model)
-    made = models.resolve(str(model), lambda a, b: open(b, "w").close())
-    assert made.endswith("m.onnx") and models.resolve(str(model)) == made
+    assert models.resolve(spark, "a.onnx") == "a.onnx"
+    assert models.resolve(spark, str(model)) == str(model)
+    assert models.resolve(spark, str(model), lambda a, b: 1 / 0) == str(model)
+    made = models.resolve(spark, str(model), lambda a, b: open(b, "w").close())
+    assert made.endswith("m.onnx") and models.resolve(spark, str(model)) == made
     assert models.hardware()["logical_cores"] >= 1
