@@ -46,6 +46,107 @@ def otsu_thresholds(pixels: DataFrame, image: str = "image", value: str = "value
     return sums.groupBy(image).agg(best.alias("m")).select(image, (-F.col("m.back")).alias("threshold"))
 
 
+def _sized(pixels: DataFrame) -> DataFrame:
+    """image, h, w: one row an image."""
+    return pixels.groupBy("image").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+
+
+def _mirrored(at: Column, size: Column) -> Column:
+    """The place whose value a place beyond the edge has, by mirroring without the edge itself."""
+    turn = F.greatest(2 * (size - 1), F.lit(1))
+    back = at % turn
+    return F.when(size == 1, F.lit(0)).when(back < size, back).otherwise(turn - back)
+
+
+def _repeats(at: str, size: str, more: Column) -> Column:
+    """All places of the extended side that have the value of the place at, itself included."""
+    beyond = F.when(more > 0, F.sequence(F.col(size), F.col(size) + more - 1)).otherwise(F.array().cast("array<int>"))
+    return F.concat(F.array(F.col(at)), F.filter(beyond, lambda p: _mirrored(p, F.col(size)) == F.col(at)))
+
+
+def tile_levels(pixels: DataFrame, clip: float = CLIP, tiles: int = TILES) -> tuple[DataFrame, DataFrame]:
+    """Of pixels(image, y, x, value): the levels (image, i, j, value, level) that tiles i, j map values to, where a pixel needs them; and pixels with th, tw, the tiles' sides.
+
+    Histograms are counted by value before the shuffle. A tile's values in order,
+    with those that only its neighbours have as empty bins, make one window of
+    256 rows at most: what is above the limit goes to all values alike, the rest
+    to values at even distances, and both are known from the value alone.
+    """
+    sized = pixels.join(_sized(pixels), "image")
+    n = F.lit(tiles)
+    even = (F.col("h") % n == 0) & (F.col("w") % n == 0)
+    more = lambda c: F.when(even, F.lit(0)).otherwise(n - F.col(c) % n)
+    side = lambda c: F.floor((F.col(c) + more(c)) / n).cast("int")
+    sized = sized.withColumns({"th": side("h"), "tw": side("w")})
+    spread = sized.withColumn("py", F.explode(_repeats("y", "h", more("h")))).withColumn("px", F.explode(_repeats("x", "w", more("w"))))
+    whole = lambda a, b: F.floor(F.col(a) / F.col(b)).cast("int")
+    bins = spread.groupBy("image", "th", "tw", whole("py", "th").alias("i"), whole("px", "tw").alias("j"), "value").agg(F.count("*").alias("c"))
+    needed = corners(sized, tiles).select("image", "th", "tw", F.explode("at").alias("p"), "value").select("image", "th", "tw", "p.i", "p.j", "value").distinct().withColumn("c", F.lit(0).cast("long"))
+    bins = bins.union(needed).groupBy("image", "th", "tw", "i", "j", "value").agg(F.sum("c").alias("c"))
+    tile = Window.partitionBy("image", "i", "j")
+    limit = F.greatest(F.lit(1), F.floor(F.lit(clip) * F.col("th") * F.col("tw") / 256))
+    cut = bins.withColumns({"over": F.sum(F.greatest(F.col("c") - limit, F.lit(0))).over(tile), "below": F.sum(F.least("c", limit)).over(tile.orderBy("value"))})
+    share, rest = F.floor(F.col("over") / 256), F.col("over") % 256
+    step = F.greatest(F.lit(1), F.floor(256 / F.greatest(rest, F.lit(1))))
+    extra = F.least(rest, F.floor(F.col("value") / step) + 1)
+    upto = F.col("below") + share * (F.col("value") + 1) + extra
+    level = F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.rint(upto * (255 / (F.col("th") * F.col("tw"))))))
+    return cut.select("image", "i", "j", "value", level.alias("level")), sized
+
+
+def corners(sized: DataFrame, tiles: int = TILES) -> DataFrame:
+    """sized pixels with fy, fx and at: the four tiles, top left, top right, low left, low right, between whose levels a pixel lies."""
+    part = lambda c, t: F.col(c) / F.col(t) - 0.5
+    y, x = part("y", "th"), part("x", "tw")
+    inside = lambda k: F.greatest(F.lit(0), F.least(F.lit(tiles - 1), k)).cast("int")
+    one = lambda k, a, b: F.struct(F.lit(k).alias("k"), inside(F.floor(y) + a).alias("i"), inside(F.floor(x) + b).alias("j"))
+    at = F.array(one(0, 0, 0), one(1, 0, 1), one(2, 1, 0), one(3, 1, 1))
+    return sized.withColumns({"fy": y - F.floor(y), "fx": x - F.floor(x), "at": at})
+
+
+def equalised(pixels: DataFrame, clip: float = CLIP, tiles: int = TILES) -> DataFrame:
+    """image, y, x, value: equalise_tiles() of every image of pixels(image, y, x, value), which has every pixel once."""
+    levels, sized = tile_levels(pixels, clip, tiles)
+    near = corners(sized, tiles).select("image", "y", "x", "value", "fy", "fx", F.explode("at").alias("p")).select("image", "y", "x", "value", "fy", "fx", "p.k", "p.i", "p.j")
+    met = near.join(levels, ["image", "i", "j", "value"]).groupBy("image", "y", "x", "fy", "fx")
+    four = met.agg(*[F.max(F.when(F.col("k") == k, F.col("level"))).alias(f"m{k}") for k in range(4)])
+    mixed = lambda a, b: F.col(a) * (1 - F.col("fx")) + F.col(b) * F.col("fx")
+    value = mixed("m0", "m1") * (1 - F.col("fy")) + mixed("m2", "m3") * F.col("fy")
+    return four.select("image", "y", "x", F.greatest(F.lit(0), F.least(F.lit(255), F.rint(value))).cast("int").alias("value"))
+
+
+def taps(sizes: DataFrame) -> DataFrame:
+    """Of sizes(size, new): size, new, at (the new place), source, weight. At most four sources a place; those beyond the edge are the edge."""
+    each = sizes.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("new") - 1)))
+    place = (F.col("at") + 0.5) * F.col("size") / F.col("new") - 0.5
+    each = each.withColumns({"place": place, "base": F.floor(place)}).withColumn("k", F.explode(F.sequence(F.lit(-1), F.lit(2))))
+    d, a = F.abs(F.col("place") - (F.col("base") + F.col("k"))), -0.75
+    near, far = (a + 2) * d * d * d - (a + 3) * d * d + 1, a * d * d * d - 5 * a * d * d + 8 * a * d - 4 * a
+    source = F.greatest(F.lit(0), F.least(F.col("size") - 1, F.col("base") + F.col("k"))).cast("int")
+    weights = each.select("size", "new", "at", source.alias("source"), F.when(d <= 1, near).otherwise(far).alias("weight"))
+    return weights.groupBy("size", "new", "at", "source").agg(F.sum("weight").alias("weight"))
+
+
+def enlarged(pixels: DataFrame, least: int = MIN_HEIGHT) -> DataFrame:
+    """image, y, x, value: upscale() of every image of pixels(image, y, x, value), grey values, which has every pixel once.
+
+    Rows, then columns: each a join with the weights, which are a few rows for
+    every different size of an image, and a sum over four.
+    """
+    dims = _sized(pixels)
+    width = F.greatest(F.lit(1), F.floor(F.col("w") * (F.lit(least) / F.col("h")))).cast("int")
+    dims = dims.where(F.col("h") < least).select("image", F.col("h").alias("size_y"), F.lit(least).alias("new_y"), F.col("w").alias("size_x"), width.alias("new_x"))
+    rows = pixels.join(dims, "image").withColumn("value", F.col("value").cast("double"))
+    for c, other in (("y", "x"), ("x", "y")):
+        weights = taps(dims.select(F.col(f"size_{c}").alias("size"), F.col(f"new_{c}").alias("new")).distinct())
+        weights = weights.select(F.col("size").alias(f"size_{c}"), F.col("new").alias(f"new_{c}"), F.col("source").alias(c), "at", "weight")
+        kept = ["image", "size_y", "new_y", "size_x", "new_x", other]
+        summed = rows.join(weights, [f"size_{c}", f"new_{c}", c]).groupBy(*kept, "at").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
+        rows = summed.withColumnRenamed("at", c)
+    made = rows.select("image", "y", "x", F.greatest(F.lit(0), F.least(F.lit(255), F.rint("value"))).cast("int").alias("value"))
+    return made.union(pixels.join(dims, "image", "left_anti").select("image", "y", "x", F.col("value").cast("int")))
+
+
 # --- kernels on arrays of uint8 -------------------------------------------------
 
 

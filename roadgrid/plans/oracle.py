@@ -64,6 +64,13 @@ def _with(ctes: str, select: str) -> str:
     return f"WITH {ctes}\n{select}"
 
 
+_TAPS = """, far AS (
+  SELECT a AS place, least(7, greatest(0, floor(a / 2.0::DOUBLE - 0.25::DOUBLE)::INT + k)) AS source, abs(a / 2.0::DOUBLE - 0.25::DOUBLE - floor(a / 2.0::DOUBLE - 0.25::DOUBLE) - k) AS d
+  FROM (SELECT unnest(range(16)) AS a), (SELECT unnest(range(-1, 3)) AS k)
+), taps AS (
+  SELECT place, source, sum(CASE WHEN d <= 1 THEN 1.25::DOUBLE * d * d * d - 2.25::DOUBLE * d * d + 1 ELSE -0.75::DOUBLE * d * d * d + 3.75::DOUBLE * d * d - 6 * d + 3 END) AS w FROM far GROUP BY place, source
+)"""
+
 ORACLE_SQL = {
     "image_scan_filter": _with(_FOUND, "SELECT page_id, image FROM found"),
     "path_parts": _with(_PATHS, "SELECT page_id, image AS name, CASE WHEN page_id % 7 = 6 THEN image ELSE string_split(image, '.')[1] END AS stem, CASE WHEN page_id % 7 = 6 THEN '' ELSE '.' || string_split(image, '.')[2] END AS suffix FROM paths"),
@@ -138,4 +145,25 @@ SELECT machine, recommended, CASE WHEN requested <= physical THEN 'ideal' WHEN r
     "gray_convert": _with(_PIXELS, "SELECT image, i // 3 AS pixel, floor(coalesce(max(CASE WHEN i % 3 = 0 THEN value END), 0) * 0.114::DOUBLE + coalesce(max(CASE WHEN i % 3 = 1 THEN value END), 0) * 0.587::DOUBLE + coalesce(max(CASE WHEN i % 3 = 2 THEN value END), 0) * 0.299::DOUBLE + 0.5::DOUBLE)::INT AS grey FROM pixels GROUP BY image, i // 3"),
     "otsu_threshold": _with(_PIXELS, "SELECT image, threshold FROM otsu"),
     "binarised_pixels": _with(_PIXELS, "SELECT image, count(*) FILTER (value > threshold) AS white, count(*) AS n FROM pixels JOIN otsu USING (image) GROUP BY image"),
+    "equalised_pixels": _with(
+        _PIXELS,
+        """SELECT image, y, x, least(255, greatest(0, round_even((m[1] * (1 - fx) + m[2] * fx) * (1 - fy) + (m[3] * (1 - fx) + m[4] * fx) * fy, 0)))::INT AS value FROM (
+  SELECT image, y, x, y / 2.0::DOUBLE - 0.5::DOUBLE - floor(y / 2.0::DOUBLE - 0.5::DOUBLE) AS fy, x / 2.0::DOUBLE - 0.5::DOUBLE - floor(x / 2.0::DOUBLE - 0.5::DOUBLE) AS fx, list(level ORDER BY k) AS m FROM (
+    SELECT p.image, p.y, p.x, k, lut.levels[p.value + 1] AS level FROM (
+      SELECT image, i // 8 AS y, i % 8 AS x, value, k, least(3, greatest(0, floor(i // 8 / 2.0::DOUBLE - 0.5::DOUBLE)::INT + k // 2)) AS ti, least(3, greatest(0, floor(i % 8 / 2.0::DOUBLE - 0.5::DOUBLE)::INT + k % 2)) AS tj
+      FROM pixels, (SELECT unnest(range(4)) AS k)
+    ) p JOIN (
+      SELECT image, ti, tj, list(least(255, round_even(upto * (255 / 4.0::DOUBLE), 0)) ORDER BY v) AS levels FROM (
+        SELECT *, sum(least(c, 1) + (over_ // 256) + (CASE WHEN over_ % 256 > 0 AND v % (256 // greatest(over_ % 256, 1)) = 0 AND v // (256 // greatest(over_ % 256, 1)) < over_ % 256 THEN 1 ELSE 0 END)) OVER (PARTITION BY image, ti, tj ORDER BY v) AS upto FROM (
+          SELECT *, sum(greatest(c - 1, 0)) OVER (PARTITION BY image, ti, tj) AS over_ FROM (
+            SELECT image, ti, tj, v, count(*) FILTER (value = v) AS c FROM (SELECT image, i // 8 // 2 AS ti, i % 8 // 2 AS tj, value FROM pixels), (SELECT unnest(range(256)) AS v) GROUP BY ALL)))
+      GROUP BY image, ti, tj
+    ) lut ON lut.image = p.image AND lut.ti = p.ti AND lut.tj = p.tj)
+  GROUP BY image, y, x)""",
+    ),
+    "enlarged_pixels": _with(
+        _PIXELS + _TAPS,
+        """SELECT image, y, x, least(255, greatest(0, round_even(sum(value * wy * wx), 0)))::INT AS value FROM (
+  SELECT p.image, a.place AS y, b.place AS x, p.value, a.w AS wy, b.w AS wx FROM pixels p JOIN taps a ON a.source = p.i // 8 JOIN taps b ON b.source = p.i % 8) GROUP BY image, y, x""",
+    ),
 }

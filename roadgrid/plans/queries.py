@@ -353,3 +353,19 @@ def otsu_threshold(spark, d):
 def binarised_pixels(spark, d):
     px = X_.pixels(spark, d)
     return px.join(imaging.otsu_thresholds(px), "image").groupBy("image").agg(F.count_if(F.col("value") > F.col("threshold")).alias("white"), F.count("*").alias("n"))
+
+
+def _squares(spark, d) -> DataFrame:
+    """Embeddings as images of 8 x 8 grey values."""
+    return X_.pixels(spark, d).select("image", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).alias("x"), "value")
+
+
+@query
+def equalised_pixels(spark, d):
+    return imaging.equalised(_squares(spark, d))
+
+
+@query
+def enlarged_pixels(spark, d):
+    """To 16 rows: weights of a doubling are binary fractions, so sums don't depend on their order."""
+    return imaging.enlarged(_squares(spark, d), 16)
