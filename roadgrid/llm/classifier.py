@@ -130,27 +130,35 @@ def fit_arrays(grades: np.ndarray, row: np.ndarray, codes: np.ndarray, values: n
 
 
 def rated(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """row, grade, text of the sample: at most so many different ids, so their table can be broadcast.
+    """row, grade, text of the rated documents of at most so many different ids, so the ids' table can be broadcast.
 
     Grade 0 is toxic, 1 of low quality, 2 good; the lowest counts where ids
-    repeat. Rows of labels without an id or a quality say nothing.
+    repeat. Rows of labels without an id or a quality say nothing. A document is
+    an id and a text: repeated rows are one, and each text of an id is its own.
     """
     grade = F.when(F.coalesce(F.col("toxic"), F.lit(0)) > 0, 0).when(F.col("quality") > 0, 2).otherwise(1)
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select(F.col("doc_id").cast("long").alias("row"), grade.alias("grade"))
-    known = known.groupBy("row").agg(F.min("grade").alias("grade"))
-    known = known.orderBy(F.xxhash64("row"), "row").limit(sample)
-    return docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("row")).select("row", "grade", "text")
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select(F.col("doc_id").cast("long").alias("_id"), grade.alias("grade"))
+    known = known.groupBy("_id").agg(F.min("grade").alias("grade"))
+    known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("_id"))
+    return rows.select(F.xxhash64("_id", "text").alias("row"), "grade", "text").dropDuplicates(["row"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of the sample's grades; without rated documents one that keeps every text.
 
     Features that fewer than MIN_DOCS texts have, and those whose slope at weight
-    0 doesn't reach the penalty, are left out before anything is gathered.
+    0 doesn't reach the penalty, are left out before anything is gathered. Rows
+    that repeat an id and a text change nothing; several texts of one id are
+    several documents, of which sample in all are taken, those of the smallest
+    hashes. So what is gathered is bounded, whatever repeats.
     """
     features = written(mapped(rated(docs, labels, sample), _featured, "row long, grade int, code long, value double"), "classifier-features")
-    texts = features.select("row", "grade").distinct().groupBy("grade").count().collect()
-    counts = np.bincount([r["grade"] for r in texts], [r["count"] for r in texts], GRADES)
+    texts = features.select("row", "grade").distinct()
+    chosen = written(texts.orderBy(F.xxhash64("row"), "row").limit(sample), "classifier-sample")
+    features = features.join(F.broadcast(chosen.select("row")), "row", "left_semi")
+    found = chosen.groupBy("grade").count().collect()
+    counts = np.bincount([r["grade"] for r in found], [r["count"] for r in found], GRADES)
     if not counts.sum():
         return Model({}, np.arange(GRADES - 1, dtype=float) - 1e3)  # nothing is known against any text
     first = prior(counts[::-1].cumsum()[::-1][1:] / counts.sum())
@@ -159,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     useful = features.groupBy("code").agg(F.count("*").alias("docs"), F.sum(slope).alias("slope"))
     useful = useful.where((F.col("docs") >= MIN_DOCS) & (F.col("slope") > PENALTY * float(counts.sum()))).select("code")
     rows = features.join(useful, "code").select("row", "code", "value").toArrow()
-    grades = features.select("row", "grade").distinct().orderBy("row").toArrow()
+    grades = chosen.orderBy("row").toArrow()
     # Gathering keeps no order; sums of floats need one to be the same in each run.
     ids, row, codes, values = grades.column("row").to_numpy(), *(rows.column(c).to_numpy() for c in ("row", "code", "value"))
     order = np.lexsort((codes, row))

@@ -16,12 +16,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadgrid.llm.graph import components
 from roadgrid.llm.store import NUMBER_ROWS, cut, mapped, written
-from roadgrid.llm.text import fits, spread
+from roadgrid.llm.text import fits, spread, whole
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -126,8 +126,9 @@ def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(s ^ np.uint64(0xA0761D6478BD642F)), dtype=np.uint64)))
     while low <= n:
         most = max(low, low * 5 // 4)
-        if 100 * most >= percent * n:
-            groups = -(-(differences(most, 100 * most // percent, percent) + 1) // 2)
+        apart_by = differences(most, 100 * most // percent, percent)
+        if 100 * most >= percent * n and apart_by:  # where no element may differ, only equal sets link, and those are one class
+            groups = -(-(apart_by + 1) // 2)
             cuts = np.arange(1, 3 * groups, dtype=np.float64) * (2.0**64 / (3 * groups))
             at = np.concatenate(([0], np.searchsorted(s, cuts.astype(np.uint64)), [n]))
             part = (sums[at[1:]] - sums[at[:-1]]).reshape(groups, 3)
@@ -135,7 +136,7 @@ def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
             other = np.roll(part, -1, axis=1)
             out.append(mix(part * np.uint64(0xE7037ED1A0B428DB) + other * np.uint64(0x8EBC6AF09C88C6E3) + tag).ravel())
         low = most + 1
-    return np.concatenate(out)
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
 def text_chunks(column: pa.Array):
@@ -185,50 +186,62 @@ def linked(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     """The index of the first set of each set's component.
 
     A search from each set in turn, which compares a set only with those not
-    reached yet; common elements are bits of rows.
+    reached yet that have one of its rarest elements: in one order of all
+    elements, linked sets share one of the first that each has more than it may
+    lack. So sets that share nothing, or only frequent elements, never meet.
     """
     sizes = np.array([len(s) for s in sets])
-    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    number = np.cumsum(counts > 1) - 1
-    shared = np.where(counts > 1, number, -1)[inverse]
-    width = (int(number[-1]) + 8) // 8 + 7 & ~7 if len(number) else 8
-    bits = np.zeros((len(sets), max(width, 8)), np.uint8)
-    at = 0
-    for k, n in enumerate(sizes):
-        own = shared[at : at + n]
-        own, at = own[own >= 0], at + n
-        np.bitwise_or.at(bits[k], own >> 3, (1 << (own & 7)).astype(np.uint8))
-    bits = bits.view(np.uint64)
-    root, left = np.arange(len(sets)), np.arange(len(sets))
-    while len(left):
-        todo, left = [left[0]], left[1:]
-        first = todo[0]
-        while todo and len(left):
+    _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rarity = np.empty(len(counts), np.int64)
+    rarity[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    owner, ends = np.repeat(np.arange(len(sets)), sizes), np.cumsum(sizes)
+    order = np.lexsort((rarity[inverse], owner))
+    element = rarity[inverse][order]  # each set's elements, rarest first
+    prefix = np.arange(len(element)) - (ends - sizes)[owner] < (sizes - -(-percent * sizes // 100) + 1)[owner]
+    by_element = np.argsort(element[prefix], kind="stable")
+    members, starts = owner[prefix][by_element], np.searchsorted(element[prefix][by_element], np.arange(len(counts) + 1))
+    posting: dict = {}
+    mark, reached, root = np.zeros(len(counts), bool), np.zeros(len(sets), bool), np.arange(len(sets))
+    for first in range(len(sets)):
+        if reached[first]:
+            continue
+        reached[first], todo = True, [first]
+        while todo:
             x = todo.pop()
-            fits = (100 * np.minimum(sizes[left], sizes[x]) >= percent * np.maximum(sizes[left], sizes[x])).nonzero()[0]
-            hit = np.zeros(len(left), bool)
-            for k in range(0, len(fits), 4096):
-                some = fits[k : k + 4096]
-                common = np.bitwise_count(bits[left[some]] & bits[x]).sum(axis=1, dtype=np.int64)
-                hit[some] = 100 * common >= percent * (sizes[left[some]] + sizes[x] - common)
-            root[left[hit]] = first
-            todo += left[hit].tolist()
-            left = left[~hit]
+            own = element[ends[x] - sizes[x] : ends[x]]
+            near = []
+            for e in own[: sizes[x] - -(-percent * sizes[x] // 100) + 1].tolist():
+                if starts[e + 1] - starts[e] > 1:
+                    left = posting.get(e, members[starts[e] : starts[e + 1]])
+                    posting[e] = left = left[~reached[left]]  # what is reached isn't looked at again
+                    near.append(left)
+            found = np.unique(np.concatenate(near)) if near else np.empty(0, np.int64)
+            found = found[100 * np.minimum(sizes[found], sizes[x]) >= percent * np.maximum(sizes[found], sizes[x])]
+            mark[own] = True
+            for k in range(0, len(found), 4096):
+                some = found[k : k + 4096]
+                n = sizes[some]
+                at = np.arange(n.sum()) + np.repeat(ends[some] - n - (np.cumsum(n) - n), n)
+                common = np.add.reduceat(mark[element[at]], np.cumsum(n) - n, dtype=np.int64)
+                hit = some[100 * common >= percent * (n + sizes[x] - common)]
+                reached[hit], root[hit] = True, first
+                todo += hit.tolist()
+            mark[own] = False
     return root
 
 
 def _signed(batches, size: int = SHINGLE, percent: int = PERCENT):
-    out = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.int64()), ("check", pa.int64()), ("sigs", pa.list_(pa.int64()))])
+    out = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.int64()), ("check", pa.int64()), ("sigs", pa.list_(pa.int64()))])
     for batch in batches:
-        ids, n, keys, checks, sigs, ends = batch.column(0), [], [], [], [], [0]
-        for s in sets_of(batch.column(1), size):
+        n, keys, checks, sigs, ends = [], [], [], [], [0]
+        for s in sets_of(batch.column(2), size):
             n.append(len(s))
             keys.append(set_key(s))
             checks.append(set_check(s))
             sigs.append(signatures(s, percent).view(np.int64))
             ends.append(ends[-1] + len(sigs[-1]))
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sigs) if sigs else np.empty(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), lists], schema=out)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), lists], schema=out)
 
 
 def _chained(batches):
@@ -268,6 +281,11 @@ def _compared(group: pa.Table, size: int = SHINGLE, percent: int = PERCENT) -> p
     return pa.table({"a": pa.array(keys, pa.int64()), "b": pa.array(keys[root] if len(keys) else keys, pa.int64())})
 
 
+def _row() -> Column:
+    """What tells a document apart: its id, none being the last, and its text."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash").alias("text_hash"))
+
+
 def signature_edges(signed: DataFrame, by_key: DataFrame) -> DataFrame:
     """a, b: keys that share a signature, chained in order.
 
@@ -278,7 +296,7 @@ def signature_edges(signed: DataFrame, by_key: DataFrame) -> DataFrame:
     """
     first = by_key.select(F.col("key").alias("_key"), "rep")
     first = F.broadcast(first) if fits(first) else first
-    one = signed.join(first, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    one = signed.join(first, (F.col("key") == F.col("_key")) & (_row() == F.col("rep")), "left_semi")
     rows = one.select(F.explode("sigs").alias("sig"), "key")
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = rows.repartitionByRange(n, "sig", "key").sortWithinPartitions("sig", "key")
@@ -294,10 +312,10 @@ def _blocks(members: DataFrame, name: str) -> DataFrame:
 
 
 def _met(docs: DataFrame, places: DataFrame, size: int, percent: int) -> DataFrame:
-    """a, b: links between members of places(root, kind, i, j, key, _id) that share root, kind, i and j."""
+    """a, b: links between members of places(root, kind, i, j, key, _id) that share root, kind, i and j; _id is a document's _row()."""
     places = cut(places)
     small = F.broadcast(places) if places.count() <= BROADCAST_IDS else places
-    rows = docs.join(small, docs["doc_id"].eqNullSafe(small["_id"])).select("root", "kind", "i", "j", "key", "text")
+    rows = docs.withColumn("_row", _row()).join(small, F.col("_row") == F.col("_id")).select("root", "kind", "i", "j", "key", "text")
     return rows.groupBy("root", "kind", "i", "j").applyInArrow(lambda group: _compared(group, size, percent), "a long, b long").where("a <> b")
 
 
@@ -341,12 +359,12 @@ def _rekeyed(batches):
 
 
 def by_set(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """signed with a key for each different set, and key, rep (least doc_id), n_shingles of each.
+    """signed with a key for each different set, and key, rep (least _row()), n_shingles of each.
 
     Sets are the same if 128 bits of them are. Where only the first 64 are,
     which takes some 10 ** 9 different sets to be likely, the keys are replaced.
     """
-    each = lambda sets: cut(sets.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), (F.min("check") != F.max("check")).alias("mixed")))
+    each = lambda sets: cut(sets.groupBy("key").agg(F.min(_row()).alias("rep"), F.max("n_shingles").alias("n_shingles"), (F.min("check") != F.max("check")).alias("mixed")))
     by_key = each(signed.where("n_shingles > 0"))
     mixed = by_key.where("mixed").select("key")
     if not mixed.isEmpty():
@@ -357,6 +375,26 @@ def by_set(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return signed, by_key.drop("mixed")
 
 
+def _classed(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component of every row: the least _row() of the component, null for an empty set."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole(F.col("text"))).alias("text_hash"), "text")
+    signed = written(mapped(docs, lambda batches: _signed(batches, size, percent), "doc_id long, text_hash long, n_shingles long, key long, check long, sigs array<long>"), "jaccard-signed")
+    signed, by_key = by_set(signed)
+    sets = signed.where("n_shingles > 0")
+    candidates = components(signature_edges(sets, by_key)).withColumnRenamed("node", "key")
+    candidates = candidates.join(by_key, "key").select("root", "key", F.col("rep").alias("_id"), "n_shingles")
+    links = group_links(docs, cut(candidates.join(_blocks(candidates, "blocks"), "root")), size, percent)
+    parts = components(links)
+    joined = parts.join(by_key.select(F.col("key").alias("node"), "rep"), "node")
+    least = joined.groupBy("root").agg(F.min("rep").alias("component"))
+    named = joined.join(least, "root").select(F.col("node").alias("key"), "component")
+    named = by_key.select("key", "rep").join(named, "key", "left").select(F.col("key").alias("_key"), F.coalesce("component", "rep").alias("component"))
+    alone = signed.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.lit(None).cast(named.schema["component"].dataType).alias("component"))
+    # Copies share a key: their rows are dealt out, or meet the keys' table in place.
+    out = spread(sets.select("doc_id", "text_hash", "n_shingles", "key"), cut(named), [("key", "_key")])
+    return out.select("doc_id", "text_hash", "n_shingles", "component").union(alone)
+
+
 def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs(doc_id, text), linked by shingles of size words from percent % on.
 
@@ -367,29 +405,30 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Dat
     the same component. Other columns aren't read. A text is held whole, however
     long; an empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(mapped(docs, lambda batches: _signed(batches, size, percent), "doc_id long, n_shingles long, key long, check long, sigs array<long>"), "jaccard-signed")
-    signed, by_key = by_set(signed)
-    sets = signed.where("n_shingles > 0")
-    candidates = components(signature_edges(sets, by_key)).withColumnRenamed("node", "key")
-    candidates = candidates.join(by_key, "key").select("root", "key", F.col("rep").alias("_id"), "n_shingles")
-    links = group_links(docs, cut(candidates.join(_blocks(candidates, "blocks"), "root")), size, percent)
-    parts = components(links)
-    joined = parts.join(by_key.select(F.col("key").alias("node"), "rep"), "node")
-    least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = joined.join(least, "root").select(F.col("node").alias("key"), "component_id")
-    named = by_key.select("key", "rep").join(named, "key", "left").select(F.col("key").alias("_key"), F.coalesce("component_id", "rep").alias("component_id"))
-    alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    # Copies share a key: their rows are dealt out, or meet the keys' table in place.
-    out = spread(sets.select("doc_id", "n_shingles", "key"), cut(named), [("key", "_key")])
-    return out.select("doc_id", "n_shingles", "component_id").union(alone)
+    own = F.when(F.col("component").isNull(), F.col("doc_id")).when(~F.col("component.none"), F.col("component.id"))
+    return _classed(docs, size, percent).select("doc_id", "n_shingles", own.alias("component_id"))
+
+
+_HASH = "_one_of_each_text_hash"
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs without those whose component has a smaller doc_id; all columns stay.
+    """One row of docs for each component, with all its columns: that of the smallest doc_id, ids before none.
 
-    Rows that share a doc_id are one document; rows without one stay.
+    A document is an id and a text, so of several texts under one id each is
+    judged by itself; of rows that repeat both, one stays. Texts without words
+    are near none and all stay.
     """
-    gone = cut(classes(docs, size, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    small = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(small, docs["doc_id"] == gone["_gone"], "left_anti")
+    rows = _classed(docs, size, percent).where("n_shingles > 0").withColumn("first", _row() == F.col("component"))
+    gone = cut(rows.where("NOT first").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct())
+    again = cut(rows.where("first").groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")))
+    hashed = docs.withColumn(_HASH, F.xxhash64(whole(F.col("text"))))
+
+    def meets(df, named, how):
+        small = F.broadcast(named) if named.count() <= BROADCAST_IDS else named
+        return df.join(small, df["doc_id"].eqNullSafe(named["_gone"]) & (df[_HASH] == named["_hash"]), how)
+
+    kept = meets(hashed, gone, "left_anti")
+    if not again.isEmpty():
+        kept = meets(kept, again, "left_anti").union(meets(kept, again, "left_semi").dropDuplicates(["doc_id", _HASH]))
+    return kept.drop(_HASH)
