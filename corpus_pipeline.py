@@ -5,9 +5,10 @@ return the columns of documents. run() writes each stage's rows as Parquet in
 shared storage and reads them again for the next.
 
 In every stage null texts are empty (rated by the model's prior, near no other,
-uncontaminated, of size 0, one end id), rows without an id stay documents of
-their own, repeated rows are judged alike, other columns pass through whatever
-their names, and an empty table stays empty. Texts are taken whole.
+uncontaminated, of size 0, one end id), rows without an id are documents of
+their own, other columns pass through whatever their names, and an empty table
+stays empty. Texts are taken whole. A document is an id and a text: rows that
+repeat both are judged alike, and near duplicates, one row stays of them.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ def rate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedupe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by n-gram similarity, that with the smallest id."""
-    return jaccard.one_of_each(docs)
+    """One document of each group linked by n-gram similarity (5 words, 80 %), that with the smallest id."""
+    return jaccard.one_of_each(docs, 5, 80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
