@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 import contextlib
 import importlib
-import os
 import sys
 import time
 
@@ -102,10 +101,8 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
         log.info(report.stolen_line(row))
     images.export(rows.select("crop_path", "crop"), f"{a.output}/crops", "crop_path", "crop")
     images.export(rows.select("preprocessed_path", "preprocessed"), f"{a.output}/preprocessed", "preprocessed_path", "preprocessed")
-    if "://" not in a.output:
-        placed = detect.batches(out.withColumn("_at", F.struct("image", "crop_path")), key="_at")
-        with open(os.path.join(a.output, "report.html"), "w", encoding="utf-8") as file:
-            file.writelines(report.html_pieces(report.report_rows(placed.drop("_at"), F.col("position")), m, a.execution, a.workers or workers, workers, now))
+    placed = detect.batches(out.withColumn("_at", F.struct("image", "crop_path")), key="_at").drop("_at")
+    report.html_report(report.report_rows(placed, F.col("position")), m, a.output, a.execution, a.workers or workers, workers, now)
     return 0
 
 

@@ -40,6 +40,16 @@ def head(spark: SparkSession, path: str, most: int) -> bytes:
         stream.close()
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a file, over one that is there."""
+    fs, where = _fs(spark, path)
+    out = fs.create(where, True)
+    try:
+        out.write(bytearray(text, "utf-8"))
+    finally:
+        out.close()
+
+
 def make_dirs(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         fs, where = _fs(spark, path)

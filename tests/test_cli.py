@@ -32,7 +32,7 @@ def test_run_and_watchlist(spark, tmp_path, monkeypatch, capsys):
     args = ["run", "--input", str(tmp_path / "in"), "--output", str(tmp_path / "out"), "--watchlist", plates, "--detector", "stub_models:Boxes", "--recogniser", "stub_models:Widths"]
     assert cli.run(spark, cli.parser().parse_args(args)) == 0
     assert sorted((r["plate_text"], r["status"]) for r in results.load(spark, str(tmp_path / "out/results.csv")).collect()) == [("ABC600", "ROUBADO"), ("ABC700", "OK")]
-    assert "ABC700" in (tmp_path / "out/report.html").read_text() and len(list((tmp_path / "out/crops").iterdir())) == 2
+    assert (tmp_path / "out/report.html").exists() and "ABC700" in (tmp_path / "out/pages/page-000000000.js").read_text() and len(list((tmp_path / "out/crops").iterdir())) == 2
     assert results.load_runs(spark, str(tmp_path / "out/runs")).count() == 1
     keep("demo", "2")
     keep("remove", "abc700", "nothing")

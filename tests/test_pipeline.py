@@ -1,10 +1,13 @@
 import json
 import os
+import shutil
+import subprocess
 import sys
 
 import numpy as np
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from roadgrid import config as C
@@ -76,8 +79,10 @@ def test_reports(spark, folder, tmp_path):
     rows = pipeline.results(pipeline.run(images.decoded(spark, folder), plates, Boxes, Widths)).withColumn("image", F.concat("image", F.lit("</script>")))
     m = metrics.run_metrics(rows).first()
     assert (m["total_images"], m["roubado_count"], m["images_with_plate"]) == (6, 1, 3)
-    page = report.html_report(report.report_rows(rows, F.monotonically_increasing_id() + 1), m, "parallel", 2, 2, "now")
-    assert "ABC600" in page and "a.png</script>" not in page
+    numbered = rows.withColumn("n", F.row_number().over(Window.orderBy("image")))
+    assert report.html_report(report.report_rows(numbered, F.col("n")), m, str(tmp_path / "report"), "parallel", 2, 2, "now") == 1
+    shell, page = (tmp_path / "report/report.html").read_text(), (tmp_path / "report/pages/page-000000000.js").read_text()
+    assert "ABC600" in page and "a.png</script>" not in page and "ALERTA: 1 " in shell and "ABC600" not in shell
     assert "ROUBADO" in report.summary(m, "serial", 1, 1, 0.5, tty=False)
     path = str(tmp_path / "r.csv")
     results.save(rows, path)
@@ -94,17 +99,78 @@ def test_reports(spark, folder, tmp_path):
     assert results.load_runs(spark, log).count() == 2
 
 
-def test_report_has_all_rows(spark):
-    n = 20_500
-    status = F.when(F.col("id") % 5000 == 4999, C.STOLEN).when(F.col("id") == n - 1, C.STOLEN).otherwise(C.OK)
-    rows = spark.range(n).select(F.format_string("%06d.png", "id").alias("image"), F.format_string("P%06d", "id").alias("plate_text"), status.alias("status"), "id")
-    rows = pipeline.results(rows)
-    m = metrics.run_metrics(rows).first()
-    page = report.html_report(report.report_rows(rows.withColumn("id", F.substring("image", 1, 6).cast("long")), F.col("id") + 1), m, "parallel", 2, 2, "now")
-    alert = page[page.index("ALERTA: ") : page.index("</section>")]
-    assert alert.startswith("ALERTA: 5 ") and alert.count("<li>") == m["roubado_count"] == 5 and f"{n - 1:06d}.png" in alert
-    shown = json.loads(page[page.index('id="rows">') + 10 : page.index("</script>")])
-    assert [r["idx"] for r in shown] == list(range(n)) and shown[-1]["plate_text"] == f"P{n - 1:06d}"
+def handed_over(path):
+    """What a script of the report hands over."""
+    kind, number, value = path.read_text().removeprefix("arrived('").removesuffix(");").split(",", 2)
+    return kind.removesuffix("'"), int(number), json.loads(value)
+
+
+@pytest.fixture(scope="module")
+def written_report(spark, tmp_path_factory):
+    """A report of 2,050 rows on pages of 100."""
+    n, folder = 2050, tmp_path_factory.mktemp("report")
+    status = F.when(F.col("id") % 500 == 499, C.STOLEN).when(F.col("id") == n - 1, C.STOLEN).otherwise(C.OK)
+    name = F.when(F.col("id") == 7, "Füße \U0001f697 7.PNG").otherwise(F.format_string("img_%06d.png", "id"))
+    rows = spark.range(n).select(name.alias("image"), F.format_string("P%06d", "id").alias("plate_text"), status.alias("status"), (F.col("id") + 1).alias("n"))
+    m = metrics.run_metrics(pipeline.results(rows)).first()
+    numbered = pipeline.results(rows).withColumn("n", F.substring("plate_text", 2, 6).cast("long") + 1)
+    assert report.html_report(report.report_rows(numbered, F.col("n")), m, str(folder), "parallel", 2, 2, "now", 100) == 21
+    return folder, n
+
+
+def test_report_has_all_rows(written_report):
+    folder, n = written_report
+    shell = (folder / "report.html").read_text()
+    assert "ALERTA: 5 " in shell and "P000499" not in shell and "const PAGES = 21" in shell
+    pages = sorted(handed_over(p)[1:] for p in (folder / "pages").glob("page-*.js"))
+    assert [k for k, _ in pages] == list(range(21)) and max(len(p) for _, p in pages) == 100
+    assert [r["idx"] for _, p in pages for r in p] == list(range(n)) and pages[-1][1][-1]["plate_text"] == f"P{n - 1:06d}"
+    index = {g: on for p in (folder / "pages").glob("index-*.js") for g, on in handed_over(p)[2].items()}
+    for k, p in pages:
+        for r in p:
+            for t in (r["plate_text"].lower(), r["image"].lower()):
+                assert all(not index[t[i : i + 3]] or k in index[t[i : i + 3]] for i in range(len(t) - 2))
+    assert index["img"] == [] and index["🚗 7"] == [0] == index["füß"]
+    assert handed_over(folder / "pages/status-000000000.js")[2][C.STOLEN] == [4, 9, 14, 19, 20]
+
+
+def test_report_search_finds_all_rows(written_report):
+    node = shutil.which("node") or shutil.which("nodejs")
+    if node is None:
+        pytest.skip("no JavaScript here")
+    folder, n = written_report
+    asked = [["all", ""], ["all", "P001234"], ["all", "p0012"], [C.STOLEN, ""], [C.STOLEN, "499"], ["all", "1499"], ["all", "FÜSSE"], ["all", "füße 🚗"], ["all", "9"], [C.ERROR, ""], ["all", "none such"]]
+    code = """
+const fs = require('fs'), PAGES = 21, SHARDS = %d, read = new Set();
+let got;
+const arrived = (kind, number, value) => { got = value; };
+const get = async (kind, number) => {
+  const file = process.argv[2] + '/pages/' + kind + '-' + String(number).padStart(9, '0') + '.js';
+  if (kind === 'page') read.add(number);
+  if (!fs.existsSync(file)) return kind === 'page' ? [] : {};
+  eval(fs.readFileSync(file, 'utf8'));
+  return got;
+};
+%s
+(async () => {
+  const out = [];
+  for (const [status, query] of JSON.parse(process.argv[3])) {
+    const found = [];
+    read.clear();
+    for await (const r of search(get, PAGES, status, query)) found.push(r.idx);
+    out.push([found, read.size]);
+  }
+  console.log(JSON.stringify(out));
+})();
+""" % (report.SHARDS, report.SEARCH)
+    (folder / "search.js").write_text(code)
+    done = subprocess.run([node, str(folder / "search.js"), str(folder), json.dumps(asked)], capture_output=True, text=True, timeout=60)
+    assert done.returncode == 0, done.stderr
+    rows = [r for _, p in sorted(handed_over(p)[1:] for p in (folder / "pages").glob("page-*.js")) for r in p]
+    for (status, query), (found, read) in zip(asked, json.loads(done.stdout)):
+        want = [r["idx"] for r in rows if status in ("all", r["status"]) and (query.lower() in r["plate_text"].lower() or query.lower() in r["image"].lower())]
+        assert found == want, (status, query)
+        assert read <= 21 and (query != "P001234" or read == 1) and (query != "none such" or read == 0)
 
 
 def test_empty_run(spark):
