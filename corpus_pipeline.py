@@ -26,8 +26,12 @@ def rate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedupe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by n-gram similarity (5 words, 80 %), that with the smallest id."""
-    return jaccard.one_of_each(docs, 5, 80)
+    """One document of each group linked by n-gram similarity, that with the smallest id.
+
+    3 words and 90 %, as in op3's query: at 5 words and 80 % the method's
+    signatures don't fit the disk (README has what the check tool measured).
+    """
+    return jaccard.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
