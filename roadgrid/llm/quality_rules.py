@@ -12,7 +12,7 @@ WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 10
 #: A line goes when over LINE_DOCS documents of a host have it and these are over LINE_PERCENT of the host's documents.
-LINE_DOCS = 20
+LINE_DOCS = 3
 LINE_PERCENT = 1
 #: A document goes when over this share of its words was in such lines, or fewer than MIN_WORDS are left.
 DEPLETED_PERCENT = 50

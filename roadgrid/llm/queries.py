@@ -196,9 +196,11 @@ WITH RECURSIVE src AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS pos FROM d
 ), marked AS (
   SELECT conv_id, turn, pos, role, text, role[1:1] AS init, CASE WHEN rtrim(text, e' 	
-') = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+
+') = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
     WHEN rtrim(text, e' 	
-')[-1:] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+
+')[-1:] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
     lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM placed
 ), told AS (
   SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
@@ -355,7 +357,7 @@ WITH d AS (
   SELECT host, count(*) AS host_docs FROM once GROUP BY host
 ), often AS (
   SELECT f.host, f.norm FROM (SELECT DISTINCT doc_id, host, text, norm FROM full_line) f JOIN hosts h ON f.host IS NOT DISTINCT FROM h.host
-  GROUP BY f.host, f.norm, h.host_docs HAVING count(*) > 20 AND 100 * count(*) > h.host_docs
+  GROUP BY f.host, f.norm, h.host_docs HAVING count(*) > 3 AND 100 * count(*) > h.host_docs
 ), gone AS (
   SELECT f.doc_id, f.host, f.text, sum(length(f.norm) - length(replace(f.norm, ' ', '')) + 1)::BIGINT AS n FROM full_line f
   JOIN often o ON f.norm = o.norm AND f.host IS NOT DISTINCT FROM o.host GROUP BY ALL
