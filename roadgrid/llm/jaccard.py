@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadgrid.llm.graph import components
+from roadgrid.llm.hashes import BASE, CHUNK, M64, mix, powers
 from roadgrid.llm.store import NUMBER_ROWS, cut, mapped, written
 from roadgrid.llm.text import fits, spread, whole
 
@@ -31,36 +32,10 @@ PERCENT = 90
 BLOCK_SHINGLES = 1_500_000
 #: Candidate documents whose ids (rows of some 64 bytes) are broadcast to the texts; more of them are joined by shuffle.
 BROADCAST_IDS = 500_000
-#: Bytes of text that are hashed at once.
-CHUNK = 1 << 18
 #: Bytes up to which a word's hash is a polynomial modulo 2 ** 64. Such polynomials of long strings can be equal by
 #: construction (Thue-Morse words from 1024 bytes on, for any base), so longer words get a digest each.
 POLYNOMIAL_BYTES = 64
 
-M64 = (1 << 64) - 1
-BASE = 0x9E3779B97F4A7C15
-_powers: dict = {}
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """splitmix64's finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and BASE ** -i modulo 2 ** 64 for i below n or more."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, CHUNK + 4096)
-        for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            np.multiply.accumulate(x, out=x)
-            _powers[name] = x
-    return _powers["up"], _powers["down"]
-
-
 def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of texts that lie end to end in data, A-Z lower-cased, and the number of words before each text and in all."""
     if not len(data):

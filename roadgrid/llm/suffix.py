@@ -21,12 +21,10 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadgrid.llm import jaccard
-from roadgrid.llm.jaccard import mix, powers
+from roadgrid.llm.hashes import BASE, mix, powers
 from roadgrid.llm.store import mapped, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
-cloudpickle.register_pickle_by_value(jaccard)
 
 SPAN = 400
 GRAM = 32
@@ -145,7 +143,7 @@ def anchors(data: np.ndarray):
     if n < SPAN:
         return None
     up, down = powers(n + 1)
-    codes = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(jaccard.BASE))
+    codes = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
     run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes[data] * up[:n], dtype=np.uint64)))
     m, w = n - GRAM + 1, SPAN - GRAM + 1
     h = mix((run[GRAM:] - run[:-GRAM]) * down[:m])
@@ -431,6 +429,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     hits = found.join(verdicts, ["anchor", "context"]).select("doc_id", "text_hash", "place", "lo", "hi", F.explode("spans").alias("s"))
     first, last = F.coalesce(F.col("place") - F.col("s.b"), "lo"), F.coalesce(F.col("place") - F.col("s.a"), "hi")
     ranges = hits.select("doc_id", "text_hash", F.struct(first.alias("a"), (last + SPAN).alias("b")).alias("r"))
-    ranges = ranges.groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).agg(F.collect_list("r").alias("ranges"))
+    # Equal rows have equal ranges: a set is the same for one of them and for very many.
+    ranges = ranges.groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).agg(F.collect_set("r").alias("ranges"))
     done = docs.join(ranges, same, "left").select("doc_id", "text", "ranges")
     return mapped(done, _cleaned, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start long, end long>>")

@@ -2,8 +2,11 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -244,3 +247,47 @@ def test_the_bound_ends_a_search_early():
     block.typed = lambda exact: counted
     scores, found = topk.threshold(block, cells[-1], len(cells) - 1, (np.empty(0), np.empty(0, np.int64)))
     assert counted.scored < 200 and sorted(-scores) == sorted(-(cells[:-1] @ cells[-1]))[:10]
+
+
+# --- workers without the package ------------------------------------------------------------------
+
+
+ALONE = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+from roadgrid.llm import jaccard, repair, suffix, topk, trie
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+
+def there(batches):
+    import importlib.util
+    for b in batches:
+        assert importlib.util.find_spec("roadgrid") is None
+        yield b
+
+spark.range(3).mapInArrow(there, "id long").collect()
+docs = spark.createDataFrame([(k, "some words that repeat " * 40 + "x" * (k % 2)) for k in range(4)], "doc_id long, text string")
+assert suffix.repeated(docs).where("n_removed > 0").count() == 4
+assert jaccard.classes(docs).count() == 4
+talk = spark.createDataFrame([(k, t, "user", "a.") for k in range(12) for t in range(2)], "conv_id long, turn long, role string, text string")
+assert trie.trie(talk).count() > 0 and repair.repair(talk).count() == 12
+rows = topk.vectors(spark.createDataFrame([(k, [1.0, float(k)]) for k in range(5)], "vec_id long, embedding array<double>"))
+assert topk.search(rows.where("vec_id = 0"), rows).count() == 4
+"""
+
+
+def test_workers_need_no_package(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "SPARK_HOME")}
+    done = subprocess.run([sys.executable, "-c", ALONE, root], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-3000:]
+
+
+def test_many_equal_rows_take_time_in_proportion(spark):
+    """Every equal row's ranges are the same few, so 40 times the rows can't take 40 times 40 times the time."""
+    from roadgrid.llm import suffix
+
+    text = "".join(f"{k} words of a text without repeats of its own; " for k in range(45))
+    rows = spark.range(8000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text")).repartition(4)
+    got = suffix.repeated(rows).agg(F.min("n_removed").alias("least"), F.max("n_removed").alias("most"), F.max("n_spans").alias("spans"), F.count("*").alias("n")).first()
+    assert tuple(got) == (len(text), len(text), 1, 8000)
