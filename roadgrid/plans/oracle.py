@@ -109,6 +109,10 @@ ORACLE_SQL = {
     "watchlist_list": _with(_LIST, "SELECT plate FROM listed ORDER BY plate"),
     "watchlist_raw_list": _with(_LIST, "SELECT DISTINCT upper(trim(value)) AS plate FROM raw WHERE trim(value) <> ''"),
     "detected_plates": _with(_LIST, "SELECT DISTINCT plate_text AS plate FROM matched WHERE status IN ('OK', 'ROUBADO')"),
+    "html_escaped": _with(
+        _LIST,
+        r"""SELECT id, '{"id":' || id || ',"image":"' || image || '","error":"' || CASE WHEN id % 4 = 0 THEN 'YOLO: \"' || image || '\",\n  line 2, ' || plate_text || '<\/script>' ELSE '' END || '"}' AS j FROM matched""",
+    ),
     "results_csv": _with(
         _LIST,
         "SELECT CASE WHEN id % 4 = 0 THEN 'YOLO: \"' || image || '\",' || chr(10) || '  line 2, ' || plate_text ELSE '' END AS error, status, image, plate_text, id / 8.0::DOUBLE AS ocr_confidence, id % 3 AS worker_id, id % 2 = 0 AS plate_detected FROM matched",

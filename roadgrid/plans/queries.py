@@ -260,8 +260,14 @@ def demo_sample(spark, d):
 @query
 def no_plate_preview(spark, d):
     missing = detect.without_detection(X_.images(spark, d), detect.best(X_.boxes(spark, d)))
-    names, more = report.no_plate_preview(missing.select(F.concat(F.lit("img_"), F.lpad(F.col("image").cast("string"), 12, "0")).alias("image")))
-    return names.withColumn("more", F.lit(more).cast("long"))
+    return report.no_plate_preview(missing.select(F.concat(F.lit("img_"), F.lpad(F.col("image").cast("string"), 12, "0")).alias("image")))
+
+
+@query
+def html_escaped(spark, d):
+    """Rows of the report as they stand in its scripts: a text that ends a script element doesn't, quotes and line breaks are escaped."""
+    rows = _csv(spark, d).withColumn("error", F.when(F.col("error") != "", F.concat("error", F.lit("</script>"))).otherwise(""))
+    return rows.select("id", X.json_row("id", "image", "error").alias("j"))
 
 
 @query

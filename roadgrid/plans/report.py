@@ -40,11 +40,11 @@ def search(rows: DataFrame, status: str = "all", query: str = "") -> DataFrame:
     return rows.where(F.contains(F.lower("plate_text"), wanted) | F.contains(F.lower("image"), wanted))
 
 
-def no_plate_preview(images: DataFrame, key: str = "image", n: int = 6) -> tuple[DataFrame, int]:
-    """The first n names, cut to 48 characters, and how many more there are."""
-    total = images.count()
+def no_plate_preview(images: DataFrame, key: str = "image", n: int = 6) -> DataFrame:
+    """name, more: the first n names, cut to 48 characters, and how many more there are. Nothing runs until rows are asked for."""
+    total = images.agg(F.count("*").alias("n")).scalar()
     names = images.orderBy(key).limit(n).select(X.clipped(F.col(key), 48).alias("name"))
-    return names, max(0, total - n)
+    return names.withColumn("more", F.greatest(total - n, F.lit(0)).cast("long"))
 
 
 def paint(text: str, colour: str, tty: bool | None = None) -> str:
