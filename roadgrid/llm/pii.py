@@ -179,6 +179,18 @@ def trusted_patterns(edges: DataFrame, totals: DataFrame, rounds: int | None = N
     return patterns
 
 
+def able(edges: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """pattern: those of edges(pattern, word, seed) that can come to be trusted; written.
+
+    A trusted pattern stands before as many words that are trusted, so one with
+    fewer different words never is, and none is where no pattern has as many
+    seeds: the first round would trust nothing.
+    """
+    words = edges.groupBy("pattern", "word").agg(F.max("seed").alias("seed")).groupBy("pattern").agg(F.count("*").alias("words"), F.count_if("seed").alias("seeds"))
+    found = cut(words.where(F.col("words") >= support))
+    return (found.where("false") if found.where(F.col("seeds") >= support).isEmpty() else found).select("pattern")
+
+
 def find(docs: DataFrame, rounds: int | None = None, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """doc_id, base, more (arrays of struct<kind, start, end>) of every row of docs(doc_id, text).
 
@@ -194,7 +206,8 @@ def find(docs: DataFrame, rounds: int | None = None, confidence: float = CONFIDE
     each = rows.where(F.size("candidates") > 0).select("doc_id", "_t", F.explode("candidates").alias("c")).select("doc_id", "_t", "c.*")
     placed = each.withColumn("pattern", F.explode("patterns")).drop("patterns")
     edges = placed.select("pattern", "word", F.col("seed").isNotNull().alias("seed"))
-    patterns = trusted_patterns(edges, occurrences(docs, cut(edges.select("pattern").distinct())), rounds, confidence, support)
+    wide = able(edges, support)
+    patterns = trusted_patterns(edges.join(wide, "pattern", "left_semi"), occurrences(docs, wide), rounds, confidence, support) if not wide.isEmpty() else wide
     patterns = F.broadcast(patterns) if patterns.count() <= BROADCAST_PATTERNS else patterns
     span = F.struct(F.lit(CONTEXT).alias("kind"), "start", "end")
     more = placed.where("NOT covered").join(patterns, "pattern").groupBy("doc_id", "_t").agg(F.sort_array(F.collect_set(span)).alias("more"))
