@@ -88,7 +88,8 @@ def ranked(links: DataFrame, near: list[str], last: int = LAST, arcs: int = ARCS
             release(spark, left_table)
         left, left_table, round_ = kept, kept, round_ + 1
         levels.append(met)
-    pos = written(mapped(left.coalesce(1), _contract, CONTRACTED, NUMBER_ROWS).select("arc", F.col("off").alias("pos")), "ranks")
+    # A shuffle, so that the tables are read by many tasks and one gets only what is left.
+    pos = written(mapped(left.repartition(1), _contract, CONTRACTED, NUMBER_ROWS).select("arc", F.col("off").alias("pos")), "ranks")
     for level in reversed(levels):
         gone = level.where("into IS NOT NULL").select("arc", "into", "off")
         back = gone.join(pos.select(F.col("arc").alias("into"), "pos"), "into").select("arc", (F.col("pos") + F.col("off")).alias("pos"))
