@@ -6,6 +6,11 @@ largest sizes. The elements' domain is split into n1 * 3 partitions by the
 high bits of their hashes; for each of the n1 first-level groups, every 2 of its
 3 partitions give a signature. With n1 = ceil((k + 1) / 2) some group has at most
 one difference, so two of its partitions agree and the pair shares a signature.
+
+Signatures are made of the sets that may have a partner at all. A shingle that
+stands in one set only is missing from any partner, and a set of which more than
+100 - PERCENT % is missing from all others links with none. Counting them among a
+part of the shingles can only find fewer, so no set with a link is left out.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from pyspark.sql import functions as F
 
 from roadgrid.llm.graph import components
 from roadgrid.llm.hashes import BASE, CHUNK, M64, mix, powers
-from roadgrid.llm.store import NUMBER_ROWS, cut, mapped, written
+from roadgrid.llm.store import NUMBER_ROWS, cut, mapped, release, written
 from roadgrid.llm.text import fits, spread, whole
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -35,6 +40,9 @@ BROADCAST_IDS = 500_000
 #: Bytes up to which a word's hash is a polynomial modulo 2 ** 64. Such polynomials of long strings can be equal by
 #: construction (Thue-Morse words from 1024 bytes on, for any base), so longer words get a digest each.
 POLYNOMIAL_BYTES = 64
+#: Part of the shingles that are counted, as a multiple of the part that linked sets may lack.
+COUNTED = 1.5
+
 
 def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of texts that lie end to end in data, A-Z lower-cased, and the number of words before each text and in all."""
@@ -93,7 +101,11 @@ def differences(r: int, s: int, percent: int = PERCENT) -> int:
 def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The signatures of a sorted set, for every band in which it may meet a partner.
 
-    A pair belongs to the band of its smaller set.
+    A pair belongs to the band of its smaller set. Signatures of partitions
+    without an element say nothing and would bring sets together that share
+    nothing. With `spare` first-level groups more than needed, linked sets agree
+    in spare + 1 groups; so a set with such signatures in at most `spare` groups
+    does without them and still meets each partner elsewhere. Others keep all.
     """
     n, out, low = len(s), [], 1
     if not n:
@@ -103,13 +115,18 @@ def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         most = max(low, low * 5 // 4)
         apart_by = differences(most, 100 * most // percent, percent)
         if 100 * most >= percent * n and apart_by:  # where no element may differ, only equal sets link, and those are one class
-            groups = -(-(apart_by + 1) // 2)
+            needed = -(-(apart_by + 1) // 2)
+            spare = 1 + needed // 8
+            groups = needed + spare
             cuts = np.arange(1, 3 * groups, dtype=np.float64) * (2.0**64 / (3 * groups))
             at = np.concatenate(([0], np.searchsorted(s, cuts.astype(np.uint64)), [n]))
             part = (sums[at[1:]] - sums[at[:-1]]).reshape(groups, 3)
+            held = np.diff(at).reshape(groups, 3)
             tag = mix(np.arange(3 * groups, dtype=np.uint64) + np.uint64(low << 32)).reshape(groups, 3)
             other = np.roll(part, -1, axis=1)
-            out.append(mix(part * np.uint64(0xE7037ED1A0B428DB) + other * np.uint64(0x8EBC6AF09C88C6E3) + tag).ravel())
+            sigs = mix(part * np.uint64(0xE7037ED1A0B428DB) + other * np.uint64(0x8EBC6AF09C88C6E3) + tag)
+            blank = held + np.roll(held, -1, axis=1) == 0
+            out.append(sigs[~blank] if blank.any(axis=1).sum() <= spare else sigs.ravel())
         low = most + 1
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
@@ -206,19 +223,31 @@ def linked(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
 
 
 def _signed(batches, size: int = SHINGLE, percent: int = PERCENT):
-    out = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.int64()), ("check", pa.int64()), ("sigs", pa.list_(pa.int64()))])
+    """Each row's set: its size, keys and, where it may have a partner of another set, the shingles that are counted."""
+    out = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.int64()), ("check", pa.int64()), ("counted", pa.list_(pa.int64()))])
+    limit = np.uint64(min(1.0, COUNTED * (100 - percent) / 100) * (2.0**64 - 2**11))
     for batch in batches:
-        n, keys, checks, sigs, ends = [], [], [], [], [0]
+        n, keys, checks, counted, ends = [], [], [], [], [0]
         for s in sets_of(batch.column(2), size):
             n.append(len(s))
             keys.append(set_key(s))
             checks.append(set_check(s))
-            sigs.append(signatures(s, percent).view(np.int64))
-            ends.append(ends[-1] + len(sigs[-1]))
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sigs) if sigs else np.empty(0, np.int64)))
+            counted.append(s[: np.searchsorted(s, limit, "right") if differences(len(s), 100 * len(s) // percent, percent) else 0].view(np.int64))
+            ends.append(ends[-1] + len(counted[-1]))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(counted) if counted else np.empty(0, np.int64)))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), lists], schema=out)
 
 
+def _enumerated(batches, size: int = SHINGLE, percent: int = PERCENT):
+    """(key, text) and the signatures of the text's set."""
+    out = pa.schema([("key", pa.int64()), ("sigs", pa.list_(pa.int64()))])
+    for batch in batches:
+        sigs = [signatures(s, percent).view(np.int64) for s in sets_of(batch.column(1), size)]
+        ends = np.concatenate(([0], np.cumsum([len(s) for s in sigs])))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sigs) if sigs else np.empty(0, np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists], schema=out)
+
+
 def _chained(batches):
     """Neighbours of rows sorted by (sig, key) that share the signature; and the first and last row of the partition."""
     out = pa.schema([("sig", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
@@ -261,21 +290,49 @@ def _row() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash").alias("text_hash"))
 
 
-def signature_edges(signed: DataFrame, by_key: DataFrame) -> DataFrame:
-    """a, b: keys that share a signature, chained in order.
+def partnered(signed: DataFrame, by_key: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """by_key of the sets that may have a partner: those with not too many shingles that no other such set has.
 
-    Only the signatures of a set's first document are dealt out, so copies
-    neither meet nor have to be made distinct. Ranges of (sig, key) split a
-    frequent signature over tasks; the ends of the ranges, two rows each, are
-    chained in a second step.
+    A shingle's least and greatest key tell whether it has one set; both are
+    aggregated before the shuffle, so a frequent shingle doesn't meet in one
+    task. Only a set's first document is counted. What only stands in sets that
+    were left out is again missing from any partner, so counting is repeated
+    among the sets left, as long as a tenth of them go. Sets too small to differ
+    in one shingle only link with equal ones, which are one set already.
+    """
+    # The most by which sets may differ is (100 - p)(n + 100 n / p) / (100 + p) for the larger partner, at least 1.
+    able = F.floor(F.lit(100 - percent) * (F.col("n_shingles") + F.floor(F.col("n_shingles") * 100 / F.lit(percent))) / F.lit(100 + percent)) >= 1
+    left = cut(by_key.where(able))
+    n, before = left.count(), None
+    while before is None or 10 * n < 9 * before:
+        first = left.select(F.col("key").alias("_key"), "rep")
+        first = F.broadcast(first) if fits(first) else first
+        one = signed.join(first, (F.col("key") == F.col("_key")) & (_row() == F.col("rep")), "left_semi")
+        shingles = one.select(F.explode("counted").alias("shingle"), "key")
+        own = shingles.groupBy("shingle").agg(F.min("key").alias("key"), F.max("key").alias("other")).where("key = other").groupBy("key").agg(F.count("*").alias("own"))
+        rest = cut(left.join(own, "key", "left").where(F.lit(100) * F.coalesce("own", F.lit(0)) <= F.lit(100 - percent) * F.col("n_shingles")).drop("own"))
+        release(signed.sparkSession, left)
+        left, before, n = rest, n, rest.count()
+    return left
+
+
+def signature_edges(docs: DataFrame, partners: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """a, b: keys of partners(key, rep) that share a signature, chained in order.
+
+    Only a set's first document in docs(doc_id, text_hash, text) has signatures,
+    so copies neither meet nor have to be made distinct. Ranges of (sig, key)
+    split a frequent signature over tasks; the ends of the ranges, two rows
+    each, are chained in a second step.
     """
-    first = by_key.select(F.col("key").alias("_key"), "rep")
-    first = F.broadcast(first) if fits(first) else first
-    one = signed.join(first, (F.col("key") == F.col("_key")) & (_row() == F.col("rep")), "left_semi")
-    rows = one.select(F.explode("sigs").alias("sig"), "key")
+    named = partners.select("key", "rep")
+    small = F.broadcast(named) if named.count() <= BROADCAST_IDS else named
+    texts = docs.withColumn("_row", _row()).join(small, F.col("_row") == F.col("rep")).select("key", "text")
+    signed = cut(mapped(texts, lambda batches: _enumerated(batches, size, percent), "key long, sigs array<long>"))
+    rows = signed.select(F.explode("sigs").alias("sig"), "key")
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = rows.repartitionByRange(n, "sig", "key").sortWithinPartitions("sig", "key")
     chained = cut(mapped(ranged, _chained, "sig long, a long, b long", NUMBER_ROWS).distinct())
+    release(rows.sparkSession, signed)
     ends = chained.where("a = b").select("sig", F.col("a").alias("key"))
     heads = ends.groupBy("sig").agg(F.min("key").alias("a"))
     return chained.where("a <> b").select("a", "b").union(ends.join(heads, "sig").where("a <> key").select("a", F.col("key").alias("b")))
@@ -353,10 +410,10 @@ def by_set(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _classed(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, text_hash, n_shingles, component of every row: the least _row() of the component, null for an empty set."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole(F.col("text"))).alias("text_hash"), "text")
-    signed = written(mapped(docs, lambda batches: _signed(batches, size, percent), "doc_id long, text_hash long, n_shingles long, key long, check long, sigs array<long>"), "jaccard-signed")
+    signed = written(mapped(docs, lambda batches: _signed(batches, size, percent), "doc_id long, text_hash long, n_shingles long, key long, check long, counted array<long>"), "jaccard-signed")
     signed, by_key = by_set(signed)
     sets = signed.where("n_shingles > 0")
-    candidates = components(signature_edges(sets, by_key)).withColumnRenamed("node", "key")
+    candidates = components(signature_edges(docs, partnered(sets, by_key, percent), size, percent)).withColumnRenamed("node", "key")
     candidates = candidates.join(by_key, "key").select("root", "key", F.col("rep").alias("_id"), "n_shingles")
     links = group_links(docs, cut(candidates.join(_blocks(candidates, "blocks"), "root")), size, percent)
     parts = components(links)
