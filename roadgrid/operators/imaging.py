@@ -15,6 +15,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BLUE, GREEN, RED = 0.114, 0.587, 0.299
 MIN_HEIGHT = 100
 CLIP, TILES = 2.0, 4
+PIXELS_A_TASK = 1 << 18
 
 
 def grey(b: Column, g: Column, r: Column) -> Column:
@@ -46,6 +47,11 @@ def otsu_thresholds(pixels: DataFrame, image: str = "image", value: str = "value
     return sums.groupBy(image).agg(best.alias("m")).select(image, (-F.col("m.back")).alias("threshold"))
 
 
+def _dealt(pixels: DataFrame, rows: int) -> DataFrame:
+    """pixels, whole images together, in as many partitions as their number of rows asks for: a task's memory doesn't grow with the table."""
+    return pixels.repartition(rows // PIXELS_A_TASK + 1, "image")
+
+
 def _sized(pixels: DataFrame) -> DataFrame:
     """image, h, w: one row an image."""
     return pixels.groupBy("image").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
@@ -115,36 +121,51 @@ def equalised(pixels: DataFrame, clip: float = CLIP, tiles: int = TILES) -> Data
     return four.select("image", "y", "x", F.greatest(F.lit(0), F.least(F.lit(255), F.rint(value))).cast("int").alias("value"))
 
 
-def taps(sizes: DataFrame) -> DataFrame:
-    """Of sizes(size, new): size, new, at (the new place), source, weight. At most four sources a place; those beyond the edge are the edge."""
-    each = sizes.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("new") - 1)))
-    place = (F.col("at") + 0.5) * F.col("size") / F.col("new") - 0.5
-    each = each.withColumns({"place": place, "base": F.floor(place)}).withColumn("k", F.explode(F.sequence(F.lit(-1), F.lit(2))))
-    d, a = F.abs(F.col("place") - (F.col("base") + F.col("k"))), -0.75
-    near, far = (a + 2) * d * d * d - (a + 3) * d * d + 1, a * d * d * d - 5 * a * d * d + 8 * a * d - 4 * a
-    source = F.greatest(F.lit(0), F.least(F.col("size") - 1, F.col("base") + F.col("k"))).cast("int")
-    weights = each.select("size", "new", "at", source.alias("source"), F.when(d <= 1, near).otherwise(far).alias("weight"))
-    return weights.groupBy("size", "new", "at", "source").agg(F.sum("weight").alias("weight"))
+def taps(size: Column, new: Column) -> Column:
+    """For each new place, four sources s0 to s3 and their weights w0 to w3; those beyond the edge are the edge."""
+    a = -0.75
+    near = lambda d: (a + 2) * d * d * d - (a + 3) * d * d + 1
+    far = lambda d: a * d * d * d - 5 * a * d * d + 8 * a * d - 4 * a
+    exact = F.transform(F.sequence(F.lit(0), new - 1), lambda at: (at + 0.5) * size / new - 0.5)
+    based = F.transform(exact, lambda e: F.struct(e.alias("e"), F.floor(e).cast("int").alias("b")))
+    apart = F.transform(based, lambda p: F.struct(p["b"].alias("b"), *[F.abs(p["e"] - (p["b"] + (k - 1))).alias(f"d{k}") for k in range(4)]))
+    source = lambda p, k: F.greatest(F.lit(0), F.least(size - 1, p["b"] + (k - 1))).alias(f"s{k}")
+    weight = lambda p, k: (near if k in (1, 2) else far)(p[f"d{k}"]).alias(f"w{k}")
+    return F.transform(apart, lambda p: F.struct(*[f(p, k) for k in range(4) for f in (source, weight)]))
+
+
+def _values(cells: Column, h: Column, w: Column) -> Column:
+    """The values of sorted cells(y, x, value) by y * w + x: sums of those at one place, 0 where there is none."""
+    complete = (F.size(cells) == h * w) & F.forall(F.transform(cells, lambda c, i: c["y"] * w + c["x"] == i), lambda ok: ok)
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    lines = F.transform(upto(h), lambda y: F.filter(cells, lambda c: c["y"] == y))
+    at = lambda line, x: F.aggregate(F.filter(line, lambda c: c["x"] == x), F.lit(0.0), lambda s, c: F.coalesce(s + c["value"], s))
+    summed = F.flatten(F.transform(lines, lambda line: F.transform(upto(w), lambda x: at(line, x))))
+    return F.when(complete, F.transform(cells, lambda c: c["value"])).otherwise(summed)
 
 
 def enlarged(pixels: DataFrame, least: int = MIN_HEIGHT) -> DataFrame:
     """image, y, x, value: upscale() of every image of pixels(image, y, x, value), grey values, which has every pixel once.
 
-    Rows, then columns: each a join with the weights, which are a few rows for
-    every different size of an image, and a sum over four.
+    Low images become one row each, from which new lines, then their pixels are
+    made one by one: nothing larger than the input is grouped or sorted.
     """
-    dims = _sized(pixels)
-    width = F.greatest(F.lit(1), F.floor(F.col("w") * (F.lit(least) / F.col("h")))).cast("int")
-    dims = dims.where(F.col("h") < least).select("image", F.col("h").alias("size_y"), F.lit(least).alias("new_y"), F.col("w").alias("size_x"), width.alias("new_x"))
-    rows = pixels.join(dims, "image").withColumn("value", F.col("value").cast("double"))
-    for c, other in (("y", "x"), ("x", "y")):
-        weights = taps(dims.select(F.col(f"size_{c}").alias("size"), F.col(f"new_{c}").alias("new")).distinct())
-        weights = weights.select(F.col("size").alias(f"size_{c}"), F.col("new").alias(f"new_{c}"), F.col("source").alias(c), "at", "weight")
-        kept = ["image", "size_y", "new_y", "size_x", "new_x", other]
-        summed = rows.join(weights, [f"size_{c}", f"new_{c}", c]).groupBy(*kept, "at").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
-        rows = summed.withColumnRenamed("at", c)
-    made = rows.select("image", "y", "x", F.greatest(F.lit(0), F.least(F.lit(255), F.rint("value"))).cast("int").alias("value"))
-    return made.union(pixels.join(dims, "image", "left_anti").select("image", "y", "x", F.col("value").cast("int")))
+    rows, top = pixels.agg(F.count("*"), F.max("y")).first()
+    dealt = _dealt(pixels, rows)
+    cell = F.struct("y", "x", F.col("value").cast("double").alias("value"))
+    whole = dealt.groupBy("image").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"), F.sort_array(F.collect_list(F.when(F.col("y") < least, cell))).alias("cells"))
+    low = whole.where(F.col("h") < least).withColumn("new_w", F.greatest(F.lit(1), F.floor(F.col("w") * (F.lit(least) / F.col("h")))).cast("int"))
+    low = low.select("image", "h", "w", _values(F.col("cells"), F.col("h"), F.col("w")).alias("values"), taps(F.col("w"), F.col("new_w")).alias("across"))
+    lines = low.select("image", "w", "values", "across", F.posexplode(taps(F.col("h"), F.lit(least))).alias("y", "down"))
+    spots = lines.select("image", "w", "values", "y", "down", F.posexplode("across").alias("x", "over"))
+    at = lambda i, j: F.col(f"down.w{i}") * F.get("values", F.col(f"down.s{i}") * F.col("w") + F.col(f"over.s{j}"))
+    column = lambda j: F.col(f"over.w{j}") * (at(0, j) + at(1, j) + at(2, j) + at(3, j))
+    value = column(0) + column(1) + column(2) + column(3)
+    made = spots.select("image", "y", "x", F.greatest(F.lit(0), F.least(F.lit(255), F.rint(value))).cast("int").alias("value"))
+    if top is None or top < least:
+        return made
+    sized = dealt.withColumn("h", F.max("y").over(Window.partitionBy("image")) + 1)
+    return made.union(sized.where(F.col("h") >= least).select("image", "y", "x", F.col("value").cast("int")))
 
 
 # --- kernels on arrays of uint8 -------------------------------------------------

@@ -61,3 +61,21 @@ def test_doublings_are_exact(spark):
     found.pop("two")
     got = arrays(imaging.enlarged(relation(spark, found), 16))
     assert all((got[k] == imaging.upscale(p, 16)).all() for k, p in found.items())
+
+
+@pytest.mark.parametrize("made", [lambda p: imaging.enlarged(p, 16)])
+def test_tasks_follow_the_pixels(spark, monkeypatch, made):
+    """A task's share of the pixels is bounded, however few partitions the shuffles of the session have."""
+    monkeypatch.setattr(imaging, "PIXELS_A_TASK", 100, raising=False)
+    found = {f"i{k}": np.full((8, 8), k, np.uint8) for k in range(30)}
+    got = made(relation(spark, found))
+    assert got.rdd.getNumPartitions() >= 30 * 64 // 100
+
+
+def test_images_without_a_name_are_enlarged(spark):
+    """As one group, like GROUP BY; values at one place add up."""
+    rows = [(None, y, x, 10 * y + x) for y in range(2) for x in range(2)]
+    df = spark.createDataFrame([*rows, *rows], "image string, y int, x int, value int")
+    got = {(r["y"], r["x"]): r["value"] for r in imaging.enlarged(df, 4).collect()}
+    want = imaging.upscale(np.array([[0, 2], [20, 22]], np.uint8), 4)
+    assert got == {k: int(v) for k, v in np.ndenumerate(want)}
