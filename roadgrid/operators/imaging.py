@@ -52,11 +52,6 @@ def _dealt(pixels: DataFrame, rows: int) -> DataFrame:
     return pixels.repartition(rows // PIXELS_A_TASK + 1, "image")
 
 
-def _sized(pixels: DataFrame) -> DataFrame:
-    """image, h, w: one row an image."""
-    return pixels.groupBy("image").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
-
-
 def _mirrored(at: Column, size: Column) -> Column:
     """The place whose value a place beyond the edge has, by mirroring without the edge itself."""
     turn = F.greatest(2 * (size - 1), F.lit(1))
@@ -70,54 +65,63 @@ def _repeats(at: str, size: str, more: Column) -> Column:
     return F.concat(F.array(F.col(at)), F.filter(beyond, lambda p: _mirrored(p, F.col(size)) == F.col(at)))
 
 
-def tile_levels(pixels: DataFrame, clip: float = CLIP, tiles: int = TILES) -> tuple[DataFrame, DataFrame]:
-    """Of pixels(image, y, x, value): the levels (image, i, j, value, level) that tiles i, j map values to, where a pixel needs them; and pixels with th, tw, the tiles' sides.
+def _between(at: str, side: str) -> Column:
+    return F.col(at) / F.col(side) - 0.5
+
+
+def _corners(tiles: int) -> Column:
+    """k, tile of the four tiles, top left, top right, low left, low right, between whose levels a pixel lies."""
+    inside = lambda c: F.greatest(F.lit(0), F.least(F.lit(tiles - 1), c)).cast("int")
+    y, x = F.floor(_between("y", "th")), F.floor(_between("x", "tw"))
+    return F.array(*[F.struct(F.lit(k).alias("k"), (inside(y + k // 2) * tiles + inside(x + k % 2)).alias("tile")) for k in range(4)])
 
-    Histograms are counted by value before the shuffle. A tile's values in order,
-    with those that only its neighbours have as empty bins, make one window of
-    256 rows at most: what is above the limit goes to all values alike, the rest
-    to values at even distances, and both are known from the value alone.
+
+def tile_levels(pixels: DataFrame, clip: float = CLIP, tiles: int = TILES) -> DataFrame:
+    """image, th, tw (the tiles' sides), y, x, k, level: what each of a pixel's four tiles maps its value to.
+
+    Images are dealt out once and everything else is sorts and windows within
+    their partitions: a tile's window holds, by value, the pixels that it counts
+    and those that ask for a level. What is above the limit goes to all values
+    alike, the rest to values at even distances, and both are known from the
+    value alone.
     """
-    sized = pixels.join(_sized(pixels), "image")
+    image = Window.partitionBy("image")
+    known = pixels.where("image IS NOT NULL")
+    sized = _dealt(known, known.count()).withColumns({"h": F.max("y").over(image) + 1, "w": F.max("x").over(image) + 1})
     n = F.lit(tiles)
     even = (F.col("h") % n == 0) & (F.col("w") % n == 0)
     more = lambda c: F.when(even, F.lit(0)).otherwise(n - F.col(c) % n)
     side = lambda c: F.floor((F.col(c) + more(c)) / n).cast("int")
     sized = sized.withColumns({"th": side("h"), "tw": side("w")})
-    spread = sized.withColumn("py", F.explode(_repeats("y", "h", more("h")))).withColumn("px", F.explode(_repeats("x", "w", more("w"))))
-    whole = lambda a, b: F.floor(F.col(a) / F.col(b)).cast("int")
-    bins = spread.groupBy("image", "th", "tw", whole("py", "th").alias("i"), whole("px", "tw").alias("j"), "value").agg(F.count("*").alias("c"))
-    needed = corners(sized, tiles).select("image", "th", "tw", F.explode("at").alias("p"), "value").select("image", "th", "tw", "p.i", "p.j", "value").distinct().withColumn("c", F.lit(0).cast("long"))
-    bins = bins.union(needed).groupBy("image", "th", "tw", "i", "j", "value").agg(F.sum("c").alias("c"))
-    tile = Window.partitionBy("image", "i", "j")
+    whole = lambda p, t: F.floor(p / F.col(t)).cast("int")
+    own = F.array(F.struct(F.lit(-1).alias("k"), (whole(F.col("y"), "th") * n + whole(F.col("x"), "tw")).alias("tile")))
+    columns = F.transform(_repeats("x", "w", more("w")), lambda p: whole(p, "tw"))
+    extended = F.flatten(F.transform(_repeats("y", "h", more("h")), lambda p: F.transform(columns, lambda j: F.struct(F.lit(-1).alias("k"), (whole(p, "th") * n + j).alias("tile")))))
+    rows = sized.select("image", "th", "tw", "y", "x", "value", F.inline(F.concat(F.when(even, own).otherwise(extended), _corners(tiles))))
+    same = Window.partitionBy("image", "tile", "value").orderBy("k")
+    every = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    tile = Window.partitionBy("image", "tile")
     limit = F.greatest(F.lit(1), F.floor(F.lit(clip) * F.col("th") * F.col("tw") / 256))
-    cut = bins.withColumns({"over": F.sum(F.greatest(F.col("c") - limit, F.lit(0))).over(tile), "below": F.sum(F.least("c", limit)).over(tile.orderBy("value"))})
+    rows = rows.withColumns({"c": F.count_if(F.col("k") < 0).over(every), "first": F.row_number().over(same) == 1})
+    once = lambda v: F.when(F.col("first"), v).otherwise(F.lit(0))
+    rows = rows.withColumn("over", F.sum(once(F.greatest(F.col("c") - limit, F.lit(0)))).over(tile))
+    rows = rows.withColumn("below", F.sum(once(F.least("c", limit))).over(tile.orderBy("value")))
     share, rest = F.floor(F.col("over") / 256), F.col("over") % 256
     step = F.greatest(F.lit(1), F.floor(256 / F.greatest(rest, F.lit(1))))
     extra = F.least(rest, F.floor(F.col("value") / step) + 1)
     upto = F.col("below") + share * (F.col("value") + 1) + extra
     level = F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.rint(upto * (255 / (F.col("th") * F.col("tw"))))))
-    return cut.select("image", "i", "j", "value", level.alias("level")), sized
-
-
-def corners(sized: DataFrame, tiles: int = TILES) -> DataFrame:
-    """sized pixels with fy, fx and at: the four tiles, top left, top right, low left, low right, between whose levels a pixel lies."""
-    part = lambda c, t: F.col(c) / F.col(t) - 0.5
-    y, x = part("y", "th"), part("x", "tw")
-    inside = lambda k: F.greatest(F.lit(0), F.least(F.lit(tiles - 1), k)).cast("int")
-    one = lambda k, a, b: F.struct(F.lit(k).alias("k"), inside(F.floor(y) + a).alias("i"), inside(F.floor(x) + b).alias("j"))
-    at = F.array(one(0, 0, 0), one(1, 0, 1), one(2, 1, 0), one(3, 1, 1))
-    return sized.withColumns({"fy": y - F.floor(y), "fx": x - F.floor(x), "at": at})
+    return rows.where("k >= 0 AND value IS NOT NULL").select("image", "th", "tw", "y", "x", "k", level.alias("level"))
 
 
 def equalised(pixels: DataFrame, clip: float = CLIP, tiles: int = TILES) -> DataFrame:
     """image, y, x, value: equalise_tiles() of every image of pixels(image, y, x, value), which has every pixel once."""
-    levels, sized = tile_levels(pixels, clip, tiles)
-    near = corners(sized, tiles).select("image", "y", "x", "value", "fy", "fx", F.explode("at").alias("p")).select("image", "y", "x", "value", "fy", "fx", "p.k", "p.i", "p.j")
-    met = near.join(levels, ["image", "i", "j", "value"]).groupBy("image", "y", "x", "fy", "fx")
+    met = tile_levels(pixels, clip, tiles).groupBy("image", "th", "tw", "y", "x")
     four = met.agg(*[F.max(F.when(F.col("k") == k, F.col("level"))).alias(f"m{k}") for k in range(4)])
-    mixed = lambda a, b: F.col(a) * (1 - F.col("fx")) + F.col(b) * F.col("fx")
-    value = mixed("m0", "m1") * (1 - F.col("fy")) + mixed("m2", "m3") * F.col("fy")
+    y, x = _between("y", "th"), _between("x", "tw")
+    fy, fx = y - F.floor(y), x - F.floor(x)
+    mixed = lambda a, b: F.col(a) * (1 - fx) + F.col(b) * fx
+    value = mixed("m0", "m1") * (1 - fy) + mixed("m2", "m3") * fy
     return four.select("image", "y", "x", F.greatest(F.lit(0), F.least(F.lit(255), F.rint(value))).cast("int").alias("value"))
 
 

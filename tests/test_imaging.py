@@ -63,7 +63,7 @@ def test_doublings_are_exact(spark):
     assert all((got[k] == imaging.upscale(p, 16)).all() for k, p in found.items())
 
 
-@pytest.mark.parametrize("made", [lambda p: imaging.enlarged(p, 16)])
+@pytest.mark.parametrize("made", [imaging.equalised, lambda p: imaging.enlarged(p, 16)])
 def test_tasks_follow_the_pixels(spark, monkeypatch, made):
     """A task's share of the pixels is bounded, however few partitions the shuffles of the session have."""
     monkeypatch.setattr(imaging, "PIXELS_A_TASK", 100, raising=False)
