@@ -29,12 +29,18 @@ def expand(b: Column, w: Column, h: Column, ratio: float = C.BOX_PADDING) -> Col
     return box(F.greatest(F.lit(0), b["x1"] - dx), F.greatest(F.lit(0), b["y1"] - dy), F.least(w, b["x2"] + dx), F.least(h, b["y2"] + dy))
 
 
-def best_box(boxes: Column, w: Column, h: Column, ratio: float = C.BOX_PADDING) -> Column:
-    """struct<conf, pos, box> of the box with the highest confidence that has area in the image, the first of equal ones.
+def best_boxes(boxes: Column, w: Column, h: Column, ratio: float = C.BOX_PADDING) -> Column:
+    """array<struct<conf, pos, box>>, of one at most: the box with the highest confidence that has area in the image, the first of equal ones.
 
-    Null without one. Boxes without a comparable confidence, or at most -1, count for nothing.
+    Empty without one. Boxes without a comparable confidence, or at most -1, count for nothing.
+    The best is named by a lambda's variable, so that it is found once and not for each of its fields.
     """
     seen = F.transform(boxes, lambda b, i: F.struct(b["conf"].alias("conf"), (-i).alias("back"), clamp(b, w, h).alias("box")))
     valid = F.filter(seen, lambda b: has_area(b["box"]) & ~F.isnan(b["conf"]) & (b["conf"] > -1.0))
-    best = F.array_max(valid)
-    return F.when(best.isNotNull(), F.struct(best["conf"].alias("conf"), (-best["back"]).alias("pos"), expand(best["box"], w, h, ratio).alias("box")))
+    best = F.filter(F.array(F.array_max(valid)), lambda b: b.isNotNull())
+    return F.transform(best, lambda b: F.struct(b["conf"].alias("conf"), (-b["back"]).alias("pos"), expand(b["box"], w, h, ratio).alias("box")))
+
+
+def best_box(boxes: Column, w: Column, h: Column, ratio: float = C.BOX_PADDING) -> Column:
+    """The one of best_boxes(), null without one."""
+    return F.get(best_boxes(boxes, w, h, ratio), 0)

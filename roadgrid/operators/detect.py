@@ -38,13 +38,13 @@ def best(boxes: DataFrame, ratio: float = C.BOX_PADDING) -> DataFrame:
 def as_arrays(boxes: DataFrame) -> DataFrame:
     """image, w, h, boxes: the form in which a detector returns them, in order of pos."""
     item = F.struct("pos", "conf", *_EDGES)
-    rows = boxes.groupBy("image", "w", "h").agg(F.array_sort(F.collect_list(item)).alias("boxes"))
+    rows = boxes.groupBy("image", "w", "h").agg(F.sort_array(F.collect_list(item)).alias("boxes"))
     return rows.withColumn("boxes", F.transform("boxes", lambda b: F.struct(b["conf"].alias("conf"), *[b[e].alias(e) for e in _EDGES])))
 
 
 def best_of_arrays(images: DataFrame, ratio: float = C.BOX_PADDING) -> DataFrame:
     """As best(), without a shuffle, where each image has its boxes in one array."""
-    rows = images.withColumn("_b", G.best_box(F.col("boxes"), F.col("w"), F.col("h"), ratio)).where("_b IS NOT NULL")
+    rows = images.select("image", "w", "h", F.explode(G.best_boxes(F.col("boxes"), F.col("w"), F.col("h"), ratio)).alias("_b"))
     return rows.select("image", F.col("_b.pos").alias("pos"), "_b.conf", "w", "h", *[F.col(f"_b.box.{e}").alias(e) for e in _EDGES])
 
 

@@ -23,3 +23,9 @@ def test_entry(spark):
 def test_scans_read_only_what_they_use(spark, small):
     plan = QUERIES["char_confidence"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "label" not in plan
+
+
+def test_best_of_arrays_is_found_once(spark, small):
+    """One shuffle, and one search of an image's array, whatever is taken of what it finds."""
+    plan = QUERIES["best_detection_array"](spark, small)._jdf.queryExecution().toString().partition("== Physical Plan ==")[2]
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("array_max(") == 1
