@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from roadgrid.llm.graph import components
 from roadgrid.llm.hashes import BASE, CHUNK, M64, mix, powers
 from roadgrid.llm.store import NUMBER_ROWS, cut, mapped, release, written
-from roadgrid.llm.text import fits, spread, whole
+from roadgrid.llm.text import fits, small_side, spread, whole
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -306,8 +306,7 @@ def partnered(signed: DataFrame, by_key: DataFrame, percent: int = PERCENT) -> D
     n, before = left.count(), None
     while before is None or 10 * n < 9 * before:
         first = left.select(F.col("key").alias("_key"), "rep")
-        first = F.broadcast(first) if fits(first) else first
-        one = signed.join(first, (F.col("key") == F.col("_key")) & (_row() == F.col("rep")), "left_semi")
+        one = signed.join(small_side(first, fits(first)), (F.col("key") == F.col("_key")) & (_row() == F.col("rep")), "left_semi")
         shingles = one.select(F.explode("counted").alias("shingle"), "key")
         own = shingles.groupBy("shingle").agg(F.min("key").alias("key"), F.max("key").alias("other")).where("key = other").groupBy("key").agg(F.count("*").alias("own"))
         rest = cut(left.join(own, "key", "left").where(F.lit(100) * F.coalesce("own", F.lit(0)) <= F.lit(100 - percent) * F.col("n_shingles")).drop("own"))
@@ -325,7 +324,7 @@ def signature_edges(docs: DataFrame, partners: DataFrame, size: int = SHINGLE, p
     each, are chained in a second step.
     """
     named = partners.select("key", "rep")
-    small = F.broadcast(named) if named.count() <= BROADCAST_IDS else named
+    small = small_side(named, named.count() <= BROADCAST_IDS)
     texts = docs.withColumn("_row", _row()).join(small, F.col("_row") == F.col("rep")).select("key", "text")
     signed = cut(mapped(texts, lambda batches: _enumerated(batches, size, percent), "key long, sigs array<long>"))
     rows = signed.select(F.explode("sigs").alias("sig"), "key")
@@ -346,7 +345,7 @@ def _blocks(members: DataFrame, name: str) -> DataFrame:
 def _met(docs: DataFrame, places: DataFrame, size: int, percent: int) -> DataFrame:
     """a, b: links between members of places(root, kind, i, j, key, _id) that share root, kind, i and j; _id is a document's _row()."""
     places = cut(places)
-    small = F.broadcast(places) if places.count() <= BROADCAST_IDS else places
+    small = small_side(places, places.count() <= BROADCAST_IDS)
     rows = docs.withColumn("_row", _row()).join(small, F.col("_row") == F.col("_id")).select("root", "kind", "i", "j", "key", "text")
     return rows.groupBy("root", "kind", "i", "j").applyInArrow(lambda group: _compared(group, size, percent), "a long, b long").where("a <> b")
 
@@ -457,7 +456,7 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     hashed = docs.withColumn(_HASH, F.xxhash64(whole(F.col("text"))))
 
     def meets(df, named, how):
-        small = F.broadcast(named) if named.count() <= BROADCAST_IDS else named
+        small = small_side(named, named.count() <= BROADCAST_IDS)
         return df.join(small, df["doc_id"].eqNullSafe(named["_gone"]) & (df[_HASH] == named["_hash"]), how)
 
     kept = meets(hashed, gone, "left_anti")

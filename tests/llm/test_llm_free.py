@@ -214,6 +214,23 @@ def test_jaccard_copies_without_broadcast(spark, monkeypatch):
     assert got == brute_classes(rows)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_does_not_fit_is_not_broadcast(spark, monkeypatch):
+    """Spark takes a table for as large as its files, whatever an explode then makes of it."""
+    from roadgrid.llm import store, text
+
+    rows = store.written(spark.range(50).select("id", (F.col("id") % 7).alias("k")))
+    names = store.written(spark.range(7).select(F.when(F.col("id") < 6, F.col("id")).alias("_k"), F.col("id").alias("name")))
+    few = text.spread(rows, names, [("k", "_k")])
+    monkeypatch.setattr(text, "BROADCAST_BYTES", 0)
+    many = text.spread(rows, names, [("k", "_k")])
+    assert "Broadcast" in plan_of(few) and "Broadcast" not in plan_of(many)
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect())) == [(k, k % 7, k % 7) for k in range(50) if k % 7 < 6]
+
+
 def test_jaccard_edges(spark):
     rows = jaccard.classes(edge(spark)).collect()
     assert len(rows) == len(EDGE)
