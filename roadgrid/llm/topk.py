@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 
 import numpy as np
@@ -16,8 +17,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Neighbours of a query; components are whole numbers of 1 / SCALE.
 K, SCALE = 10, 1024
-#: Components that a block of rows and one of queries have on average, rows that a block has at most, bytes of queries that one slice has.
-CELLS, QUERY_CELLS, SLICE = 1 << 19, 1 << 17, 16 << 20
+#: Components that a block of rows and one of queries have on average, bytes of queries and of what is found of them that one slice has.
+CELLS, QUERY_CELLS, SLICE = 1 << 19, 1 << 17, 32 << 20
+#: Bytes of a query's best.
+FOUND_BYTES = 512
 #: Entries of each list that are read at first before the bound is tested; then twice as many each time.
 STEP = 16
 BLOCK = "dim long, block long, ids binary, cells binary, lists binary"
@@ -133,25 +136,27 @@ def threshold(block: Block, q: np.ndarray, own: int, best: tuple, k: int = K, st
 
 def _searched(k: int):
     def run(batches):
-        """Pairs of a block of queries and one of rows, sorted by the former: each task's k best of every query, over all of the blocks that it gets."""
-        name, queries, best = None, None, []
+        """Blocks in order of their cell of the grid, its queries before its rows: the k best of every query among the cell's rows."""
+        cell, queries, best = None, [], []
 
         def told():
-            rows = [(int(i), int(key), rank, int(v), max(-(1 << 63), min((1 << 63) - 1, int(s)))) for i, key, (scores, ids) in zip(queries.ids, queries.keys, best) for rank, (s, v) in enumerate(zip(scores, ids))]
-            kinds = (("query_id", pa.int64()), ("key", pa.int64()), ("rank", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
+            for asked, tops in zip(queries, best):
+                rows = [(int(i), int(key), rank, int(v), max(-(1 << 63), min((1 << 63) - 1, int(s)))) for i, key, (scores, ids) in zip(asked.ids, asked.keys, tops) for rank, (s, v) in enumerate(zip(scores, ids))]
+                kinds = (("query_id", pa.int64()), ("key", pa.int64()), ("rank", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
 
         for batch in batches:
-            for q_dim, q_block, q_ids, q_cells, dim, ids, cells, lists in zip(*(c.to_pylist() for c in batch.columns)):
-                if (q_dim, q_block) != name:
-                    if name is not None:
-                        yield told()
-                    name, queries = (q_dim, q_block), Block(q_dim, q_ids, q_cells, b"")
-                    best = [(np.empty(0), np.empty(0, np.int64))] * len(queries.ids)
+            for at_slice, group, asks, dim, ids, cells, lists in zip(*(c.to_pylist() for c in batch.columns)):
+                if (at_slice, group) != cell:
+                    yield from told()
+                    cell, queries, best = (at_slice, group), [], []
                 block = Block(dim, ids, cells, lists)
-                best = [threshold(block, q, own, b, k) for q, own, b in zip(queries.cells, queries.ids, best)]
-        if name is not None:
-            yield told()
+                if asks:
+                    queries.append(block)
+                    best.append([(np.empty(0), np.empty(0, np.int64))] * len(block.ids))
+                else:
+                    best = [[threshold(block, q, own, b, k) for q, own, b in zip(asked.cells, asked.ids, tops)] for asked, tops in zip(queries, best)]
+        yield from told()
 
     return run
 
@@ -162,20 +167,24 @@ def search(queries: DataFrame, rows: DataFrame, k: int = K) -> DataFrame:
     Both are vectors() tables. Blocks of rows meet blocks of queries on a grid:
     slices of queries of a bounded size times as many groups of blocks as there
     are tasks to fill; a cell of the grid is one task's, and keeps what it has
-    found of a query for its next block. So memory is bounded by a block of
-    each, and what is shuffled by slices x blocks. A query id with several
-    vectors has results for each.
+    found of a query for its next block. So memory is bounded by a slice and a
+    block of rows, and what is shuffled by slices x blocks. A cell's blocks come
+    in order and aren't joined: Spark would size queries repeated for every group
+    as before that, and broadcast them. A query id with several vectors has
+    results for each.
     """
     spark = rows.sparkSession
     many, few = blocks(rows, CELLS, True), blocks(queries, QUERY_CELLS, False)
-    size = few.agg(F.sum(F.octet_length("cells"))).first()[0] or 0
-    slices = max(1, -(-size // SLICE))
-    groups = max(1, min(many.count(), max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    size = few.agg(F.sum(F.octet_length("cells") + F.octet_length("ids") / 16 * FOUND_BYTES)).first()[0] or 0
+    slices = max(1, math.ceil(size / SLICE))
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    groups = max(1, min(many.count(), tasks))
     deal = lambda n: F.pmod(F.xxhash64("dim", "block"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = few.select(deal(slices).alias("slice"), every(groups).alias("group"), F.col("dim").alias("q_dim"), F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"))
-    c = many.withColumn("group", deal(groups)).select("*", every(slices).alias("slice"))
-    pairs = q.join(c, ["slice", "group"]).sortWithinPartitions("q_dim", "q_block", "dim", "block")
-    found = mapped(pairs.select("q_dim", "q_block", "q_ids", "q_cells", "dim", "ids", "cells", "lists"), _searched(k), "query_id long, key long, rank int, vec_id long, score long", 1)
+    block = ["dim", "ids", "cells", "lists"]
+    q = few.select(deal(slices).alias("slice"), every(groups).alias("group"), F.lit(True).alias("asks"), *block)
+    c = many.select(every(slices).alias("slice"), deal(groups).alias("group"), F.lit(False).alias("asks"), *block)
+    met = q.union(c).repartition(tasks, "slice", "group").sortWithinPartitions("slice", "group", F.desc("asks"))
+    found = mapped(met, _searched(k), "query_id long, key long, rank int, vec_id long, score long", 1)
     order = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -225,6 +225,15 @@ def test_search_of_few_none_and_large(spark):
     assert {r[3] for r in searched(spark, [(0, [1e300]), (1, [1e300]), (2, [-1e300])], 10)} == {2**63 - 1, -(2**63)}
 
 
+def test_search_broadcasts_nothing(spark, monkeypatch):
+    """Queries are repeated for every group, which Spark doesn't count when it sizes them."""
+    monkeypatch.setattr(topk, "CELLS", 60)
+    rows = spark.createDataFrame([(k, [float(k % 7), 1.0, 2.0]) for k in range(300)], "vec_id long, embedding array<double>")
+    vectors = topk.vectors(rows)
+    plan = topk.search(vectors.where("vec_id % 3 = 0"), vectors)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan
+
+
 def test_the_bound_ends_a_search_early():
     rng = np.random.default_rng(1)
     cells = np.concatenate((rng.integers(-5, 6, (5000, 4)), rng.integers(900, 1000, (20, 4)))).astype(np.int64)
