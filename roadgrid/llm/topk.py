@@ -179,12 +179,12 @@ def search(queries: DataFrame, rows: DataFrame, k: int = K) -> DataFrame:
     slices = max(1, math.ceil(size / SLICE))
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     groups = max(1, min(many.count(), tasks))
-    deal = lambda n: F.pmod(F.xxhash64("dim", "block"), F.lit(n)).cast("int")
+    deal = lambda n: F.pmod(F.pmod(F.xxhash64("dim"), F.lit(n)) + F.col("block"), F.lit(n)).cast("int")  # noqa: E731  a dimension's blocks are numbered
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     block = ["dim", "ids", "cells", "lists"]
     q = few.select(deal(slices).alias("slice"), every(groups).alias("group"), F.lit(True).alias("asks"), *block)
     c = many.select(every(slices).alias("slice"), deal(groups).alias("group"), F.lit(False).alias("asks"), *block)
-    met = q.union(c).repartition(tasks, "slice", "group").sortWithinPartitions("slice", "group", F.desc("asks"))
+    met = q.union(c).repartitionById(tasks, F.col("slice") * groups + F.col("group")).sortWithinPartitions("slice", "group", F.desc("asks"))
     found = mapped(met, _searched(k), "query_id long, key long, rank int, vec_id long, score long", 1)
     order = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
